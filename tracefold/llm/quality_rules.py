@@ -43,7 +43,7 @@ class QualityRules:
     max_repeat_percent: int = 50
     guard_words: int = 100
     guard_chars: int = 300
-    max_char_distance: float = 0.30
+    max_char_distance: float = 0.32
     max_word_distance: float = 0.28
     common_words: dict = field(default_factory=lambda: COMMON_WORDS)
 
