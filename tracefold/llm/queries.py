@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, sharding
+from . import html_extract, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +22,45 @@ def op6_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_minimax_sharding, op6_distribution_divergence)}
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash_dedup.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
+def op7_html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def piece_model(path: str | None = None) -> bytes:
+    """The bytes of a SentencePiece model; by default the public 32k BPE model."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), piece_model())
+    return sentencepiece_codec.digests(encoded, "doc_id")
+
+
+def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_minimax_sharding,
+        op4_simhash_near_dedup,
+        op6_distribution_divergence,
+        op7_html_tree_scoring,
+        op9_sentencepiece_codec,
+        op10_secret_ownership,
+    )
+}
 
 #: DuckDB SQL for the same rows, where SQL can express them.
 ORACLE_SQL: dict[str, str] = {}
