@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +46,12 @@ def words(text: Column) -> Column:
     for c in "\t\n\x0b\f\r":
         text = F.replace(text, F.lit(c), F.lit(" "))
     return F.array_remove(F.split(text, " "), "")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it.
+
+    The optimizer merges projections and moves filters below them, and would otherwise compute
+    an array anew for every element of a lambda that refers to it.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

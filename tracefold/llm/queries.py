@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash_dedup
+from . import decontaminate, html_extract, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op6_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "width", "distance", "similarity")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash_dedup.hexadecimal("fp").alias("fingerprint"), "component_id")
@@ -54,6 +59,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op2_minimax_sharding,
+        op3_simhash_decontamination,
         op4_simhash_near_dedup,
         op6_distribution_divergence,
         op7_html_tree_scoring,
