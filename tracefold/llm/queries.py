@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash_dedup
+from . import decontaminate, html_extract, line_dedup, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op2_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_equal", "n_near", "text")
+
+
 def op6_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -61,6 +66,7 @@ QUERIES = {
         op2_minimax_sharding,
         op3_simhash_decontamination,
         op4_simhash_near_dedup,
+        op5_line_dedup,
         op6_distribution_divergence,
         op7_html_tree_scoring,
         op9_sentencepiece_codec,
