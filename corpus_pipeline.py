@@ -1,11 +1,22 @@
-"""A training-data pipeline over ``documents``, built of the operators in tracefold.llm."""
+"""A training-data pipeline over ``documents``, built of the operators in tracefold.llm.
+
+Each stage works on all rows that the one before kept. Documents that quality rules reject
+go; near-equal lines go from the texts that stay; of near-duplicates one document stays; what
+holds a benchmark item goes; the rest is encoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracefold.llm._shared import materialize
+from tracefold.llm.decontaminate import drop_leaking
+from tracefold.llm.line_dedup import dedup_lines
 from tracefold.llm.quality_rules import keep_good
+from tracefold.llm.queries import piece_model, table
+from tracefold.llm.sentencepiece_codec import digests, encode_documents
+from tracefold.llm.simhash_dedup import keep_first
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,14 +24,43 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: lines equal or nearly equal to an earlier one go; n_chars follows the text."""
+    return dedup_lines(docs).select(
+        *[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    )
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-dedup: one document of each group stays."""
+    return keep_first(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold an item go."""
+    return drop_leaking(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece encoding and decoding of every text that is left."""
+    return digests(encode_documents(docs, piece_model(), keep=("doc_id", "lang", "source")), "doc_id", "lang", "source")
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("simhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", decontaminate),
+    ("sentencepiece_codec", encode),
+]
 
+#: SQL expresses neither the edit join nor the encoding; tests compare run() with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
