@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, line_dedup, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash_dedup
+from . import decontaminate, html_extract, line_dedup, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,14 @@ def op7_html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["stop"] - r["start"])
+    return found.select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def piece_model(path: str | None = None) -> bytes:
     """The bytes of a SentencePiece model; by default the public 32k BPE model."""
     if path is None:
@@ -69,6 +78,7 @@ QUERIES = {
         op5_line_dedup,
         op6_distribution_divergence,
         op7_html_tree_scoring,
+        op8_suffix_dedup,
         op9_sentencepiece_codec,
         op10_secret_ownership,
     )
