@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, line_dedup, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash_dedup, suffix_dedup
+from . import decontaminate, html_extract, line_dedup, paragraph_minhash, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_minhash.repeated_paragraphs(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op2_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_paragraph_minhash,
         op2_minimax_sharding,
         op3_simhash_decontamination,
         op4_simhash_near_dedup,
