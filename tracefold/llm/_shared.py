@@ -48,6 +48,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """Join this side by a sort-merge of both: for the side that a table of texts meets.
+
+    Such a side grows with the corpus. Broadcasting it while it is small would only hide what the
+    join costs at full size.
+    """
+    return df.hint("merge")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body uses it.
 

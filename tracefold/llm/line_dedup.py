@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import let, materialize
+from ._shared import by_shuffle, let, materialize
 
 
 @dataclass(frozen=True)
@@ -227,7 +227,7 @@ def near_lines(lines: DataFrame, firsts: DataFrame, rules: LineRules) -> DataFra
     keyed = materialize(with_shared_keys(signed(lines.select(seed, "line_hash", both, F.col("line").alias("text")), rules, False)), "line-keys")
     wanted = materialize(keyed.select("line_hash").distinct().join(firsts, "line_hash"), "lines-wanted")
     texts = materialize(
-        lines.join(wanted, "line_hash").groupBy("line_hash", "doc_id", "text_hash", "line_no").agg(F.first("line").alias("line")), "line-texts"
+        lines.join(by_shuffle(wanted), "line_hash").groupBy("line_hash", "doc_id", "text_hash", "line_no").agg(F.first("line").alias("line")), "line-texts"
     )
     rest, found = None, []
     while True:
@@ -289,7 +289,7 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "
 
     kept = F.when(gone["equal"].isNull(), text).otherwise(let(F.split(text, "\n"), left))
     number = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    return d.join(gone, same, "left").select(
+    return d.join(by_shuffle(gone), same, "left").select(
         *[kept.alias(text_col) if c == text_col else F.col(f"d.{c}") for c in docs.columns],
         F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines"),
         F.when(gone["equal"].isNull(), 0).otherwise(number(gone["equal"])).cast("long").alias("n_equal"),

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import materialize
+from ._shared import by_shuffle, materialize
 from .components import connected_components
 from .line_dedup import shared_keys
 from .simhash_dedup import Forest
@@ -192,7 +192,7 @@ def near_links(texts: DataFrame, rules: ParagraphRules) -> DataFrame:
     )
     wanted = materialize(shared.select("paragraph").distinct(), "paragraphs-wanted")
     every = texts.select("text").mapInArrow(partial(paragraph_texts, rules=rules), "paragraph long, words binary")
-    words = materialize(every.join(wanted, "paragraph").groupBy("paragraph").agg(F.first("words").alias("words")), "paragraph-words")
+    words = materialize(every.join(by_shuffle(wanted), "paragraph").groupBy("paragraph").agg(F.first("words").alias("words")), "paragraph-words")
     sizes = shared.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / rules.part).cast("int").alias("parts"))
     dealt = shared.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("paragraph"), "parts").cast("int")).join(words, "paragraph")
     home = dealt.select("key", "part", F.lit(0).alias("away"), "paragraph", "words")
@@ -253,4 +253,4 @@ def remove_paragraphs(docs: DataFrame, rules: ParagraphRules = ParagraphRules(),
     ends = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.octet_length(text)))
     starts = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["stop"]))
     left = F.array_join(F.zip_with(starts, ends, lambda a, b: F.decode(F.substring(raw, a + 1, b - a), "UTF-8")), "")
-    return d.join(by_doc, same, "left").select(*[F.when(F.col("spans").isNull(), text).otherwise(left).alias(c) if c == text_col else F.col(f"d.{c}") for c in docs.columns])
+    return d.join(by_shuffle(by_doc), same, "left").select(*[F.when(F.col("spans").isNull(), text).otherwise(left).alias(c) if c == text_col else F.col(f"d.{c}") for c in docs.columns])

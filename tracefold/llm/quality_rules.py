@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize, words
+from ._shared import by_shuffle, materialize, words
 
 #: The very common words of four languages.
 COMMON_WORDS = {
@@ -202,4 +202,4 @@ def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str
         & (F.xxhash64(F.col(f"d.{text_col}")) == kept["text_hash"])
         & (F.coalesce(F.col(f"d.{lang_col}"), F.lit("")) == kept["lang"])
     )
-    return d.join(kept, same, "left_semi")
+    return d.join(by_shuffle(kept), same, "left_semi")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import by_shuffle, materialize
 from .components import connected_components
 
 QUARTERS, SHINGLE, SEED = 4, 3, 42
@@ -177,4 +177,4 @@ def keep_first(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_co
     )
     d = docs.alias("d")
     same = F.col(f"d.{id_col}").eqNullSafe(kept["doc_id"]) & (F.xxhash64(F.col(f"d.{text_col}")) == kept["text_hash"])
-    return d.join(kept, same, "left_semi")
+    return d.join(by_shuffle(kept), same, "left_semi")

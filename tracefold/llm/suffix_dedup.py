@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import materialize
+from ._shared import by_shuffle, materialize
 
 #: Bytes of text handled at once in a task; a longer text is handled in overlapping blocks.
 BLOCK_BYTES = 1 << 20
@@ -209,7 +209,7 @@ def repeated_intervals(texts: DataFrame, rules: RepeatRules) -> DataFrame:
     )
     t = texts.alias("t")
     same = F.col("t.doc_id").eqNullSafe(asked["doc_id"]) & (F.col("t.text_hash") == asked["text_hash"])
-    apart = t.join(asked, same).select("t.doc_id", "t.text_hash", "t.text", "asked")
+    apart = t.join(by_shuffle(asked), same).select("t.doc_id", "t.text_hash", "t.text", "asked")
     schema = f"high long, low long, doc_id {kind}, text_hash long, start int, known boolean"
     digits = apart.mapInArrow(partial(windows, length=rules.length), schema)
     equal = digits.repartition("high").sortWithinPartitions("high", "low").mapInArrow(partial(repeats, keys=2), f"{schema}, repeated boolean, first boolean")
@@ -233,7 +233,7 @@ def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), id_col:
     )
     t = texts.alias("t")
     same = F.col("t.doc_id").eqNullSafe(found["doc_id"]) & (F.col("t.text_hash") == found["text_hash"])
-    rows = t.join(found, same, "left").select("t.doc_id", F.octet_length("t.text").cast("long").alias("n_bytes"), "t.text", "intervals")
+    rows = t.join(by_shuffle(found), same, "left").select("t.doc_id", F.octet_length("t.text").cast("long").alias("n_bytes"), "t.text", "intervals")
     schema = T.StructType([
         *rows.schema.fields[:2],
         T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))),
