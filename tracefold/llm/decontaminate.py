@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import let, materialize, words
+from ._shared import by_shuffle, let, materialize, words
 
 BLOCKS, BLOCK_BITS = 4, 16
 
@@ -127,7 +127,7 @@ def find_leaks(
     cut = lambda w, s: F.struct(w["start"].alias("start"), w["width"].alias("width"), F.slice(s, w["start"] + 1, w["width"] - rules.shingle + 1).alias("shingles"))
     cuts = let(shingle_hashes(F.col("text"), rules.shingle), lambda s: F.transform("windows", lambda w: cut(w, s)))
     windows = materialize(
-        raw.join(likely, same).select("doc_id", "text_hash", F.explode_outer(cuts).alias("w"))
+        raw.join(by_shuffle(likely), same).select("doc_id", "text_hash", F.explode_outer(cuts).alias("w"))
         .select("doc_id", "text_hash", "w.*").withColumn("content", F.xxhash64("shingles")),
         "windows",
     )
@@ -165,4 +165,4 @@ def drop_leaking(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules
     leaking = materialize(find_leaks(docs, items, rules, id_col, text_col).select("doc_id", "text_hash").distinct(), "leaking")
     d = docs.alias("d")
     same = F.col(f"d.{id_col}").eqNullSafe(leaking["doc_id"]) & (F.xxhash64(F.col(f"d.{text_col}")) == leaking["text_hash"])
-    return d.join(leaking, same, "left_anti")
+    return d.join(by_shuffle(leaking), same, "left_anti")

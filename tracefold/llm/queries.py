@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_extract, line_dedup, paragraph_minhash, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash_dedup, suffix_dedup
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +29,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept", "char_distance", "word_distance",
+        "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"),
     )
 
 
@@ -88,6 +89,3 @@ QUERIES = {
         op10_secret_ownership,
     )
 }
-
-#: DuckDB SQL for the same rows, where SQL can express them.
-ORACLE_SQL: dict[str, str] = {}
