@@ -12,9 +12,11 @@ second are taken apart, and the third digit is the whole window of each suffix.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import by_shuffle, materialize
+from ._shared import by_shuffle, likely_in, materialize
 
 #: Bytes of text handled at once in a task; a longer text is handled in overlapping blocks.
 BLOCK_BYTES = 1 << 20
@@ -30,10 +32,12 @@ BLOCK_BYTES = 1 << 20
 
 @dataclass(frozen=True)
 class RepeatRules:
-    """Bytes of a repeated string, and of the part of it that is the first digit."""
+    """Bytes of a repeated string, and of the part of it that is the first digit; bodies of a gram
+    that are compared in one place (beyond, their windows are dealt one by one)."""
 
     length: int = 200
     gram: int = 32
+    group: int = 500
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -168,6 +172,62 @@ def windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             )
 
 
+def spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows (gram, doc_id, text_hash, start, known, body): the text under every run asked for."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 64):
+            part = batch.slice(start, 64)
+            rows, grams, firsts, known, bodies = [], [], [], [], []
+            for i, (text, asked) in enumerate(zip(part.column("text"), part.column("asked"))):
+                data = text.as_py()
+                for r in asked.as_py():
+                    rows.append(i)
+                    grams.append(r["gram"])
+                    firsts.append(r["start"])
+                    known.append(r["repeated"])
+                    bodies.append(data[r["start"] : r["stop"] + length - 1])
+            row = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(grams, pa.int64()), part.column("doc_id").take(row), part.column("text_hash").take(row), pa.array(firsts, pa.int32()), pa.array(known, pa.bool_()), pa.array(bodies, pa.binary())],
+                names=["gram", "doc_id", "text_hash", "start", "known", "body"],
+            )
+
+
+def shared_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Of runs sorted by gram (few for each): intervals (doc_id, text_hash, lo, hi) of the windows that two have."""
+
+    def group(rows: list) -> Iterator[tuple]:
+        held = Counter(body[i : i + length] for *_, body in rows for i in range(len(body) - length + 1))
+        for _, doc, text, start, known, body in rows:
+            if known:
+                continue
+            lo = hi = None
+            for i in range(len(body) - length + 1):
+                if held[body[i : i + length]] < 2:
+                    continue
+                if hi is not None and i > hi:
+                    yield doc, text, start + lo, start + hi
+                    lo = None
+                lo, hi = i if lo is None else lo, i + length
+            if lo is not None:
+                yield doc, text, start + lo, start + hi
+
+    rows: list = []
+    kinds = None
+    for batch in chain(batches, [None]):
+        if batch is None and kinds is None:
+            break
+        out: list[tuple] = []
+        for row in zip(*[c.to_pylist() for c in batch.columns]) if batch is not None else [(None,)]:
+            if rows and row[0] != rows[0][0]:
+                out += group(rows)
+                rows = []
+            rows.append(row)
+        kinds = kinds if batch is None else [batch.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int32()]
+        columns = zip(*out) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["doc_id", "text_hash", "lo", "hi"])
+
+
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge the intervals to remove from each text: adds removed (maximal runs) and kept (bytes)."""
     for batch in batches:
@@ -203,18 +263,27 @@ def repeated_intervals(texts: DataFrame, rules: RepeatRules) -> DataFrame:
     whole = found.filter("repeated").select("doc_id", "text_hash", F.col("start").alias("lo"), (F.col("stop") + rules.length - 1).alias("hi"))
     # one run of every body, where a gram has several bodies
     bodies = found.filter("first").drop("first")
-    several = bodies.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
-    asked = materialize(
-        bodies.join(several, "gram").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop", "repeated")).alias("asked")), "runs-asked"
-    )
-    t = texts.alias("t")
-    same = F.col("t.doc_id").eqNullSafe(asked["doc_id"]) & (F.col("t.text_hash") == asked["text_hash"])
-    apart = t.join(by_shuffle(asked), same).select("t.doc_id", "t.text_hash", "t.text", "asked")
+    several = materialize(bodies.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "grams")
+    few, many = several.filter(F.col("n") <= rules.group).select("gram"), several.filter(F.col("n") > rules.group).select("gram")
+
+    def asked(grams: DataFrame) -> DataFrame:
+        """The texts of the bodies of some grams; texts without one are left out before the shuffle."""
+        runs_of = F.collect_list(F.struct("gram", "start", "stop", "repeated")).alias("asked")
+        wanted = materialize(bodies.join(grams, "gram").groupBy("doc_id", "text_hash").agg(runs_of), "runs-asked")
+        t = likely_in(texts, F.col("text_hash"), wanted, F.col("text_hash")).alias("t")
+        same = F.col("t.doc_id").eqNullSafe(wanted["doc_id"]) & (F.col("t.text_hash") == wanted["text_hash"])
+        return t.join(by_shuffle(wanted), same).select("t.doc_id", "t.text_hash", "t.text", "asked")
+
+    under = asked(few).mapInArrow(partial(spans, length=rules.length), f"gram long, doc_id {kind}, text_hash long, start int, known boolean, body binary")
+    dealt = under.repartition("gram").sortWithinPartitions("gram")
+    out = whole.union(dealt.mapInArrow(partial(shared_windows, length=rules.length), f"doc_id {kind}, text_hash long, lo int, hi int"))
+    if many.isEmpty():
+        return out
+    # a gram with many bodies: its windows are dealt one by one
     schema = f"high long, low long, doc_id {kind}, text_hash long, start int, known boolean"
-    digits = apart.mapInArrow(partial(windows, length=rules.length), schema)
+    digits = asked(many).mapInArrow(partial(windows, length=rules.length), schema)
     equal = digits.repartition("high").sortWithinPartitions("high", "low").mapInArrow(partial(repeats, keys=2), f"{schema}, repeated boolean, first boolean")
-    single = equal.filter("repeated and not known").select("doc_id", "text_hash", F.col("start").alias("lo"), (F.col("start") + rules.length).alias("hi"))
-    return whole.union(single)
+    return out.union(equal.filter("repeated and not known").select("doc_id", "text_hash", F.col("start").alias("lo"), (F.col("start") + rules.length).alias("hi")))
 
 
 def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
