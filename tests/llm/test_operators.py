@@ -254,13 +254,34 @@ def test_repeated_bytes(docs, none):
             if starts[t[p : p + length]] > 1:
                 gone[p : p + length] = b"\1" * length
         expected[i, bytes(c for c, g in zip(t, gone) if not g)] += 1
-    block, suffix_dedup.BLOCK_BYTES = suffix_dedup.BLOCK_BYTES, 1 << 20
-    got = Counter((r.doc_id, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs).collect())
-    suffix_dedup.BLOCK_BYTES = block
-    assert got == expected
+    for rules in (suffix_dedup.RepeatRules(), suffix_dedup.RepeatRules(group=2)):  # the second takes bodies apart by halves
+        got = Counter((r.doc_id, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs, rules).collect())
+        assert got == expected
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_repeated_bytes_of_near_copies(spark):
+    """Many bodies of one gram, edited at different places: all passes over halves are taken."""
+    rng = random.Random(9)
+    base, rows = prose(rng, 90), []
+    for i in range(60):
+        text = list(base)
+        for p in rng.sample(range(len(text)), 3):
+            text[p] = rng.choice("XYZ")
+        rows.append((i, "".join(text)))
+    starts = Counter(t[p : p + 200] for _, t in rows for p in range(len(t) - 199))
+    expected = {}
+    for i, t in rows:
+        gone = [False] * len(t)
+        for p in range(len(t) - 199):
+            if starts[t[p : p + 200]] > 1:
+                gone[p : p + 200] = [True] * 200
+        expected[i] = "".join(c for c, g in zip(t, gone) if not g).encode()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(df, suffix_dedup.RepeatRules(group=1)).collect()}
+    assert got == expected and any(expected[i] != t.encode() for i, t in rows)
+
+
 def test_blocks_cover_every_window():
     for n in (0, 199, 200, 1 << 20, (1 << 20) + 199, 3 << 20):
         starts = [p for piece in suffix_dedup.blocks([n], 200) for _, s, e in piece for p in (s, e - 200)]

@@ -7,7 +7,8 @@ first is the least (by hash, leftmost) ``gram`` bytes anywhere in the window: eq
 agree in it and in its place, and neighbouring windows share it, so one row stands for a run
 of about 80 suffixes. The second digit is the whole text under the run: suffixes of runs that
 agree in it are repeated as a body. Only runs that agree in the first digit and not in the
-second are taken apart, and the third digit is the whole window of each suffix.
+second are taken apart: few of them window by window, many by further digits, which are ever
+more of the bytes around the first one, by halves, until the whole window is taken.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ BLOCK_BYTES = 1 << 20
 @dataclass(frozen=True)
 class RepeatRules:
     """Bytes of a repeated string, and of the part of it that is the first digit; bodies of a gram
-    that are compared in one place (beyond, their windows are dealt one by one)."""
+    that are compared in one place (beyond, they are dealt by further digits)."""
 
     length: int = 200
     gram: int = 32
@@ -115,9 +116,9 @@ def runs(batches: Iterator[pa.RecordBatch], rules: RepeatRules) -> Iterator[pa.R
             )
 
 
-def repeats(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by their first ``keys`` columns: those not alone with the first of them, with
-    two more columns: whether another row agrees in all, and whether it is the first that does.
+def repeats(batches: Iterator[pa.RecordBatch], keys: int, alone: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by their first ``keys`` columns: those not alone with the first of them (``alone``:
+    all), with two more columns: whether another row agrees in all, and whether it is the first that does.
 
     Rows stream by; one is held back until the next is seen, so no group is gathered.
     """
@@ -133,7 +134,7 @@ def repeats(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordB
             as_last[0] = first_last[0] = False
         if after is None:
             as_next[-1] = first_next[-1] = False
-        keep = pa.array(first_last | first_next)
+        keep = pa.array(first_last | first_next | alone)
         arrays = [*batch.columns, pa.array(as_last | as_next), pa.array(~as_last)]
         return pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "repeated", "first"]).filter(keep)
 
@@ -153,22 +154,41 @@ def repeats(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordB
         yield judged(held, before, None)
 
 
-def windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (high, low, doc_id, text_hash, start, known): the third digit of every suffix of the runs asked for."""
-    from xxhash import xxh3_128_intdigest
+def halves(batches: Iterator[pa.RecordBatch], rules: RepeatRules) -> Iterator[pa.RecordBatch]:
+    """Rows (gram, left, right, at, doc_id, text_hash, start, known, body): each body under its next two digits.
 
+    ``gram`` stands for all bytes taken so far: the first digit at ``at`` (-1: not yet found) in
+    the body, ``left`` bytes before it and ``right`` bytes after it. Every window that holds these
+    holds half of the bytes still free before them, or half of them after: one row for each, with
+    the body cut to the windows that do, its digest, and no row where there is no window.
+    """
+    from xxhash import xxh3_64_intdigest
+
+    signed = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
+    span = rules.length - rules.gram
     for batch in batches:
-        for i in range(batch.num_rows):
-            text, asked = batch.column("text")[i].as_py(), batch.column("asked")[i].as_py()
-            starts = [p for r in asked for p in range(r["start"], r["stop"])]
-            known = [r["repeated"] for r in asked for _ in range(r["start"], r["stop"])]
-            digests = [xxh3_128_intdigest(text[p : p + length]) for p in starts]
-            n = len(starts)
-            half = lambda shift: pa.array(np.array([d >> shift & (1 << 64) - 1 for d in digests], np.uint64).view(np.int64))
-            row = pa.array(np.full(n, i))
+        for first in range(0, batch.num_rows, 512):
+            part = batch.slice(first, 512)
+            rows, keys, digests, out, bodies = [], [], [], [], []
+            for i, (key, left, right, at, start, body) in enumerate(zip(*[part.column(c).to_pylist() for c in ("gram", "left", "right", "at", "start", "body")])):
+                if at < 0:
+                    at = int(np.argmin(gram_hashes(np.frombuffer(body[: rules.length], np.uint8), rules.gram)))
+                half = -(-(span - left - right) // 2)
+                for before, after in ((left + half, right), (left, right + half)):
+                    lo, hi = max(0, at - span + after), min(len(body), at + rules.length - before)
+                    if hi - lo < rules.length:
+                        continue
+                    digit = b"%d.%d." % (before, after) + body[at - before : at + rules.gram + after]
+                    rows.append(i)
+                    keys.append(xxh3_64_intdigest(digit, key & (1 << 64) - 1))
+                    digests.append(xxh3_64_intdigest(body[lo:hi]))
+                    out.append((before, after, at - lo, start + lo))
+                    bodies.append(body[lo:hi])
+            row = pa.array(rows, pa.int64())
+            before, after, place, begin = (pa.array(list(c), pa.int32()) for c in (zip(*out) if out else [[]] * 4))
             yield pa.RecordBatch.from_arrays(
-                [half(64), half(0), batch.column("doc_id").take(row), batch.column("text_hash").take(row), pa.array(starts, pa.int32()), pa.array(known, pa.bool_())],
-                names=["high", "low", "doc_id", "text_hash", "start", "known"],
+                [signed(keys), signed(digests), before, after, place, part.column("doc_id").take(row), part.column("text_hash").take(row), begin, part.column("known").take(row), pa.array(bodies, pa.binary())],
+                names=["gram", "digest", "left", "right", "at", "doc_id", "text_hash", "start", "known", "body"],
             )
 
 
@@ -279,11 +299,24 @@ def repeated_intervals(texts: DataFrame, rules: RepeatRules) -> DataFrame:
     out = whole.union(dealt.mapInArrow(partial(shared_windows, length=rules.length), f"doc_id {kind}, text_hash long, lo int, hi int"))
     if many.isEmpty():
         return out
-    # a gram with many bodies: its windows are dealt one by one
-    schema = f"high long, low long, doc_id {kind}, text_hash long, start int, known boolean"
-    digits = asked(many).mapInArrow(partial(windows, length=rules.length), schema)
-    equal = digits.repartition("high").sortWithinPartitions("high", "low").mapInArrow(partial(repeats, keys=2), f"{schema}, repeated boolean, first boolean")
-    return out.union(equal.filter("repeated and not known").select("doc_id", "text_hash", F.col("start").alias("lo"), (F.col("start") + rules.length).alias("hi")))
+    # a gram with many bodies: passes over ever more bytes around it, until few bodies agree in them
+    under = asked(many).mapInArrow(partial(spans, length=rules.length), f"gram long, doc_id {kind}, text_hash long, start int, known boolean, body binary")
+    under = under.withColumns({"left": F.lit(0), "right": F.lit(0), "at": F.lit(-1)})
+    schema = f"gram long, digest long, left int, right int, at int, doc_id {kind}, text_hash long, start int, known boolean, body binary"
+    while True:
+        dealt = under.mapInArrow(partial(halves, rules=rules), schema).repartition("gram", "digest").sortWithinPartitions("gram", "digest")
+        found = materialize(dealt.mapInArrow(partial(repeats, keys=2, alone=True), f"{schema}, repeated boolean, first boolean"), "halves")
+        whole = found.filter("repeated and not known")
+        out = out.union(whole.select("doc_id", "text_hash", F.col("start").alias("lo"), (F.col("start") + F.octet_length("body")).alias("hi")))
+        bodies = found.filter("first").withColumn("known", F.col("known") | F.col("repeated")).drop("repeated", "first")
+        several = materialize(bodies.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "halves-shared")
+        few = bodies.join(several.filter(F.col("n") <= rules.group).select("gram"), "gram").select("gram", "doc_id", "text_hash", "start", "known", "body")
+        dealt = few.repartition("gram").sortWithinPartitions("gram")
+        out = out.union(dealt.mapInArrow(partial(shared_windows, length=rules.length), f"doc_id {kind}, text_hash long, lo int, hi int"))
+        many = several.filter(F.col("n") > rules.group).select("gram")
+        if many.isEmpty():  # at the latest when all bytes of a window are taken: such bodies are equal
+            return out
+        under = bodies.join(many, "gram")
 
 
 def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
