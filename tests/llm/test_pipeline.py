@@ -116,3 +116,16 @@ def test_run(spark, tmp_path):
     kept = {r[0] for r in got}
     assert 300 not in kept and 301 not in kept and {200, 201, 202, 203} <= kept
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "sentencepiece_codec"]
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """Unlike documents stay, though their doc_ids are null or the same."""
+    import random
+
+    rng = random.Random(21)
+    texts = [prose(rng, 80) for _ in range(9)]
+    rows = [(None, t) for t in texts[:5]] + [(7, t) for t in texts[5:8]] + [(8, texts[8]), (9, texts[8]), (10, texts[0])]
+    assert all((simhash(a) ^ simhash(b)).bit_count() > 3 for a in texts for b in texts if a != b)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(t for _, t in left) == sorted(texts) and (8, texts[8]) in left and (None, texts[0]) in left

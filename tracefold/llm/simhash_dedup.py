@@ -145,22 +145,23 @@ def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, fp and component_id (the least doc_id of the group) of every document.
+    """doc_id, text_hash, fp, root (a fingerprint that names the group) and component_id (the least doc_id of the group) of every document.
 
     Documents are linked where their fingerprints differ in at most ``radius`` bits.
 
     Cases: null and empty texts and texts of white space have fingerprint 0, and are linked
     like any other. Copies share a fingerprint and so a group; they are compared once. A null
-    doc_id takes part, but gives a group its id only if it has no other. A very long text is
-    hashed whole, in blocks. Repeated rows give a row each; an empty table gives no rows.
+    doc_id takes part, but gives a group its id only if it has no other; so groups can share a
+    component_id (null, or a doc_id repeated with other texts), but never a root. A very long text
+    is hashed whole, in blocks. Repeated rows give a row each; an empty table gives no rows.
     """
     prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     components = materialize(connected_components(near_links(prints.select("fp").distinct(), radius)), "components")
     rooted = first.join(components.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = materialize(rooted.join(least, "root").select("fp", "component_id"), "groups")
-    return prints.join(groups, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    groups = materialize(rooted.join(least, "root").select("fp", "root", "component_id"), "groups")
+    return prints.join(groups, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def hexadecimal(fp) -> F.Column:
@@ -171,7 +172,7 @@ def keep_first(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_co
     """``docs`` with one document of each group: the one of least id (then text hash)."""
     found = near_duplicates(docs, radius, id_col, text_col)
     kept = materialize(
-        found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id"), F.col("text_hash"))).alias("k"), F.count(F.lit(1)).alias("n"))
+        found.groupBy("root").agg(F.min(F.struct(F.col("doc_id"), F.col("text_hash"))).alias("k"), F.count(F.lit(1)).alias("n"))
         .select("k.doc_id", "k.text_hash"),
         "kept",
     )
