@@ -320,6 +320,22 @@ def test_paragraphs(docs, none):
     assert paragraph_minhash.repeated_paragraphs(none).count() == 0
 
 
+def test_passages_in_the_middle_of_sentences_and_in_short_lines(spark):
+    rng, rows, passages = random.Random(31), [], []
+    for k in range(24):
+        passage = prose(rng, 50 + k % 11)
+        w = passage.split()
+        again = passage if k % 2 else "\n".join(" ".join(w[i : i + 5]) for i in range(0, len(w), 5))
+        passages.append(passage)
+        rows += [(2 * k, prose(rng, 70) + " so " + passage + " and " + prose(rng, 70)), (2 * k + 1, prose(rng, 70) + " but\n"[k % 2 :] + again + " or\n"[k % 2 :] + prose(rng, 70))]
+    rows += [(100, "\n".join(prose(rng, 4) for _ in range(30))), (101, prose(rng, 200))]
+    found = paragraph_minhash.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found} == set(range(48))
+    text = {i: t.encode() for i, t in rows}
+    for r in found:  # what is reported lies in the passage
+        assert text[r.doc_id][r.start : r.stop].split() and b" ".join(text[r.doc_id][r.start : r.stop].split()).decode() in passages[r.doc_id // 2]
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):

@@ -1,12 +1,13 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-A paragraph is what stands between line ends, and ends early after every sentence of
-``long_sentence`` words: the ends depend on nothing but the sentence, so a passage pasted into
-another text has the same paragraphs inside as anywhere else. Paragraphs whose MinHashes
-collide in a band are joined and verified by exact Jaccard similarity of their five-word
+A paragraph is a piece of five words or more, about eight as a rule, that ends where the words
+around say so: at the least of the words some places to either side, where the last words of
+sentences are less than all others. Line ends do not count. So a passage pasted into another
+text, even in the middle of a sentence or in short lines, has the same paragraphs inside as
+anywhere else. Paragraphs whose MinHashes collide in a band are joined and verified by exact Jaccard similarity of their five-word
 shingles; equal paragraphs need no check. Components of the verified links are clusters. Of a
-cluster the earliest paragraph stays and the others go, where repeated paragraphs in a row make up
-enough words.
+cluster the earliest paragraph stays and the others go, where repeated paragraphs in a row, or a
+small gap apart, make up enough words.
 """
 
 from __future__ import annotations
@@ -36,6 +37,11 @@ ENDING = np.isin(np.arange(256), list(b".!?"))
 class ParagraphRules:
     """Shingle width and similarity, bands and rows, and sizes in words.
 
+    ``reach``: words to either side that a paragraph's last word is less than. ``longest``: where no
+    word is the least (the same words over and over), a paragraph ends after so many.
+    ``gap_words``: a run goes on over so many words that are not repeated, such as a paragraph
+    with an edit.
+
     Five bands of two rows find a pair of similarity 0.8 with probability 0.994, and one of 0.9
     with 0.9998. ``part``: paragraphs of a band's bucket that are compared at once.
     """
@@ -44,9 +50,10 @@ class ParagraphRules:
     similarity: float = 0.8
     bands: int = 5
     rows: int = 2
-    long_sentence: int = 8
-    min_words: int = 8
-    min_run_words: int = 20
+    reach: int = 4
+    longest: int = 32
+    gap_words: int = 16
+    min_run_words: int = 16
     part: int = 200
 
 
@@ -54,31 +61,48 @@ class Paragraphs:
     """The paragraphs of some texts: joined by line ends, they are cut all at once."""
 
     def __init__(self, texts: list[bytes], rules: ParagraphRules):
+        from xxhash import xxh3_64_intdigest
+
         data = b"\n".join(texts).lower()
         self.words = data.split()
         raw = np.frombuffer(data, np.uint8)
         edges = np.flatnonzero(np.diff(np.concatenate([[True], WHITE[raw], [True]]).astype(np.int8)))
         self.starts, self.ends = edges[::2], edges[1::2]
         n = len(self.words)
-        line = np.cumsum(raw == 0x0A)[self.starts] if n else np.zeros(0, np.int64)
-        line_end = np.append(line[1:] != line[:-1], True)[:n]
-        sentence = np.flatnonzero(ENDING[raw[self.ends - 1]] | line_end) if n else np.zeros(0, np.int64)
-        closes = (np.diff(sentence, prepend=-1) >= rules.long_sentence) | line_end[sentence]
-        stop = sentence[closes] + 1
+        self.offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        text_of = np.searchsorted(self.offsets, self.starts, "right") - 1
+        last = np.flatnonzero(np.append(text_of[1:] != text_of[:-1], True)[:n]) + 1
+        ending = ENDING[raw[self.ends - 1]] if n else np.zeros(0, bool)
+        self.word_hashes = np.fromiter(map(xxh3_64_intdigest, self.words), np.uint64, n)
+        stop = self.stops(self.word_hashes >> np.uint64(1) | ~ending * np.uint64(1 << 63), text_of, last, rules)
         start = np.append(0, stop[:-1])[: len(stop)]
-        keep = stop - start >= rules.min_words
+        keep = stop - start >= rules.shingle
         self.start, self.stop = start[keep], stop[keep]
-        self.offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
-        self.text_of = np.searchsorted(self.offsets, self.starts[self.start], "right") - 1 if len(self.start) else self.start
+        self.text_of = text_of[self.start]
+
+    @staticmethod
+    def stops(rank: np.ndarray, text_of: np.ndarray, last: np.ndarray, rules: ParagraphRules) -> np.ndarray:
+        """Where paragraphs stop: after the words of least rank around, and at the ends of texts."""
+        n = len(rank)
+        least = np.ones(n, bool)
+        for k in range(1, rules.reach + 1):
+            same = text_of[k:] == text_of[:-k]
+            least[k:] &= ~same | (rank[k:] < rank[:-k])
+            least[:-k] &= ~same | (rank[:-k] <= rank[k:])
+        found = np.flatnonzero(least) + 1
+        begin, end = np.append(0, last[:-1])[text_index := np.searchsorted(last, found)], last[text_index]
+        found = found[(found - begin >= rules.shingle) & (end - found >= rules.shingle)]
+        stop = np.union1d(found, last)
+        wide = np.diff(stop, prepend=0)
+        more = [np.arange(b - w + rules.longest, b - rules.shingle + 1, rules.longest) for b, w in zip(stop[wide > rules.longest].tolist(), wide[wide > rules.longest].tolist())]
+        return np.union1d(stop, np.concatenate(more)) if more else stop
 
     def texts(self) -> list[bytes]:
         return [b" ".join(self.words[a:b]) for a, b in zip(self.start.tolist(), self.stop.tolist())]
 
     def minhashes(self, rules: ParagraphRules) -> np.ndarray:
         """A row of bands * rows minima per paragraph."""
-        from xxhash import xxh3_64_intdigest
-
-        word = np.fromiter(map(xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+        word = self.word_hashes
         shingle = np.zeros(max(0, len(word) - rules.shingle + 1), np.uint64)
         for i in range(rules.shingle):
             shingle = shingle * np.uint64(0x9E3779B97F4A7C15) + word[i : i + len(shingle)]
@@ -204,13 +228,13 @@ def near_links(texts: DataFrame, rules: ParagraphRules) -> DataFrame:
 def repeated_paragraphs(docs: DataFrame, rules: ParagraphRules = ParagraphRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each repeated paragraph: doc_id, text_hash, number (its first word's place,
     counted from the text's first paragraph), start and stop (bytes), n_words, run_words (of repeated paragraphs in
-    a row), cluster_id (doc_id of the paragraph that stays), members and kept.
+    a row, or ``gap_words`` apart at most), cluster_id (doc_id of the paragraph that stays), members and kept.
 
     Rows are given only where the run has ``min_run_words`` words or more, so a short
     line that many documents share is left alone.
 
-    Cases: null and empty texts have no paragraphs; neither have those of fewer words than
-    ``min_words``. Words are compared in lower case (A-Z). A document that is repeated whole, id
+    Cases: null and empty texts have no paragraphs; neither have those of fewer words than a
+    shingle. Words are compared in lower case (A-Z). A document that is repeated whole, id
     and all, counts once. Of equal doc_ids the text hash decides which is earlier; null doc_ids
     are earliest. A very long text is cut whole. Paragraphs are told apart by a 64-bit hash. Empty
     tables give no rows; other columns are ignored.
@@ -230,7 +254,7 @@ def repeated_paragraphs(docs: DataFrame, rules: ParagraphRules = ParagraphRules(
     clusters = rooted.groupBy("root").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     member = rooted.join(clusters, "root")
     by_doc = Window.partitionBy("doc_id", "text_hash")
-    new_run = F.coalesce(F.lag(F.col("number") + F.col("n_words")).over(by_doc.orderBy("number")) != F.col("number"), F.lit(True))
+    new_run = F.coalesce(F.col("number") - F.lag(F.col("number") + F.col("n_words")).over(by_doc.orderBy("number")) > rules.gap_words, F.lit(True))
     runs = member.withColumn("new_run", new_run).withColumn("run", F.sum(F.col("new_run").cast("int")).over(by_doc.orderBy("number").rowsBetween(Window.unboundedPreceding, 0)))
     return (
         runs.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "text_hash", "run")))
