@@ -66,8 +66,8 @@ def piece_model(path: str | None = None) -> bytes:
 
 
 def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), piece_model())
-    return sentencepiece_codec.digests(encoded, "doc_id")
+    docs = table(spark, sf_dir, "documents")
+    return sentencepiece_codec.encode_documents(docs, piece_model(), outputs=sentencepiece_codec.DIGESTS)
 
 
 def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:

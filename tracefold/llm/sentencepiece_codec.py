@@ -4,11 +4,14 @@ A text is normalised by longest prefixes of the model's compiled character map w
 source byte of every normalised byte is recorded. The normalised text is cut where no piece
 can reach across (before white space), pieces are found per segment, and their ends are
 projected to source bytes. Segments repeat, so each worker keeps the pieces of those it has
-seen in a bounded cache; the sentencepiece library merges only the new ones.
+seen in a bounded cache; the sentencepiece library merges only the new ones. Long texts are
+worked through in parts that end where segments do, so memory grows with a part and the ids of
+one text, not with the arrays in between.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-#: Bytes of text handled at once in a task, and segments that a worker remembers.
-CHUNK_BYTES, CACHED_SEGMENTS = 4 << 20, 400_000
+#: Characters of text handled at once in a task, and segments and pieces that a worker remembers.
+CHUNK, CACHED_SEGMENTS, CACHED_PIECES = 1 << 18, 1 << 16, 1 << 19
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -81,6 +84,8 @@ class Codec:
         whole = any(SPACE in p.lstrip(SPACE) for p, k in zip(names, kinds) if k in (1, 4))
         # white space opens a segment unless some piece holds it further in
         self.segments = re.compile(r"(?s).+" if whole else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.simple = not self.map.units and not self.squeeze
+        self.opening = re.compile(f"[^ {SPACE}] ") if self.simple and not whole else None
         surfaces = []
         for p, k in zip(names, kinds):
             surfaces.append(
@@ -95,23 +100,32 @@ class Codec:
 
     def forget(self) -> None:
         self.cache: dict[str, int] = {}
-        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.n_pieces = 0
+        self.starts, self.counts = np.zeros(CACHED_SEGMENTS, np.int32), np.zeros(CACHED_SEGMENTS, np.int32)
+        self.ids, self.sizes = np.zeros(CACHED_PIECES, np.int32), np.zeros(CACHED_PIECES, np.int32)
 
     @cached_property
     def full(self):
         return self.lib.SentencePieceProcessor(model_proto=self.model)
 
-    def normalize(self, text: str) -> tuple[str, np.ndarray]:
+    def parts(self, text: str) -> Iterator[tuple[str, bool]]:
+        """A text in parts of about CHUNK characters that end where segments do; and whether it is the first."""
+        at = 0
+        while self.opening and len(text) - at > CHUNK and (m := self.opening.search(text, at + CHUNK)):
+            yield text[at : m.start() + 1], not at
+            at = m.start() + 1
+        yield text[at:] if at else text, not at
+
+    def normalize(self, text: str, first: bool = True) -> tuple[str, np.ndarray]:
         """The normalised text and, for each of its UTF-8 bytes and its end, the source byte."""
         data = text.encode()
         if not data:
             return "", np.zeros(1, np.int64)
-        if not self.map.units and not self.squeeze:
+        if self.simple:
             wide = np.where(np.frombuffer(data, np.uint8) == 0x20, 3, 1)
             source = np.append(np.repeat(np.arange(len(data)), wide), len(data))
             out = text.replace(" ", SPACE)
-            return (SPACE + out, np.concatenate([np.zeros(3, np.int64), source])) if self.prefix else (out, source)
+            return (SPACE + out, np.concatenate([np.zeros(3, np.int64), source])) if self.prefix and first else (out, source)
         return self.normalize_by_map(data)
 
     def normalize_by_map(self, data: bytes) -> tuple[str, np.ndarray]:
@@ -153,66 +167,126 @@ class Codec:
             del source[-3:]
         return out.decode(), np.array([*source, end], np.int64)
 
-    def learn(self, segments: list[str]) -> None:
-        """Add the pieces of new segments to the cache."""
+    def pieces(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts per segment, then ids and byte sizes of all pieces, by the library."""
         found = self.plain.encode(segments, num_threads=1)
-        counts = np.fromiter(map(len, found), np.int64, len(found))
+        counts = np.fromiter(map(len, found), np.int32, len(found))
         ids = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
         sizes = self.lengths[ids]
         ends = np.cumsum(counts)
         for i in np.unique(np.searchsorted(ends, np.flatnonzero(ids == self.unknown), "right")).tolist():
-            pieces = self.plain.encode(segments[i], out_type=str)  # the texts of unknown pieces
+            texts = self.plain.encode(segments[i], out_type=str)  # the texts of unknown pieces
             run = slice(ends[i] - counts[i], ends[i])
-            sizes[run] = np.where(ids[run] == self.unknown, [len(p.encode()) for p in pieces], sizes[run])
-        self.cache.update(zip(segments, range(len(self.cache), len(self.cache) + len(segments))))
-        self.starts = np.append(self.starts, len(self.ids) + ends - counts)
-        self.counts = np.append(self.counts, counts)
-        self.ids, self.sizes = np.append(self.ids, ids), np.append(self.sizes, sizes)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Counts per text, then ids, source starts and source ends of all pieces."""
-        normalised = [self.normalize(t) for t in texts]
-        parts = [self.segments.findall(n) for n, _ in normalised]
-        flat = [s for p in parts for s in p]
+            sizes[run] = np.where(ids[run] == self.unknown, [len(p.encode()) for p in texts], sizes[run])
+        return counts, ids, sizes
+
+    def learn(self, segments: list[str], counts: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember the pieces of new segments."""
+        n, p = len(self.cache), self.n_pieces
+        self.cache.update(zip(segments, range(n, n + len(segments))))
+        self.counts[n : n + len(counts)] = counts
+        self.starts[n : n + len(counts)] = p + np.cumsum(counts) - counts
+        self.ids[p : p + len(ids)], self.sizes[p : p + len(ids)] = ids, sizes
+        self.n_pieces += len(ids)
+
+    def segment_pieces(self, flat: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts, ids and sizes of the pieces of a list of segments, from the cache where they are known."""
         new = list(set(flat).difference(self.cache))
-        if len(self.cache) + len(new) > CACHED_SEGMENTS:
-            self.forget()
-            new = list(set(flat))
         if new:
-            self.learn(new)
+            told = self.pieces(new)
+            if len(self.cache) + len(new) > CACHED_SEGMENTS or self.n_pieces + len(told[1]) > CACHED_PIECES:
+                self.forget()
+                new = list(set(flat))
+                told = self.pieces(new)
+                if len(new) > CACHED_SEGMENTS or len(told[1]) > CACHED_PIECES:  # more than can be remembered
+                    own = dict(zip(new, range(len(new))))
+                    at = np.fromiter(map(own.__getitem__, flat), np.int64, len(flat))
+                    places = ragged((np.cumsum(told[0]) - told[0])[at], told[0][at])
+                    return told[0][at], told[1][places], told[2][places]
+            self.learn(new, *told)
         at = np.fromiter(map(self.cache.__getitem__, flat), np.int64, len(flat))
-        pieces = self.counts[at]
-        places = ragged(self.starts[at], pieces)
-        ids, sizes = self.ids[places], self.sizes[places]
-        upto = np.concatenate([[0], np.cumsum(pieces)])
-        ends_of_parts = np.cumsum([len(p) for p in parts])
-        ends = upto[ends_of_parts]
+        places = ragged(self.starts[at], self.counts[at])
+        return self.counts[at], self.ids[places], self.sizes[places]
+
+    def encode_parts(self, parts: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Counts per part, then ids, source starts and source ends of all pieces."""
+        normalised = [self.normalize(*p) for p in parts]
+        found = [self.segments.findall(n) for n, _ in normalised]
+        ends_of_parts = np.cumsum([len(p) for p in found])
+        pieces, ids, sizes = self.segment_pieces(list(chain.from_iterable(found)))
+        ends = np.concatenate([[0], np.cumsum(pieces)])[ends_of_parts]
         counts = np.diff(ends, prepend=0)
-        # where each piece ends in its text's normalised bytes, then in source bytes
+        # where each piece ends in its part's normalised bytes, then in source bytes
         reach = np.cumsum(sizes)
         base = np.concatenate([[0], reach])[ends - counts]
         widths = np.array([len(s) for _, s in normalised], np.int64)
         source = np.concatenate([s for _, s in normalised])
         shift = np.repeat(np.cumsum(widths) - widths - base, counts)
-        return counts, ids, source[reach - sizes + shift], source[reach + shift]
+        return counts, ids, source[reach - sizes + shift].astype(np.int32), source[reach + shift].astype(np.int32)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Counts per text, then ids, source starts and source ends of all pieces."""
+        counts, out = np.zeros(len(texts), np.int64), []
+        held, of, shifts, size = [], [], [], 0
+
+        def work() -> None:
+            n, *rest = self.encode_parts(held)
+            np.add.at(counts, of, n)
+            shift = np.repeat(np.array(shifts, np.int32), n)
+            out.append((rest[0], rest[1] + shift, rest[2] + shift))
+
+        for i, text in enumerate(texts):
+            shift = 0
+            for part in self.parts(text):
+                held.append(part)
+                of.append(i)
+                shifts.append(shift)
+                size += len(part[0])
+                if len(text) > CHUNK:
+                    shift += len(part[0].encode())
+                if size >= CHUNK:
+                    work()
+                    held, of, shifts, size = [], [], [], 0
+        if held:
+            work()
+        ids, begins, ends = (np.concatenate(c) for c in zip(*out)) if out else [np.zeros(0, np.int32)] * 3
+        return counts, ids, begins, ends
+
+    def surfaces_of(self, ids: np.ndarray) -> Iterator[bytes]:
+        """The bytes of a run of ids, some at a time."""
+        for i in range(0, len(ids), CHUNK):
+            some = ids[i : i + CHUNK]
+            wide = self.surface_lengths[some]
+            yield self.surface_bytes[ragged(self.surface_ends[some] - wide, wide)].tobytes()
 
     def decode(self, counts: np.ndarray, ids: np.ndarray) -> list[str]:
         """The text of each run of ids."""
-        wide = self.surface_lengths[ids]
-        data = self.surface_bytes[ragged(self.surface_ends[ids] - wide, wide)].tobytes()
-        ends = np.concatenate([[0], np.cumsum(wide)])[np.cumsum(counts)]
-        out, at, done = [], 0, 0
-        for n, end in zip(counts.tolist(), ends.tolist()):
+        data = b"".join(self.surfaces_of(ids))
+        done = np.cumsum(counts)
+        ends = np.concatenate([[0], np.cumsum(self.surface_lengths[ids])])[done]
+        out, at = [], 0
+        for n, upto, end in zip(counts.tolist(), done.tolist(), ends.tolist()):
             piece = data[at:end]
-            at, done = end, done + n
+            at = end
             try:
                 if self.squeeze:
                     raise ValueError("leading white space is the library's affair")
                 out.append(piece[1:].decode() if self.prefix and piece[:1] == b" " else piece.decode())
             except ValueError:
-                out.append(self.full.decode(ids[done - n : done].tolist()))
+                out.append(self.full.decode(ids[upto - n : upto].tolist()))
         return out
 
+    @cached_property
+    def numerals(self) -> list[bytes]:
+        return [str(i).encode() for i in range(len(self.lengths))]
+
+    def ids_digest(self, ids: np.ndarray) -> str:
+        """SHA-256 of the decimal ids joined by commas."""
+        told = hashlib.sha256()
+        for i in range(0, len(ids), CHUNK):
+            told.update(b"," * (i > 0) + b",".join(map(self.numerals.__getitem__, ids[i : i + CHUNK].tolist())))
+        return told.hexdigest()
+
 
 @lru_cache(1)
 def codec_of(model: bytes) -> Codec:
@@ -220,12 +294,11 @@ def codec_of(model: bytes) -> Codec:
 
 
 def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about CHUNK_BYTES of text each."""
-    sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column).cast(pa.large_binary())], np.int64)
+    """Slices of a batch with about CHUNK bytes of text each; a longer text stands alone, whole."""
     start, total = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        total += n
-        if total >= CHUNK_BYTES or i + 1 == len(sizes):
+    for i, text in enumerate(batch.column(column)):
+        total += len(text.as_buffer())
+        if total >= CHUNK or i + 1 == batch.num_rows:
             yield batch.slice(start, i + 1 - start)
             start, total = i + 1, 0
 
@@ -234,42 +307,60 @@ def lists(counts: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, pa.int32()))
 
 
-def encode_documents(docs: DataFrame, model: bytes, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with ids, begins, ends (bytes of the source text) and decoded.
+INTEGERS = T.ArrayType(T.IntegerType(), False)
+#: What can be asked of an encoded text. Digests are taken where the ids are, so that these need not travel.
+OUTPUTS = {
+    "ids": INTEGERS, "begins": INTEGERS, "ends": INTEGERS, "decoded": T.StringType(),
+    "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(),
+}
+DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def encoded(codec: Codec, texts: list[str], wanted: tuple[str, ...]) -> Iterator[pa.Array]:
+    """The outputs asked for, in that order."""
+    counts, ids, begins, ends = codec.encode(texts)
+    decoded = codec.decode(counts, ids) if {"decoded", "decoded_sha256"} & set(wanted) else []
+    last = np.cumsum(counts).tolist()
+    columns = {
+        "ids": lambda: lists(counts, ids), "begins": lambda: lists(counts, begins), "ends": lambda: lists(counts, ends),
+        "decoded": lambda: pa.array(decoded, pa.string()),
+        "n_tokens": lambda: pa.array(counts, pa.int64()),
+        "ids_sha256": lambda: pa.array([codec.ids_digest(ids[b - n : b]) for n, b in zip(counts.tolist(), last)], pa.string()),
+        "decoded_sha256": lambda: pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()),
+    }
+    return (columns[w]() for w in wanted)
+
+
+def encode_documents(
+    docs: DataFrame,
+    model: bytes,
+    text_col: str = "text",
+    keep: tuple[str, ...] = ("doc_id",),
+    outputs: tuple[str, ...] = ("ids", "begins", "ends", "decoded"),
+) -> DataFrame:
+    """The kept columns with what is asked of ids, begins and ends (bytes of the source text),
+    decoded, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256.
 
     Exactly the library's pieces without begin or end ids; ``decoded`` is the library's
     decoding of the ids. The model (bounded: a vocabulary) goes to the workers by broadcast.
 
     Cases: a null text counts as empty, and an empty text has no pieces and decodes to "".
-    Very long texts are handled alone, whole. Rows and their copies are encoded each; the row
-    order of a partition stays. An empty table gives no rows. A kept column may have any name
-    but ids, begins, ends and decoded.
+    A very long text is encoded whole, in parts that do not change the pieces. Rows and their
+    copies are encoded each; the row order of a partition stays. An empty table gives no rows. A
+    kept column may not have the name of an output (ValueError); other columns do not matter.
     """
+    if clash := set(keep) & set(outputs) or set(outputs) - set(OUTPUTS):
+        raise ValueError(f"not both kept and made, or not known: {sorted(clash)}")
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(c) for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    schema = T.StructType([
-        *[f for f in rows.schema.fields if f.name != "_text"],
-        *[T.StructField(n, T.ArrayType(T.IntegerType(), False)) for n in ("ids", "begins", "ends")],
-        T.StructField("decoded", T.StringType()),
-    ])
+    names = [f"k{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    schema = T.StructType([*rows.schema.fields[: len(keep)], *[T.StructField(o, OUTPUTS[o]) for o in outputs]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(sent.value)
         for batch in batches:
-            for part in chunks(batch, "_text"):
-                counts, ids, begins, ends = codec.encode(part.column("_text").to_pylist())
-                columns = [part.column(c) for c in keep]
-                columns += [lists(counts, ids), lists(counts, begins), lists(counts, ends), pa.array(codec.decode(counts, ids), pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", "begins", "ends", "decoded"])
-
-    return rows.mapInArrow(work, schema)
-
-
-def digests(encoded: DataFrame, *keep: str) -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 of encoded documents."""
-    return encoded.select(
-        *keep,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+            for part in chunks(batch, "text"):
+                columns = [*[part.column(n) for n in names], *encoded(codec, part.column("text").to_pylist(), outputs)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *outputs])
+
+    return rows.mapInArrow(work, schema).toDF(*keep, *outputs)
