@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import discard, materialize
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -25,21 +27,27 @@ def _small_star(links: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, write: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """(node, root) of every node of ``links(a, b)``; the root is the least node of its component.
 
     Alternates large-star and small-star rounds until the links are stars; each round is
     written to the shared folder, so lineage stays short and a lost executor costs little.
-    Nothing is gathered in one place: only two numbers a round reach the driver.
+    Nothing is gathered in one place: only two numbers a round reach the driver. The last round's
+    table is written by ``write``.
     """
     down = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, seen = materialize(down, "links"), None
+    written: list[str] = []
+    edges, seen = materialize(down, "links", written), None
     while True:
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == seen or not state.n:
             break
-        seen = state
-        edges = materialize(_small_star(_large_star(edges).distinct()).distinct(), "links")
+        seen, last = state, written[:]
+        edges = materialize(_small_star(_large_star(edges).distinct()).distinct(), "links", written)
+        discard(links.sparkSession, last)
+        written = written[len(last):]
+    edges = write(edges, "stars")
+    discard(links.sparkSession, written)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

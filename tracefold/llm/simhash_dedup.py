@@ -11,7 +11,7 @@ all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import product
 
@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import by_shuffle, materialize
+from ._shared import by_shuffle, materialize, scratch
 from .components import connected_components
 
 QUARTERS, SHINGLE, SEED = 4, 3, 42
-#: Fingerprints in a part of a tile, and words of a text turned to bits at once.
-PART, BLOCK = 2048, 1 << 16
+#: Fingerprints in a part of a tile (every other fingerprint of the tile and its neighbours passes each
+#: part, so that few large parts shuffle least: half a MB at home), and hashes turned to bits at once.
+PART, BLOCK = 1 << 16, 1 << 16
 
 
 def fingerprint(text: bytes) -> int:
@@ -127,11 +128,11 @@ def steps_around(radius: int) -> list[int]:
     ]
 
 
-def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = 3, write: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """Links (a, b) that connect all fingerprints ``fp`` within the radius of one another."""
     quarter = lambda i: F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)))
     tile = sum((quarter(i) + 4) * 32**i for i in range(QUARTERS)).cast("int")
-    tiled = materialize(distinct.select("fp", tile.alias("tile")), "tiles")
+    tiled = write(distinct.select("fp", tile.alias("tile")), "tiles")
     # at most 17 ** 4 tiles, whatever the input: safe to broadcast
     sizes = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     sized = tiled.join(F.broadcast(sizes), "tile").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
@@ -144,7 +145,9 @@ def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     return dealt.mapInArrow(partial(compare_tiles, radius=radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", write: Callable[[DataFrame, str], DataFrame] = materialize
+) -> DataFrame:
     """doc_id, text_hash, fp, root (a fingerprint that names the group) and component_id (the least doc_id of the group) of every document.
 
     Documents are linked where their fingerprints differ in at most ``radius`` bits.
@@ -154,13 +157,15 @@ def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", te
     doc_id takes part, but gives a group its id only if it has no other; so groups can share a
     component_id (null, or a doc_id repeated with other texts), but never a root. A very long text
     is hashed whole, in blocks. Repeated rows give a row each; an empty table gives no rows.
+    Extra columns are ignored, whatever their names.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    components = materialize(connected_components(near_links(prints.select("fp").distinct(), radius)), "components")
-    rooted = first.join(components.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = materialize(rooted.join(least, "root").select("fp", "root", "component_id"), "groups")
+    prints = write(fingerprints(docs, id_col, text_col), "fingerprints")
+    with scratch(docs.sparkSession) as keep:
+        first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+        components = connected_components(keep(near_links(prints.select("fp").distinct(), radius, keep), "near-links"), keep)
+        rooted = first.join(components.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+        groups = write(rooted.join(least, "root").select("fp", "root", "component_id"), "groups")
     return prints.join(groups, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
@@ -169,13 +174,22 @@ def hexadecimal(fp) -> F.Column:
 
 
 def keep_first(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: the one of least id (then text hash)."""
-    found = near_duplicates(docs, radius, id_col, text_col)
-    kept = materialize(
-        found.groupBy("root").agg(F.min(F.struct(F.col("doc_id"), F.col("text_hash"))).alias("k"), F.count(F.lit(1)).alias("n"))
-        .select("k.doc_id", "k.text_hash"),
-        "kept",
-    )
-    d = docs.alias("d")
-    same = F.col(f"d.{id_col}").eqNullSafe(kept["doc_id"]) & (F.xxhash64(F.col(f"d.{text_col}")) == kept["text_hash"])
-    return d.join(by_shuffle(kept), same, "left_semi")
+    """``docs`` with one document of each group: the one of least id (then text hash).
+
+    Cases are those of :func:`near_duplicates`. Groups are told apart by their root, so unlike texts
+    stay though their ids are null or equal. Of a row that is repeated (id and text) one stays.
+    All columns of ``docs`` stay, whatever their names.
+    """
+    with scratch(docs.sparkSession) as write:
+        found = near_duplicates(docs, radius, id_col, text_col, write)
+        rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+        kept = materialize(rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("k")).select("k.*").toDF("_id", "_hash", "_n"), "kept")
+
+    def chosen(which: DataFrame) -> DataFrame:
+        d = docs.alias("d")
+        same = F.col(f"d.{id_col}").eqNullSafe(which["_id"]) & (F.xxhash64(F.col(f"d.{text_col}")).eqNullSafe(which["_hash"]))
+        return d.join(by_shuffle(which), same, "left_semi")
+
+    repeated = kept.filter("_n > 1")
+    once = chosen(kept.filter("_n = 1"))
+    return once if repeated.isEmpty() else once.union(chosen(repeated).dropDuplicates([id_col, text_col]))
