@@ -1,11 +1,12 @@
 """Line dedup by a segment-partition edit join.
 
-A line is dropped where an equal line, or one within ``distance`` edits, stands earlier in the
-corpus (by doc_id, then line). Of two lines within the distance, one split into distance + 1
-segments keeps a segment whole in the other, near its place. So every distinct line is
-indexed under its segments and probes with the substrings where a segment of a line of its
-own or a little smaller length can lie. Lines that meet under a key are verified by banded
-bit-parallel edit distance.
+A line is dropped where an equal line, or one within a few word edits, stands earlier in the
+corpus (by doc_id, then line). An edit inserts, deletes or replaces a word, so a changed number,
+date or name is one edit whatever its length; how many are allowed grows with the line. Of two
+lines within ``k`` edits, the shorter one split into k + 1 segments keeps a segment whole in the
+other, near its place. So every distinct line is indexed under its segments and probes with the
+runs of words where a segment of a line of its own or a little smaller length can lie. Lines that
+meet under a key are verified by banded bit-parallel edit distance.
 
 Lines under a key are compared pair by pair only while they are few. Beyond that the matched
 segment is taken out and what is left is split into segments once more, which deals the lines
@@ -14,30 +15,39 @@ to finer keys; this repeats until no key holds many.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import partial
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import by_shuffle, let, materialize
+from ._shared import by_shuffle, let, materialize, scratch
+
+#: Words; in scripts that are written without spaces (Thai, kana, Han) every character is one.
+ALONE = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+UNIT = re.compile(f"[{ALONE}]|[^\\x20\\x09-\\x0D{ALONE}]+")
+#: Line hashes that a task remembers so as not to send the keys of a frequent line again.
+REMEMBERED = 1 << 17
 
 
 @dataclass(frozen=True)
 class LineRules:
-    """Shorter lines stay; edits allowed; lines under a key that are compared pair by pair.
-
-    Splitting again multiplies the keys of a line by the ways in which more than one edit can be
-    spread, so a distance over 1 wants a larger ``bucket``.
+    """An edit is allowed for every ``words_per_edit`` words of the shorter line, ``most_edits`` at most
+    (a larger number multiplies the keys: 6, 15, 30, 54 a line for 1, 2, 3, 4). A shorter line is
+    dropped only where it is equal. ``bucket``: lines under a key that are compared pair by pair.
     """
 
-    min_chars: int = 40
-    distance: int = 1
+    words_per_edit: int = 10
+    most_edits: int = 2
     bucket: int = 200
 
+    def edits(self, length: int) -> int:
+        return min(self.most_edits, length // self.words_per_edit)
+
 
 def segments(length: int, parts: int) -> list[tuple[int, int]]:
     """Start and width of ``parts`` segments of near equal width; the last are the longer ones."""
@@ -53,7 +63,7 @@ def segments(length: int, parts: int) -> list[tuple[int, int]]:
 def index_places(length: int, distance: int) -> list[tuple[int, int, int, int]]:
     """(length, segment, start, width) under which a text of this length is indexed.
 
-    A text of no more characters than edits has no segment to match: all such texts meet under
+    A text of no more words than edits has no segment to match: all such texts meet under
     one key (segment -1).
     """
     if length <= distance:
@@ -61,23 +71,20 @@ def index_places(length: int, distance: int) -> list[tuple[int, int, int, int]]:
     return [(length, i, at, width) for i, (at, width) in enumerate(segments(length, distance + 1))]
 
 
-def probe_places(length: int, distance: int) -> list[tuple[int, int, int, int]]:
-    """(indexed length, segment, start, width) of the substrings that can match a segment of a text no longer."""
-    out = []
-    for short in range(max(0, length - distance), length + 1):
-        if short <= distance:
-            out.append((short, -1, 0, 0))
-            continue
-        gap = length - short
-        for i, (at, width) in enumerate(segments(short, distance + 1)):
-            low = max(0, at - i, at + gap - (distance - i))
-            high = min(length - width, at + i, at + gap + (distance - i))
-            out += [(short, i, start, width) for start in range(low, high + 1)]
+def probe_places(length: int, distance: int, short: int) -> list[tuple[int, int, int, int]]:
+    """(indexed length, segment, start, width) of the runs that can match a segment of a text of ``short`` words."""
+    if short <= distance:
+        return [(short, -1, 0, 0)]
+    out, gap = [], length - short
+    for i, (at, width) in enumerate(segments(short, distance + 1)):
+        low = max(0, at - i, at + gap - (distance - i))
+        high = min(length - width, at + i, at + gap + (distance - i))
+        out += [(short, i, start, width) for start in range(low, high + 1)]
     return out
 
 
-def edits_within(a: str, b: str, limit: int) -> bool:
-    """Whether two texts are within ``limit`` edits: bit-parallel over a diagonal band.
+def edits_within(a: Sequence, b: Sequence, limit: int) -> bool:
+    """Whether two sequences are within ``limit`` edits: bit-parallel over a diagonal band.
 
     Common ends are taken off first. Each state set holds one bit per diagonal that can still
     be reached; a step over a character moves all diagonals at once.
@@ -117,44 +124,111 @@ def edits_within(a: str, b: str, limit: int) -> bool:
     return bool(states[limit] >> end & 1)
 
 
-def lines_of(docs: DataFrame, rules: LineRules, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, line_no, line) of all lines that are long enough."""
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, line_no, line) of all lines that hold a word."""
     lines = docs.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode_outer(F.split(text_col, "\n")).alias("line_no", "line")
     )
-    return lines.filter(F.length("line") >= rules.min_chars)
+    return lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
 LAST = 2
 
 
-def signatures(batches: Iterator[pa.RecordBatch], distance: int, rest: bool) -> Iterator[pa.RecordBatch]:
-    """Keys of texts: rows (key, line_hash, role), and with ``rest`` what a key leaves of the text.
+@lru_cache(4096)
+def first_places(length: int, rules: LineRules) -> tuple[np.ndarray, ...]:
+    """Salt, start, width, role, edits and what is left of the indexed line, of all keys of a line."""
+    own = rules.edits(length)
+    rows = [(*p, 0, own) for p in index_places(length, own)] if own else []
+    for short in range(max(0, length - rules.most_edits), length + 1):
+        k = rules.edits(short)
+        if k and length - short <= k:
+            rows += [(*p, 1, k) for p in probe_places(length, k, short)]
+    short, segment, start, width, role, edits = np.array(rows, np.int64).reshape(-1, 6).T
+    return (short * 64 + segment).astype(np.uint64), start, width, role.astype(np.int32), edits.astype(np.int32), (short - width).astype(np.int32)
+
 
-    Input rows (seed, line_hash, role, text): role 0 gives index keys, 1 probe keys, -1 both. Out
-    come roles 0 and 1, raised by LAST where nothing is left to split.
+def mixed(key: np.ndarray) -> np.ndarray:
+    key = (key ^ key >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    key = (key ^ key >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return key ^ key >> np.uint64(31)
+
+
+def first_keys(batches: Iterator[pa.RecordBatch], rules: LineRules, rest: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows (key, line_hash, role, edits) of lines: role 0 for their own segments, 1 for probes.
+
+    With ``rest`` also the words that the key leaves of the line, and how many it leaves of the
+    indexed line. A run of words is hashed as a polynomial of its words' hashes, so that all runs
+    of a batch come from one running sum.
+    """
+    from xxhash import xxh3_64_intdigest
+
+    seen: set[int] = set()
+    base = 0x9E3779B97F4A7C15
+    inverse = np.uint64(pow(base, -1, 1 << 64))
+    for whole in batches:
+        for first in range(0, whole.num_rows, 2048):
+            batch = whole.slice(first, 2048)
+            lines, hashes = [], []
+            for line, text in zip(batch.column("line_hash").to_pylist(), batch.column("line").to_pylist()):
+                if line in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(line)
+                if len(units := UNIT.findall(text)) >= rules.words_per_edit:
+                    lines.append(units)
+                    hashes.append(line)
+            sizes = np.array([len(x) for x in lines], np.int64)
+            offsets = np.cumsum(sizes) - sizes
+            words = np.fromiter((xxh3_64_intdigest(w) for x in lines for w in x), np.uint64, int(sizes.sum()))
+            powers = np.cumprod(np.append(np.uint64(1), np.full(len(words), inverse)), dtype=np.uint64)
+            back = np.cumprod(np.append(np.uint64(1), np.full(len(words), np.uint64(base))), dtype=np.uint64)
+            sums = np.append(np.uint64(0), np.cumsum(words * powers[:-1], dtype=np.uint64))
+            hashes, out, left = np.array(hashes, np.int64), [], []
+            for n in np.unique(sizes):
+                at = np.flatnonzero(sizes == n)
+                salt, start, width, role, edits, length = first_places(int(n), rules)
+                begin = offsets[at][:, None] + start
+                run = (sums[begin + width] - sums[begin]) * back[begin]
+                key = mixed(run ^ mixed(np.broadcast_to(salt * np.uint64(base), run.shape)))
+                out.append((key.ravel().view(np.int64), np.repeat(hashes[at], len(salt)), np.tile(role, len(at)), np.tile(edits, len(at)), np.tile(length, len(at))))
+                if rest:
+                    places = list(zip(start.tolist(), (start + width).tolist()))
+                    left += [" ".join(lines[i][:b] + lines[i][e:]) for i in at.tolist() for b, e in places]
+            kinds = (np.int64, np.int64, np.int32, np.int32, np.int32)
+            columns = [pa.array(np.concatenate(c)) for c in zip(*out)] if out else [pa.array(np.zeros(0, t)) for t in kinds]
+            names = ["key", "line_hash", "role", "edits", "length", "text"]
+            columns = [*columns, pa.array(left, pa.string())] if rest else columns[:4]
+            yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
+
+
+def split_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (seed, line_hash, role, edits, length, text): the keys of what is left of lines, and what each leaves.
+
+    Roles 0 and 1 are raised by LAST where nothing is left to split.
     """
     from xxhash import xxh64_intdigest
 
-    places: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
-    of = (index_places, probe_places)
     for batch in batches:
-        keys, hashes, roles, texts = [], [], [], []
-        for seed, line, role, text in zip(*[batch.column(c).to_pylist() for c in ("seed", "line_hash", "role", "text")]):
-            n = len(text)
-            for own in (0, 1) if role < 0 else (role,):
-                if (n, own) not in places:
-                    if len(places) > 4096:
-                        places.clear()
-                    places[n, own] = of[own](n, distance)
-                for short, i, at, width in places[n, own]:
-                    keys.append(xxh64_intdigest(f"{short}.{i}.{text[at:at + width]}".encode(), seed & (1 << 64) - 1))
-                    hashes.append(line)
-                    roles.append(own if i >= 0 else own + LAST)
-                    if rest:
-                        texts.append(text[:at] + text[at + width :])
-        columns = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(hashes, pa.int64()), pa.array(roles, pa.int32())]
-        yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.string())] * rest, names=["key", "line_hash", "role", *["rest"] * rest])
+        keys, rows, texts, last = [], [], [], []
+        columns = [batch.column(c).to_pylist() for c in ("seed", "role", "edits", "length", "text")]
+        for i, (seed, role, edits, length, text) in enumerate(zip(*columns)):
+            words = text.split(" ") if text else []
+            n = len(words)
+            for short, part, at, width in index_places(n, edits) if role == 0 else probe_places(n, edits, length):
+                keys.append(xxh64_intdigest(f"{short}.{part}.{' '.join(words[at:at + width])}", seed & (1 << 64) - 1))
+                rows.append(i)
+                last.append(role if part >= 0 else role + LAST)
+                texts.append((short - width, " ".join(words[:at] + words[at + width :])))
+        row = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.array(keys, np.uint64).view(np.int64)), batch.column("line_hash").take(row), pa.array(last, pa.int32()),
+                batch.column("edits").take(row), pa.array([n for n, _ in texts], pa.int32()), pa.array([t for _, t in texts], pa.string()),
+            ],
+            names=["key", "line_hash", "role", "edits", "length", "text"],
+        )
 
 
 def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,23 +252,22 @@ def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep))
 
 
-def verify(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+def verify(batches: Iterator[pa.RecordBatch], rules: LineRules) -> Iterator[pa.RecordBatch]:
     """Rows (key, role, line_hash, doc_id, text_hash, line_no, line) by key: the later line of every pair within the distance."""
 
     def place(row: tuple) -> tuple:
         return (1, *row[3:6]) if row[3] is not None else (0, *row[4:6])
 
-    def bucket(rows: list) -> Iterator[int]:
-        index, probes = [r for r in rows if not r[1] & 1], [r for r in rows if r[1] & 1]
+    def bucket(rows: list) -> set[int]:
+        told = [(r[1] & 1, r[2], place(r), UNIT.findall(r[6])) for r in rows]
+        index, probes = [t for t in told if not t[0]], [t for t in told if t[0]]
         done: set[int] = set()
-        for p in probes:
-            for r in index:
-                if p[2] == r[2]:
-                    continue
-                later = p if place(p) > place(r) else r
-                if later[2] not in done and edits_within(p[6], r[6], distance):
-                    done.add(later[2])
-        yield from done
+        for _, probe, at, words in probes:
+            for _, own, there, others in index:
+                later = probe if at > there else own
+                if probe != own and later not in done and edits_within(words, others, rules.edits(min(len(words), len(others)))):
+                    done.add(later)
+        return done
 
     at, rows = None, []
     for batch in batches:
@@ -208,90 +281,98 @@ def verify(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(list(bucket(rows)), pa.int64())], names=["line_hash"])
 
 
-SIGNATURE = "key long, line_hash long, role int"
+KEYED = "key long, line_hash long, role int, edits int"
+PLACE = ("doc_id", "text_hash", "line_no")
 
 
-def with_shared_keys(rows: DataFrame) -> DataFrame:
+def with_shared_keys(rows: DataFrame, schema: str) -> DataFrame:
     """The rows whose key several lines have; they stream by, sorted, and none are gathered."""
-    return rows.repartition("key").sortWithinPartitions("key", "line_hash", "role").mapInArrow(shared_keys, SIGNATURE)
+    return rows.repartition("key").sortWithinPartitions("key", "line_hash", "role").mapInArrow(shared_keys, schema)
 
 
-def signed(rows: DataFrame, rules: LineRules, rest: bool) -> DataFrame:
-    schema = SIGNATURE + (", rest string" if rest else "")
-    return rows.select("seed", "line_hash", "role", "text").mapInArrow(partial(signatures, distance=rules.distance, rest=rest), schema)
+def later_of_last(keyed: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Under a key with nothing left to split all lines are within the distance: all but the earliest go."""
+    odd = F.col("role") % 2 == 1
+    rows = keyed.filter(F.col("role") >= LAST).join(firsts, "line_hash").select("key", "role", "line_hash", F.struct(*PLACE).alias("place"))
+    least = rows.groupBy("key").agg(F.min(F.when(odd, F.col("place"))).alias("probe"), F.min(F.when(~odd, F.col("place"))).alias("own"))
+    return rows.join(least, "key").filter(F.col("place") > F.when(odd, F.col("own")).otherwise(F.col("probe"))).select("line_hash")
 
 
-def near_lines(lines: DataFrame, firsts: DataFrame, rules: LineRules) -> DataFrame:
+def near_lines(lines: DataFrame, firsts: DataFrame, rules: LineRules, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """line_hash of every line of ``lines(line_hash, line)`` that has an earlier one within the distance."""
-    seed, both = F.lit(0).cast("long").alias("seed"), F.lit(-1).alias("role")
-    keyed = materialize(with_shared_keys(signed(lines.select(seed, "line_hash", both, F.col("line").alias("text")), rules, False)), "line-keys")
-    wanted = materialize(keyed.select("line_hash").distinct().join(firsts, "line_hash"), "lines-wanted")
-    texts = materialize(
-        lines.join(by_shuffle(wanted), "line_hash").groupBy("line_hash", "doc_id", "text_hash", "line_no").agg(F.first("line").alias("line")), "line-texts"
-    )
+    keyed = write(with_shared_keys(lines.mapInArrow(partial(first_keys, rules=rules), KEYED), KEYED), "line-keys")
+    wanted = write(keyed.select("line_hash").distinct().join(firsts, "line_hash"), "lines-wanted")
+    texts = write(lines.join(by_shuffle(wanted), "line_hash").groupBy("line_hash", *PLACE).agg(F.first("line").alias("line")), "line-texts")
     rest, found = None, []
     while True:
-        last = F.max("role") >= LAST
-        sizes = keyed.groupBy("key").agg((last | (F.count(F.lit(1)) <= rules.bucket)).alias("few"))
-        pairs = keyed.join(sizes.filter("few").select("key"), "key").join(texts, "line_hash")
-        pairs = pairs.select("key", "role", "line_hash", "doc_id", "text_hash", "line_no", "line")
-        later = pairs.repartition("key").sortWithinPartitions("key").mapInArrow(partial(verify, distance=rules.distance), "line_hash long")
-        found.append(materialize(later.distinct(), "later-lines"))
-        many = materialize(sizes.filter("not few").select("key"), "hot-keys")
+        told = keyed.groupBy("key").agg((F.max("role") >= LAST).alias("last"), F.count(F.lit(1)).alias("n"))
+        few = told.filter(~F.col("last") & (F.col("n") <= rules.bucket)).select("key")
+        pairs = keyed.join(few, "key").join(texts, "line_hash").select("key", "role", "line_hash", *PLACE, "line")
+        later = pairs.repartition("key").sortWithinPartitions("key").mapInArrow(partial(verify, rules=rules), "line_hash long")
+        if rest is not None:
+            later = later.union(later_of_last(keyed, firsts))
+        found.append(write(later.distinct(), "later-lines"))
+        many = write(told.filter(~F.col("last") & (F.col("n") > rules.bucket)).select("key"), "hot-keys")
         if many.isEmpty():
-            out = found[0]
-            for more in found[1:]:
-                out = out.union(more)
-            return out.distinct()
+            return reduce(DataFrame.union, found).distinct()
         if rest is None:  # what the first keys leave of the lines
-            hot = keyed.join(many, "key").select("line_hash").distinct().join(texts, "line_hash")
-            rest = signed(hot.select(seed, "line_hash", both, F.col("line").alias("text")), rules, True)
-        split = rest.join(many, "key").select(F.col("key").alias("seed"), "line_hash", F.col("role"), F.col("rest").alias("text"))
-        rest = materialize(signed(split, rules, True).distinct(), "hot-lines")
-        keyed = materialize(with_shared_keys(rest.select("key", "line_hash", "role")), "line-keys")
+            hot = keyed.join(many, "key").select("line_hash").distinct().join(texts, "line_hash").select("line_hash", "line")
+            rest = hot.mapInArrow(partial(first_keys, rules=rules, rest=True), f"{KEYED}, length int, text string")
+        split = rest.join(many, "key").select(F.col("key").alias("seed"), "line_hash", "role", "edits", "length", "text")
+        rest = write(split.mapInArrow(split_again, f"{KEYED}, length int, text string").distinct(), "hot-lines")
+        keyed = write(with_shared_keys(rest.select("key", "line_hash", "role", "edits"), KEYED), "line-keys")
 
 
 def dropped_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, equal, near): per document the numbers of the lines that go."""
-    lines = lines_of(docs, rules, id_col, text_col).withColumn("line_hash", F.xxhash64("line"))
-    seen = materialize(lines.drop("line"), "lines")
-    firsts = materialize(
-        seen.groupBy("line_hash").agg(F.min(F.struct("doc_id", "text_hash", "line_no")).alias("p")).select("line_hash", "p.*"), "first-lines"
-    )
-    near = near_lines(lines.select("line_hash", "line"), firsts, rules).withColumn("near", F.lit(True))
-    first = firsts.select("line_hash", F.struct("doc_id", "text_hash", "line_no").alias("first")).join(near, "line_hash", "left")
-    judged = seen.join(first, "line_hash").withColumn("equal", F.struct("doc_id", "text_hash", "line_no") != F.col("first"))
-    gone = judged.filter(F.col("equal") | F.col("near"))
-    which = lambda c: F.collect_set(F.when(c, F.col("line_no")))
-    return gone.groupBy("doc_id", "text_hash").agg(which(F.col("equal")).alias("equal"), which(~F.col("equal")).alias("near"))
-
-
-def dedup_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the text that is left, and n_lines, n_equal and n_near (lines before, equal and near lines dropped).
-
-    Lines end at \\n. Lines under ``min_chars`` code points always stay: they are too short for a
-    repeat to mean much. What is left keeps its order; a document may be left with an empty text.
+    lines = lines_of(docs, id_col, text_col).withColumn("line_hash", F.xxhash64("line"))
+    with scratch(docs.sparkSession) as write:
+        seen = write(lines.drop("line"), "lines")
+        firsts = write(seen.groupBy("line_hash").agg(F.min(F.struct(*PLACE)).alias("p")).select("line_hash", "p.*"), "first-lines")
+        near = near_lines(lines.select("line_hash", "line"), firsts, rules, write).withColumn("near", F.lit(True))
+        first = firsts.select("line_hash", F.struct(*PLACE).alias("first")).join(near, "line_hash", "left")
+        judged = seen.join(first, "line_hash").withColumn("equal", F.struct(*PLACE) != F.col("first"))
+        gone = judged.filter(F.col("equal") | F.col("near"))
+        which = lambda c: F.collect_set(F.when(c, F.col("line_no")))
+        by_doc = gone.groupBy("doc_id", "text_hash").agg(which(F.col("equal")).alias("equal"), which(~F.col("equal")).alias("near"))
+        return materialize(by_doc, "dropped-lines")
+
+
+def dedup_lines(
+    docs: DataFrame,
+    rules: LineRules = LineRules(),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    counts: tuple[str, str, str] | None = ("n_lines", "n_equal", "n_near"),
+) -> DataFrame:
+    """``docs`` with the text that is left and, under the names in ``counts``, the numbers of lines
+    before, of equal lines dropped and of near lines dropped.
+
+    Lines end at \\n. Lines without a word always stay; lines of few words go only where they are
+    equal. What is left keeps its order; a document may be left with an empty text.
 
     Cases: a null text stays null and has no lines; an empty text has one empty line. Repeated
     rows (same doc_id and text) count as one document and are cut alike. Of equal doc_ids the text
     hash decides which line is earlier; null doc_ids are earliest. Lines are told apart by a 64-bit
     hash. A very long line is compared whole. An empty table gives no rows. Extra columns stay as
-    they are, except that they may not be named n_lines, n_equal or n_near.
+    they are, whatever their names; one that has a name of ``counts`` is an error (ValueError): give
+    other names.
     """
-    gone = materialize(dropped_lines(docs, rules, id_col, text_col), "dropped-lines")
+    if clash := set(counts or ()) & set(docs.columns):
+        raise ValueError(f"the table has columns {sorted(clash)}; give other names for the counts")
+    gone = dropped_lines(docs, rules, id_col, text_col).toDF("_id", "_hash", "_equal", "_near")
     d = docs.alias("d")
     text = F.col(f"d.{text_col}")
-    same = F.col(f"d.{id_col}").eqNullSafe(gone["doc_id"]) & (F.xxhash64(text) == gone["text_hash"])
+    same = F.col(f"d.{id_col}").eqNullSafe(gone["_id"]) & (F.xxhash64(text) == gone["_hash"])
 
     def left(lines: Column) -> Column:
-        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.array_union(gone["equal"], gone["near"]))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.array_union(gone["_equal"], gone["_near"]))
         return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
 
-    kept = F.when(gone["equal"].isNull(), text).otherwise(let(F.split(text, "\n"), left))
-    number = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    kept = F.when(gone["_equal"].isNull(), text).otherwise(let(F.split(text, "\n"), left))
+    number = lambda c: F.when(c.isNull(), 0).otherwise(F.size(c)).cast("long")
+    told = [F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long"), number(gone["_equal"]), number(gone["_near"])]
     return d.join(by_shuffle(gone), same, "left").select(
         *[kept.alias(text_col) if c == text_col else F.col(f"d.{c}") for c in docs.columns],
-        F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines"),
-        F.when(gone["equal"].isNull(), 0).otherwise(number(gone["equal"])).cast("long").alias("n_equal"),
-        F.when(gone["near"].isNull(), 0).otherwise(number(gone["near"])).cast("long").alias("n_near"),
+        *[c.alias(n) for c, n in zip(told, counts or ())],
     )

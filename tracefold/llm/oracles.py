@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
+from .line_dedup import ALONE, LineRules
 from .quality_rules import CHAR_CLASSES, COMMON_WORDS, QualityRules
 from .secret_scan import KINDS, OwnershipRules
 
-LINES = """
+UNIT = f"[{ALONE}]|[^\\x20\\x09-\\x0D{ALONE}]+"
+#: A word as one of 90 characters: the edit distance of two lines is no less than that of their codes,
+#: and where it is greater at least one of several codes shows it but for about one pair in 10 ** 9.
+CODES = 7
+
+
+def lines_sql(rules: LineRules = LineRules()) -> str:
+    code = lambda k: f"array_to_string(list_transform(w, lambda x: chr(CAST(33 + hash(x || '{k}') % 90 AS INTEGER))), '')"
+    least = rules.words_per_edit // 2  # words that two lines within the distance have in a row at least
+    allowed = f"least({rules.most_edits}, least(a.n, b.n) // {rules.words_per_edit})"
+    near = " AND ".join(f"levenshtein(a.c{k}, b.c{k}) <= {allowed}" for k in range(CODES))
+    run = ", ".join(f"w[i + {k}]" for k in range(least))
+    return f"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS s FROM documents),
 l AS (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS line FROM d),
-k AS (SELECT doc_id, i, line, length(line) >= 40 AS counts FROM l),
+k AS (SELECT doc_id, i, line, regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS counts FROM l),
 f AS (SELECT line, min(struct_pack(d := doc_id, i := i)) AS first FROM k WHERE counts GROUP BY line),
-n AS (SELECT DISTINCT a.line FROM f a JOIN f b ON left(a.line, 19) = left(b.line, 19) WHERE b.first < a.first AND abs(length(a.line) - length(b.line)) <= 1 AND levenshtein(a.line, b.line) <= 1
-  UNION SELECT DISTINCT a.line FROM f a JOIN f b ON right(a.line, 19) = right(b.line, 19) WHERE b.first < a.first AND abs(length(a.line) - length(b.line)) <= 1 AND levenshtein(a.line, b.line) <= 1),
+u AS (SELECT *, len(w) AS n FROM (SELECT line, first, regexp_extract_all(line, '{UNIT}') AS w FROM f)),
+e AS (SELECT line, first, n, w, {", ".join(f"{code(k)} AS c{k}" for k in range(CODES))} FROM u WHERE n >= {rules.words_per_edit}),
+g AS (SELECT DISTINCT line, hash({run}) AS h FROM (SELECT line, w, unnest(range(1, n - {least - 2})) AS i FROM e)),
+p AS (SELECT DISTINCT x.line AS a, y.line AS b FROM g x JOIN g y ON x.h = y.h AND x.line <> y.line),
+n AS (SELECT DISTINCT a.line FROM p JOIN e a ON p.a = a.line JOIN e b ON p.b = b.line WHERE b.first < a.first AND abs(a.n - b.n) <= {allowed} AND {near}),
 j AS (SELECT k.doc_id, k.i, k.line, counts AND struct_pack(d := k.doc_id, i := k.i) <> f.first AS equal, n.line IS NOT NULL AS near
   FROM k LEFT JOIN f ON counts AND k.line = f.line LEFT JOIN n ON counts AND k.line = n.line)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (equal) AS n_equal, count(*) FILTER (near AND NOT coalesce(equal, false)) AS n_near,
   coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT coalesce(equal, false) AND NOT near), '') AS text FROM j GROUP BY doc_id"""
 
+
 REPEATS = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT r, p, md5(substr(h, 2 * p + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS p FROM d)),
@@ -95,7 +112,7 @@ SELECT doc_id, {zero}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans
 
 
 ORACLE_SQL = {
-    "op5_line_dedup": LINES,
+    "op5_line_dedup": lines_sql(),
     "op6_distribution_divergence": quality_sql(),
     "op8_suffix_dedup": REPEATS,
     "op10_secret_ownership": secrets_sql(),
