@@ -243,6 +243,55 @@ def test_pages(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], schema)).count() == 0
 
 
+def a_page(rng):
+    """(html, main text) of a page as sites are built: nested wrappers, names of all sorts, what surrounds an article."""
+    def paragraph():
+        return " ".join(rng.choice(["rain", "fell, and", "the &amp; sea", "rose,", "later  on", "we\nwent"]) for _ in range(rng.randint(20, 40)))
+
+    plain = lambda h: " ".join(h.replace("&amp;", "&").split())
+    blocks = [("h1", "A title here")] + [(rng.choice(["p", "p", "p", "blockquote"]), paragraph()) for _ in range(rng.randint(3, 7))]
+    closing = rng.random() < 0.8
+    body = "".join(f"<{t}>{x}" + (f"</{t}>" if closing or t != "p" else "") for t, x in blocks)
+    inserts = ["<svg width=9/>", "<button>Save</button>", "<script>if (a<b) {}</script>", "<div class='share-buttons'><a href=x>Share</a></div>", "<!-- x > y -->"]
+    body = rng.choice(inserts) + body
+    wrap = rng.choice([
+        "<article class='post has-sidebar category-social'>{}</article>", "<main>{}</main>", "<div class='content has-sidebar'>{}</div>",
+        "<div class='content-sidebar-wrap'><div class='entry-content'>{}</div></div>", "<form id=aspnetForm><div id=content>{}</div></form>", "<div id=x><div id=y>{}</div></div>",
+    ])
+    around = [
+        "<nav><ul><li><a href=a>Home</a><li><a href=b>About, us</a></ul></nav>", "<div class=ad>Buy this, now, or never, it is cheap</div>",
+        "<div id=cookie-notice><p>We use cookies, and you agree, by reading this, to all of them, whatever they do to you.</p></div>",
+        "<section class='comments'><ul><li><p>I like this, a lot, thank you, it was a good thing to read at night.</p></ul></section>",
+        "<aside><p>See also, the other, pages</p></aside>", "<form action=q><label>Search, here</label><input name=q></form>", "<footer>&copy; us, all rights</footer>",
+    ]
+    rng.shuffle(around)
+    k = rng.randint(0, len(around))
+    html = "<html><head><title>T</title><style>p{}</style></head><body>" + "".join(around[:k]) + wrap.format(body) + "".join(around[k:]) + "</body></html>"
+    return html, "\n".join(plain(x) for _, x in blocks)
+
+
+def test_generated_pages():
+    rng = random.Random(17)
+    for _ in range(400):
+        html, want = a_page(rng)
+        assert html_extract.main_text(html) == want, html
+
+
+def test_hard_pages():
+    p = "".join(f"<p>This is paragraph {i}, with a comma, and a text that is quite long, longer than most menus.</p>" for i in range(4))
+    text = html_extract.main_text(p)
+    assert text.count("\n") == 3
+    for html in (
+        f"<svg width=1/><article>{p}</article>", f"<article><button>Click{p}</article>", f"<iframe src=x><article>{p}</article>", f"<script src=x /><div>{p}</div>",
+        "<div>" * 5000 + p, f"<article>{p}</article><section class=comments>{p * 3}</section>", f"<select><option>a<option>b</select><div>{p}</div>",
+    ):
+        assert html_extract.main_text(html) == text
+    assert html_extract.main_text(f"<main><article>{p}</article><article>{p}</article></main>") == f"{text}\n{text}"
+    assert html_extract.main_text(f"<article>{p}<section id='related-work'>{p}</section></article>") == f"{text}\n{text}"
+    assert html_extract.main_text("<div class=ad>Buy</div><article><h1>T</h1></article>") == "T"
+    assert html_extract.main_text("<nav><p>a long menu, of many, many words, that is all there is on this page, and no more</p></nav>") == ""
+
+
 def test_repeated_bytes(docs, none):
     rows = [(r[0], (r[1] or "").encode()) for r in corpus()]
     length = 200
@@ -354,35 +403,43 @@ def test_banded_edit_distance():
             assert line_dedup.edits_within(a, b, k) == (distance(a, b) <= k)
 
 
-@pytest.mark.parametrize("edits,bucket", [(1, 8), (2, 200)])
-def test_lines(spark, edits, bucket):
-    rng, base, rows = random.Random(3), "abcdefghij" * 5, []
+@pytest.mark.parametrize("most,bucket", [(1, 8), (2, 6), (2, 200), (3, 20)])
+def test_lines(spark, most, bucket):
+    rng, base, rows = random.Random(3), prose(random.Random(4), 24).split(), []
     for i in range(80):
         line = list(base)
-        for _ in range(rng.randint(0, 3)):
+        for _ in range(rng.randint(0, 4)):
             q = rng.randrange(len(line))
-            line[q : q + rng.randint(0, 1)] = rng.choice(["x", "y", ""])
-        rows.append((i, "".join(line) + f"\nshort\nserial number of this line is {i % 50:06d} ok", "clash"))
-    rows += [(100, None, "x"), (101, "", "x"), rows[0]]
-    df = spark.createDataFrame(rows, "doc_id long, text string, line_hash string")
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(df, line_dedup.LineRules(30, edits, bucket)).collect()}
-    seen = []
-    for i, text, _ in rows[:80]:
+            line[q : q + rng.randint(0, 1)] = rng.choice([["xa"], ["yb"], []])
+        rows.append((i, " ".join(line) + f"\nshort line\n\n{{\nthe serial number of this very long line here is {i % 50:06d} all right", "clash", i))
+    rows += [(100, None, "x", 0), (101, "", "x", 0), rows[0], (102, "日本語の長い行はここにあります\n日本語の長い行はそこにあります", "x", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, line_hash string, key int")
+    rules = line_dedup.LineRules(10, most, bucket)
+    result = line_dedup.dedup_lines(df, rules)
+    got = {r.doc_id: r for r in result.collect()}
+    assert result.count() == len(rows)
+    seen, held = [], set()
+    for i, text, _, _ in [*rows[:80], rows[83]]:
         out, equal, near = [], 0, 0
         for line in text.split("\n"):
-            if len(line) >= 30:
-                before = set(seen)
-                seen.append(line)
-                if line in before:
+            if line.strip():
+                if line in held:
                     equal += 1
                     continue
-                if any(distance(line, s) <= edits for s in before if abs(len(s) - len(line)) <= edits):
+                words = line_dedup.UNIT.findall(line)
+                is_near = any(distance(words, w) <= min(most, min(len(w), len(words)) // 10) for w in seen if min(len(w), len(words)) >= 10)
+                seen.append(words)
+                held.add(line)
+                if is_near:
                     near += 1
                     continue
             out.append(line)
         assert (got[i].text, got[i].n_equal, got[i].n_near) == ("\n".join(out), equal, near)
-    assert got[100].text is None and got[100].n_lines == 0 and got[101].text == "" and got[101].n_lines == 1
+    assert got[100].text is None and got[100].n_lines == 0 and got[101].text == "" and got[101].n_lines == 1 and got[102].n_near == 1
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(df.withColumnRenamed("key", "n_equal"))
+    assert line_dedup.dedup_lines(df.withColumnRenamed("key", "n_equal"), counts=None).columns == ["doc_id", "text", "line_hash", "n_equal"]
 
 
 def test_leaks(spark, docs, none):

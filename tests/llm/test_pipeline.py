@@ -64,18 +64,25 @@ def plain_pipeline(rows, items):
         far = far or (base[0] >= rules.guard_words and words and ref[1] and js(words, ref[1]) > rules.max_word_distance)
         if not base[5] and not far:
             docs.append(dict(r))
-    seen = []
-    for r in sorted(docs, key=lambda r: r["doc_id"]):
+    seen = {}
+    docs.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))  # null ids are earliest
+    texts = {}
+    for r in docs:
         out = []
+        if (r["doc_id"], r["text"]) in texts:  # a row repeated
+            r["text"] = texts[r["doc_id"], r["text"]]
+            continue
         for line in r["text"].split("\n"):
-            if len(line) >= 40:
-                gone = any(abs(len(s) - len(line)) <= 1 and (s == line or s[:20] == line[:20] and distance(s, line) <= 1 or s[-20:] == line[-20:] and distance(s, line) <= 1) for s in seen)
-                seen.append(line)
+            w = line.split()
+            if w:
+                gone = line in seen or len(w) >= 10 and any(
+                    len(v) >= 10 and abs(len(v) - len(w)) <= 2 and len(set(v) & set(w)) >= len(set(w)) - 3 and distance(v, w) <= min(2, min(len(v), len(w)) // 10) for v in seen.values()
+                )
+                seen.setdefault(line, w)
                 if gone:
                     continue
             out.append(line)
-        r["text"] = "\n".join(out)
-    docs.sort(key=lambda r: r["doc_id"])
+        r["text"] = texts[r["doc_id"], r["text"]] = "\n".join(out)
     prints, group = [simhash(r["text"]) for r in docs], list(range(len(docs)))
 
     def find(x):
@@ -93,7 +100,7 @@ def plain_pipeline(rows, items):
     docs = [r for r in docs if not any(plain(t) in plain(r["text"]) for _, t in items)]
     lib = sentencepiece.SentencePieceProcessor(model_proto=piece_model())
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    return sorted((r["doc_id"], len(i), sha(",".join(map(str, i))), sha(lib.decode(i))) for r in docs for i in [lib.encode(r["text"])])
+    return sorted((-1 if r["doc_id"] is None else r["doc_id"], len(i), sha(",".join(map(str, i))), sha(lib.decode(i))) for r in docs for i in [lib.encode(r["text"])])
 
 
 def test_run(spark, tmp_path):
@@ -101,8 +108,9 @@ def test_run(spark, tmp_path):
 
     rng = random.Random(12)
     items = [(i, prose(rng, 30)) for i in range(3)]
-    rows = [dict(zip(("doc_id", "text", "lang", "source", "n_chars"), r)) for r in corpus() if r[0] is not None and len(r[1] or "") < 20000]
-    rows = list({r["doc_id"]: r for r in rows}.values())
+    rows = [dict(zip(("doc_id", "text", "lang", "source", "n_chars"), r)) for r in corpus()]  # with a null id, a row repeated and a long text
+    assert None in [r["doc_id"] for r in rows] and len({(r["doc_id"], r["text"]) for r in rows}) < len(rows)
+    rows += [dict(doc_id=7, text=prose(rng, 90), lang="en", source="s", n_chars=0)]  # an id twice, of unlike texts
     line = prose(rng, 25)
     rows += [dict(doc_id=200 + i, text=prose(rng, 60) + "\n" + line + ("" if i % 2 else "z") + "\n" + prose(rng, 40), lang="en", source="s", n_chars=0) for i in range(4)]
     rows += [dict(doc_id=300, text=prose(rng, 70) + " " + items[1][1] + " " + prose(rng, 9), lang="en", source="s", n_chars=0)]
@@ -110,7 +118,7 @@ def test_run(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([tuple(r.values()) for r in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     want = plain_pipeline(rows, items)
     assert got == want
     kept = {r[0] for r in got}
