@@ -92,20 +92,3 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     an array anew for every element of a lambda that refers to it.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def likely_in(df: DataFrame, key: Column, keys: DataFrame, of: Column, bits: int = 25) -> DataFrame:
-    """Rows of ``df`` whose key may be among ``keys``: all that are, and few others.
-
-    The keys' hashes set bits of a bitmap of 2 ** bits bits (4 MB, whatever the data), which is
-    broadcast. So a table of texts can be thinned before it is shuffled to an exact join. With far
-    more keys than bits nothing is thinned and nothing is lost.
-    """
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    maps = keys.select(at(of).alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_map")
-    )
-    place = df.withColumn("_at", at(key)).withColumns({"_bucket": F.bitmap_bucket_number("_at"), "_bit": F.bitmap_bit_position("_at").cast("int")})
-    byte = F.conv(F.hex(F.substring("_map", F.shiftright("_bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = F.call_function("shiftright", byte, F.col("_bit").bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1)) == 1
-    return place.join(F.broadcast(maps), "_bucket").filter(is_set).select(*df.columns)

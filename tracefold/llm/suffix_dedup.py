@@ -1,23 +1,22 @@
-"""Repeated byte strings by depth-limited radix passes over suffixes.
+"""Repeated byte strings by a depth-limited radix sort of suffixes inside anchored buckets.
 
 All suffixes that agree in their first ``length`` bytes form an equal group, and the groups of
-several suffixes are exactly the repeated windows. Digits are taken in passes, and suffixes
-alone with theirs leave. What makes the passes affordable is the order of the digits. The
-first is the least (by hash, leftmost) ``gram`` bytes anywhere in the window: equal windows
-agree in it and in its place, and neighbouring windows share it, so one row stands for a run
-of about 80 suffixes. The second digit is the whole text under the run: suffixes of runs that
-agree in it are repeated as a body. Only runs that agree in the first digit and not in the
-second are taken apart: few of them window by window, many by further digits, which are ever
-more of the bytes around the first one, by halves, until the whole window is taken.
+several suffixes are exactly the repeated windows. A radix sort from the first byte on would
+shuffle a row for every byte of the corpus. So suffixes are first dealt to buckets by an anchor:
+the least (by hash, leftmost) ``gram`` bytes anywhere in the window. Equal windows have the same
+anchor at the same place, and neighbouring windows share theirs, so one row stands for a run of
+about 80 suffixes. Runs that agree in the whole text under them are repeated as a body. Where a
+bucket has several bodies, their suffixes are sorted by most-significant-digit passes through
+``length`` bytes: after each pass suffixes alone with their digits leave, and what is left in the
+end are the equal groups. A bucket with many bodies is dealt anew beforehand, by ever more of the
+bytes around the anchor, in halves.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +24,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import by_shuffle, likely_in, materialize
+from ._shared import by_shuffle, materialize, scratch
 
 #: Bytes of text handled at once in a task; a longer text is handled in overlapping blocks.
 BLOCK_BYTES = 1 << 20
+#: Bodies that a task remembers so as not to deal a frequent one again and again.
+REMEMBERED = 1 << 17
+#: Bytes of a digit of the radix passes (a power of two).
+DIGIT = 32
 
 
 @dataclass(frozen=True)
 class RepeatRules:
-    """Bytes of a repeated string, and of the part of it that is the first digit; bodies of a gram
-    that are compared in one place (beyond, they are dealt by further digits)."""
+    """Bytes of a repeated string and of its anchor; bodies of an anchor that are sorted in one
+    place (beyond, they are dealt anew)."""
 
     length: int = 200
     gram: int = 32
@@ -84,10 +87,15 @@ def blocks(sizes: list[int], length: int) -> Iterator[list[tuple[int, int, int]]
 
 
 def runs(batches: Iterator[pa.RecordBatch], rules: RepeatRules) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, body, doc_id, text_hash, start, stop): suffixes start..stop-1 share their first digit."""
+    """Rows (gram, body, known, doc_id, text_hash, start, stop): suffixes start..stop-1 share their anchor.
+
+    ``known``: two runs of this task with the same body went before, which are enough to find it
+    repeated; so a body that very many texts have is not dealt to one task as often.
+    """
     from xxhash import xxh3_64_intdigest
 
     length = rules.length
+    seen: dict[int, int] = {}
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for pieces in blocks([len(t) for t in texts], length):
@@ -103,22 +111,32 @@ def runs(batches: Iterator[pa.RecordBatch], rules: RepeatRules) -> Iterator[pa.R
             first = suffixes[new]
             stop = suffixes[np.append(new[1:], len(suffixes)) - 1] + 1
             bodies = np.fromiter((xxh3_64_intdigest(data[a : b + length - 1]) for a, b in zip(first.tolist(), stop.tolist())), np.uint64, len(first))
+            known = np.zeros(len(first), bool)
+            for i, body in enumerate(bodies.tolist()):
+                n = seen.get(body, 0)
+                if n == 2:
+                    known[i] = True
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen[body] = n + 1
             piece = np.searchsorted(offsets, first, "right") - 1
             shift = np.array([s for _, s, _ in pieces])[piece] - offsets[piece]
             rows = pa.array(np.array([i for i, _, _ in pieces])[piece])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(hashes[digit[new]].view(np.int64)), pa.array(bodies.view(np.int64)),
+                    pa.array(hashes[digit[new]].view(np.int64)), pa.array(bodies.view(np.int64)), pa.array(known),
                     batch.column("doc_id").take(rows), batch.column("text_hash").take(rows),
                     pa.array((first + shift).astype(np.int32)), pa.array((stop + shift).astype(np.int32)),
                 ],
-                names=["gram", "body", "doc_id", "text_hash", "start", "stop"],
+                names=["gram", "body", "known", "doc_id", "text_hash", "start", "stop"],
             )
 
 
-def repeats(batches: Iterator[pa.RecordBatch], keys: int, alone: bool = False) -> Iterator[pa.RecordBatch]:
+def repeats(batches: Iterator[pa.RecordBatch], keys: int, alone: bool = False, sure: str | None = None) -> Iterator[pa.RecordBatch]:
     """Rows sorted by their first ``keys`` columns: those not alone with the first of them (``alone``:
     all), with two more columns: whether another row agrees in all, and whether it is the first that does.
+    Rows whose ``sure`` column is true are known to be repeated, and never the first.
 
     Rows stream by; one is held back until the next is seen, so no group is gathered.
     """
@@ -134,9 +152,9 @@ def repeats(batches: Iterator[pa.RecordBatch], keys: int, alone: bool = False) -
             as_last[0] = first_last[0] = False
         if after is None:
             as_next[-1] = first_next[-1] = False
-        keep = pa.array(first_last | first_next | alone)
-        arrays = [*batch.columns, pa.array(as_last | as_next), pa.array(~as_last)]
-        return pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "repeated", "first"]).filter(keep)
+        told = np.zeros(batch.num_rows, bool) if sure is None else batch.column(sure).to_numpy(zero_copy_only=False)
+        arrays = [*batch.columns, pa.array(as_last | as_next | told), pa.array(~as_last & ~told)]
+        return pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "repeated", "first"]).filter(pa.array(first_last | first_next | told | alone))
 
     for batch in batches:
         if not batch.num_rows:
@@ -213,39 +231,72 @@ def spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
             )
 
 
+def equal_groups(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """Which of the suffixes that start ``at`` agree with another of their group in ``length`` bytes.
+
+    Most-significant-digit passes: a digit is DIGIT bytes (the last one overlaps the one before), and
+    after every pass suffixes that no other agrees with leave. Digits are told apart by 64-bit
+    hashes, several to a window.
+    """
+    width = DIGIT
+    while width > length:
+        width //= 2
+    digits = gram_hashes(data, width)
+    for depth in range(0, length, width):
+        digit = digits[at + min(depth, length - width)]
+        key = (group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ digit
+        order = np.argsort(key)
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])[: len(key)]
+        ids = np.cumsum(new) - 1
+        several = np.bincount(ids, minlength=1)[ids] > 1 if len(ids) else new
+        at, group = at[order][several], ids[several]
+    return at
+
+
 def shared_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Of runs sorted by gram (few for each): intervals (doc_id, text_hash, lo, hi) of the windows that two have."""
-
-    def group(rows: list) -> Iterator[tuple]:
-        held = Counter(body[i : i + length] for *_, body in rows for i in range(len(body) - length + 1))
-        for _, doc, text, start, known, body in rows:
-            if known:
-                continue
-            lo = hi = None
-            for i in range(len(body) - length + 1):
-                if held[body[i : i + length]] < 2:
-                    continue
-                if hi is not None and i > hi:
-                    yield doc, text, start + lo, start + hi
-                    lo = None
-                lo, hi = i if lo is None else lo, i + length
-            if lo is not None:
-                yield doc, text, start + lo, start + hi
-
-    rows: list = []
-    kinds = None
-    for batch in chain(batches, [None]):
-        if batch is None and kinds is None:
-            break
-        out: list[tuple] = []
-        for row in zip(*[c.to_pylist() for c in batch.columns]) if batch is not None else [(None,)]:
-            if rows and row[0] != rows[0][0]:
-                out += group(rows)
-                rows = []
-            rows.append(row)
-        kinds = kinds if batch is None else [batch.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int32()]
-        columns = zip(*out) if out else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["doc_id", "text_hash", "lo", "hi"])
+    """Of runs (gram, doc_id, text_hash, start, known, body) sorted by gram, few for each: intervals
+    (doc_id, text_hash, lo, hi) of the windows that two have."""
+
+    def sort(grams: np.ndarray, known: np.ndarray, bodies: list[bytes]) -> list[tuple[int, int, int]]:
+        sizes = np.array([len(b) for b in bodies], np.int64)
+        offsets = np.cumsum(sizes) - sizes
+        counts = sizes - length + 1
+        at = np.repeat(offsets - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        data = np.frombuffer(b"".join(bodies), np.uint8)
+        held = np.sort(equal_groups(data, at, np.repeat(grams, counts), length))
+        row = np.searchsorted(offsets, held, "right") - 1
+        held, row = held[~known[row]], row[~known[row]]
+        place = held - offsets[row]
+        new = np.append(True, (np.diff(row) != 0) | (np.diff(place) > length))[: len(row)]
+        last = np.append(np.flatnonzero(new)[1:] - 1, len(row) - 1)
+        return list(zip(row[new].tolist(), place[new].tolist(), (place[last] + length).tolist())) if len(row) else []
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        for part in rows.combine_chunks().to_batches():
+            found = sort(part.column("gram").to_numpy(), part.column("known").to_numpy(zero_copy_only=False), part.column("body").to_pylist())
+            row, lo, hi = (np.array(c, np.int64) for c in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
+            start = part.column("start").to_numpy()[row]
+            columns = [part.column("doc_id").take(pa.array(row)), part.column("text_hash").take(pa.array(row)), pa.array((start + lo).astype(np.int32)), pa.array((start + hi).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "lo", "hi"])
+
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for whole in batches:
+        for first in range(0, whole.num_rows, 1024):
+            batch = whole.slice(first, 1024)
+            grams = batch.column("gram").to_numpy()
+            if total >= BLOCK_BYTES:  # work off all but the last gram, which may go on
+                before = held[-1].column("gram")[held[-1].num_rows - 1].as_py()
+                change = np.flatnonzero(grams != before)
+                if len(change):
+                    head, batch = batch.slice(0, int(change[0])), batch.slice(int(change[0]))
+                    yield from work(pa.Table.from_batches([*held, head]))
+                    held, total = [], 0
+            held.append(batch)
+            total += batch.column("body").nbytes
+    if held:
+        yield from work(pa.Table.from_batches(held))
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,50 +324,46 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_intervals(texts: DataFrame, rules: RepeatRules) -> DataFrame:
+def repeated_intervals(texts: DataFrame, rules: RepeatRules, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """(doc_id, text_hash, lo, hi) of bytes that repeated windows cover."""
     kind = texts.schema["doc_id"].dataType.simpleString()
-    place = f"doc_id {kind}, text_hash long, start int, stop int"
-    rows = texts.mapInArrow(partial(runs, rules=rules), f"gram long, body long, {place}")
-    dealt = rows.repartition("gram").sortWithinPartitions("gram", "body")
-    found = materialize(dealt.mapInArrow(partial(repeats, keys=2), f"gram long, body long, {place}, repeated boolean, first boolean"), "runs")
-    whole = found.filter("repeated").select("doc_id", "text_hash", F.col("start").alias("lo"), (F.col("stop") + rules.length - 1).alias("hi"))
+    interval = f"doc_id {kind}, text_hash long, lo int, hi int"
+    schema = f"gram long, body long, known boolean, doc_id {kind}, text_hash long, start int, stop int"
+    rows = texts.mapInArrow(partial(runs, rules=rules), schema)
+    deal = F.when(F.col("known"), F.xxhash64("doc_id", "text_hash", "start")).otherwise(F.col("gram"))
+    dealt = rows.repartition(deal).sortWithinPartitions("gram", "body", "known")
+    found = write(dealt.mapInArrow(partial(repeats, keys=2, sure="known"), f"{schema}, repeated boolean, first boolean").drop("known"), "runs")
+    out = found.filter("repeated").select("doc_id", "text_hash", F.col("start").alias("lo"), (F.col("stop") + rules.length - 1).alias("hi"))
     # one run of every body, where a gram has several bodies
     bodies = found.filter("first").drop("first")
-    several = materialize(bodies.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "grams")
-    few, many = several.filter(F.col("n") <= rules.group).select("gram"), several.filter(F.col("n") > rules.group).select("gram")
+    several = write(bodies.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "grams")
+    runs_of = F.collect_list(F.struct("gram", "start", "stop", "repeated")).alias("asked")
+    wanted = write(bodies.join(several, "gram").groupBy("doc_id", "text_hash").agg(runs_of), "runs-asked")
+    t = texts.alias("t")
+    same = F.col("t.doc_id").eqNullSafe(wanted["doc_id"]) & (F.col("t.text_hash") == wanted["text_hash"])
+    asked = t.join(by_shuffle(wanted), same).select("t.doc_id", "t.text_hash", "t.text", "asked")
+    under = asked.mapInArrow(partial(spans, length=rules.length), f"gram long, doc_id {kind}, text_hash long, start int, known boolean, body binary")
+    under = write(under, "bodies")
+
+    def windows(rows: DataFrame) -> DataFrame:
+        dealt = rows.select("gram", "doc_id", "text_hash", "start", "known", "body").repartition("gram").sortWithinPartitions("gram")
+        return dealt.mapInArrow(partial(shared_windows, length=rules.length), interval)
 
-    def asked(grams: DataFrame) -> DataFrame:
-        """The texts of the bodies of some grams; texts without one are left out before the shuffle."""
-        runs_of = F.collect_list(F.struct("gram", "start", "stop", "repeated")).alias("asked")
-        wanted = materialize(bodies.join(grams, "gram").groupBy("doc_id", "text_hash").agg(runs_of), "runs-asked")
-        t = likely_in(texts, F.col("text_hash"), wanted, F.col("text_hash")).alias("t")
-        same = F.col("t.doc_id").eqNullSafe(wanted["doc_id"]) & (F.col("t.text_hash") == wanted["text_hash"])
-        return t.join(by_shuffle(wanted), same).select("t.doc_id", "t.text_hash", "t.text", "asked")
-
-    under = asked(few).mapInArrow(partial(spans, length=rules.length), f"gram long, doc_id {kind}, text_hash long, start int, known boolean, body binary")
-    dealt = under.repartition("gram").sortWithinPartitions("gram")
-    out = whole.union(dealt.mapInArrow(partial(shared_windows, length=rules.length), f"doc_id {kind}, text_hash long, lo int, hi int"))
-    if many.isEmpty():
-        return out
-    # a gram with many bodies: passes over ever more bytes around it, until few bodies agree in them
-    under = asked(many).mapInArrow(partial(spans, length=rules.length), f"gram long, doc_id {kind}, text_hash long, start int, known boolean, body binary")
-    under = under.withColumns({"left": F.lit(0), "right": F.lit(0), "at": F.lit(-1)})
+    few, many = several.filter(F.col("n") <= rules.group).select("gram"), several.filter(F.col("n") > rules.group).select("gram")
+    out = out.union(windows(under.join(few, "gram")))
+    under = under.join(many, "gram").withColumns({"left": F.lit(0), "right": F.lit(0), "at": F.lit(-1)})
     schema = f"gram long, digest long, left int, right int, at int, doc_id {kind}, text_hash long, start int, known boolean, body binary"
-    while True:
+    while not many.isEmpty():  # ends at the latest when all bytes of a window are taken: such bodies are equal
         dealt = under.mapInArrow(partial(halves, rules=rules), schema).repartition("gram", "digest").sortWithinPartitions("gram", "digest")
-        found = materialize(dealt.mapInArrow(partial(repeats, keys=2, alone=True), f"{schema}, repeated boolean, first boolean"), "halves")
+        found = write(dealt.mapInArrow(partial(repeats, keys=2, alone=True), f"{schema}, repeated boolean, first boolean"), "halves")
         whole = found.filter("repeated and not known")
         out = out.union(whole.select("doc_id", "text_hash", F.col("start").alias("lo"), (F.col("start") + F.octet_length("body")).alias("hi")))
         bodies = found.filter("first").withColumn("known", F.col("known") | F.col("repeated")).drop("repeated", "first")
-        several = materialize(bodies.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "halves-shared")
-        few = bodies.join(several.filter(F.col("n") <= rules.group).select("gram"), "gram").select("gram", "doc_id", "text_hash", "start", "known", "body")
-        dealt = few.repartition("gram").sortWithinPartitions("gram")
-        out = out.union(dealt.mapInArrow(partial(shared_windows, length=rules.length), f"doc_id {kind}, text_hash long, lo int, hi int"))
+        several = write(bodies.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "halves-shared")
+        out = out.union(windows(bodies.join(several.filter(F.col("n") <= rules.group).select("gram"), "gram")))
         many = several.filter(F.col("n") > rules.group).select("gram")
-        if many.isEmpty():  # at the latest when all bytes of a window are taken: such bodies are equal
-            return out
         under = bodies.join(many, "gram")
+    return out
 
 
 def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -327,12 +374,13 @@ def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), id_col:
 
     Cases: a null text is empty. Texts shorter than ``length`` stay whole. Repeated rows repeat
     one another's bytes. A null doc_id is an id like any other. Very long texts are worked
-    through in overlapping blocks. An empty table gives no rows. Other columns are ignored.
+    through in overlapping blocks. An empty table gives no rows. Other columns are ignored,
+    whatever their names.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    found = materialize(
-        repeated_intervals(texts, rules).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("intervals")), "intervals"
-    )
+    with scratch(docs.sparkSession) as write:
+        every = repeated_intervals(texts, rules, write)
+        found = materialize(every.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("intervals")), "intervals")
     t = texts.alias("t")
     same = F.col("t.doc_id").eqNullSafe(found["doc_id"]) & (F.col("t.text_hash") == found["text_hash"])
     rows = t.join(by_shuffle(found), same, "left").select("t.doc_id", F.octet_length("t.text").cast("long").alias("n_bytes"), "t.text", "intervals")
