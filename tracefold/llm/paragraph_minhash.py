@@ -4,15 +4,15 @@ A paragraph is a piece of five words or more, about eight as a rule, that ends w
 around say so: at the least of the words some places to either side, where the last words of
 sentences are less than all others. Line ends do not count. So a passage pasted into another
 text, even in the middle of a sentence or in short lines, has the same paragraphs inside as
-anywhere else. Paragraphs whose MinHashes collide in a band are joined and verified by exact Jaccard similarity of their five-word
-shingles; equal paragraphs need no check. Components of the verified links are clusters. Of a
-cluster the earliest paragraph stays and the others go, where repeated paragraphs in a row, or a
-small gap apart, make up enough words.
+anywhere else. Paragraphs whose MinHashes collide in a band are joined and verified by exact
+Jaccard similarity of their five-word shingles; equal paragraphs need no check. Components of the
+verified links are clusters. Of a cluster the earliest paragraph stays and the others go, where
+repeated paragraphs in a row, or a small gap apart, make up enough words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import by_shuffle, materialize
+from ._shared import by_shuffle, materialize, scratch
 from .components import connected_components
 from .line_dedup import shared_keys
-from .simhash_dedup import Forest
 from .suffix_dedup import repeats
 
 CHUNK_BYTES = 1 << 20
+#: Paragraph hashes that a task remembers so as not to send the keys of a frequent paragraph again.
+REMEMBERED = 1 << 18
 WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 ENDING = np.isin(np.arange(256), list(b".!?"))
 
@@ -54,7 +55,7 @@ class ParagraphRules:
     longest: int = 32
     gap_words: int = 16
     min_run_words: int = 16
-    part: int = 200
+    part: int = 1000
 
 
 class Paragraphs:
@@ -135,11 +136,16 @@ def hashes(texts: list[bytes]) -> pa.Array:
 
 
 def band_keys(batches: Iterator[pa.RecordBatch], rules: ParagraphRules) -> Iterator[pa.RecordBatch]:
-    """Rows (key, paragraph, role 0), a key for every band."""
+    """Rows (key, paragraph, role 0), a key for every band; paragraphs that a task has just sent are left out."""
+    seen: set[int] = set()
     for batch in chunked(batches):
         found = Paragraphs(batch.column("text").to_pylist(), rules)
-        minima = found.minhashes(rules)
-        own = hashes(found.texts()).to_numpy()
+        own, at = np.unique(hashes(found.texts()).to_numpy(), return_index=True)
+        new = np.fromiter((x not in seen for x in own.tolist()), bool, len(own))
+        own, minima = own[new], found.minhashes(rules)[at[new]]
+        if len(seen) + len(own) > REMEMBERED:
+            seen.clear()
+        seen.update(own.tolist())
         keys = []
         for b in range(rules.bands):
             key = np.full(len(own), b + 1, np.uint64)
@@ -184,39 +190,47 @@ def verify(batches: Iterator[pa.RecordBatch], rules: ParagraphRules) -> Iterator
         w = words.split(b" ")
         return set(zip(*[w[i:] for i in range(rules.shingle)]))
 
-    at, home, forest = None, [], Forest()
+    def similar(a: set, b: set) -> bool:
+        if min(len(a), len(b)) < rules.similarity * max(len(a), len(b)):
+            return False
+        both = len(a & b)
+        return both >= rules.similarity * (len(a) + len(b) - both)
+
+    # trees of linked paragraphs: in a family of near copies the first of a tree mostly decides
+    at, trees = None, []
     for batch in batches:
         out: list[tuple[int, int]] = []
         for key, part, away, paragraph, words in zip(*[c.to_pylist() for c in batch.columns]):
             if (key, part) != at:
-                at, home, forest = (key, part), [], Forest()
+                at, trees = (key, part), []
             own = shingles(words)
-            for other, theirs in home:
-                if forest.find(paragraph) == forest.find(other):
-                    continue
-                if min(len(own), len(theirs)) < rules.similarity * max(len(own), len(theirs)):
-                    continue
-                both = len(own & theirs)
-                if both >= rules.similarity * (len(own) + len(theirs) - both):
-                    forest.join(paragraph, other)
-                    out.append((paragraph, other))
-            if not away:
-                home.append((paragraph, own))
+            met = [(t, other) for t in trees if (other := next((p for p, theirs in t if similar(own, theirs)), None)) is not None]
+            out += [(paragraph, other) for _, other in met]
+            if met:
+                whole = max((t for t, _ in met), key=len)
+                for t, _ in met:
+                    if t is not whole:
+                        whole += t
+                        trees = [x for x in trees if x is not t]
+                if not away:
+                    whole.append((paragraph, own))
+            elif not away:
+                trees.append([(paragraph, own)])
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
 
-def near_links(texts: DataFrame, rules: ParagraphRules) -> DataFrame:
+def near_links(texts: DataFrame, rules: ParagraphRules, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Links (a, b) between the hashes of different paragraphs that are similar enough."""
     kind = "key long, paragraph long, role int"
     keyed = texts.select("text").mapInArrow(partial(band_keys, rules=rules), kind)
-    shared = materialize(
+    shared = write(
         keyed.repartition("key").sortWithinPartitions("key", "paragraph", "role").mapInArrow(shared_keys, "key long, line_hash long, role int")
         .select("key", F.col("line_hash").alias("paragraph")),
         "band-keys",
     )
-    wanted = materialize(shared.select("paragraph").distinct(), "paragraphs-wanted")
+    wanted = write(shared.select("paragraph").distinct(), "paragraphs-wanted")
     every = texts.select("text").mapInArrow(partial(paragraph_texts, rules=rules), "paragraph long, words binary")
-    words = materialize(every.join(by_shuffle(wanted), "paragraph").groupBy("paragraph").agg(F.first("words").alias("words")), "paragraph-words")
+    words = write(every.join(by_shuffle(wanted), "paragraph").groupBy("paragraph").agg(F.first("words").alias("words")), "paragraph-words")
     sizes = shared.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / rules.part).cast("int").alias("parts"))
     dealt = shared.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("paragraph"), "parts").cast("int")).join(words, "paragraph")
     home = dealt.select("key", "part", F.lit(0).alias("away"), "paragraph", "words")
@@ -237,44 +251,55 @@ def repeated_paragraphs(docs: DataFrame, rules: ParagraphRules = ParagraphRules(
     shingle. Words are compared in lower case (A-Z). A document that is repeated whole, id
     and all, counts once. Of equal doc_ids the text hash decides which is earlier; null doc_ids
     are earliest. A very long text is cut whole. Paragraphs are told apart by a 64-bit hash. Empty
-    tables give no rows; other columns are ignored.
+    tables give no rows; other columns are ignored, whatever their names.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     schema = f"paragraph long, doc_id {kind}, text_hash long, number int, start int, stop int, n_words int"
-    components = materialize(connected_components(materialize(near_links(texts, rules), "paragraph-links")), "paragraph-components")
-    found = texts.mapInArrow(partial(places, rules=rules), schema)
-    # a row for every linked paragraph keeps its places from being alone
-    marks = components.select(F.col("node").alias("paragraph"), *[F.lit(None).cast(t).alias(c) for c, t in found.dtypes[1:]])
-    sorted_rows = found.union(marks).repartition("paragraph").sortWithinPartitions("paragraph")
-    several = sorted_rows.mapInArrow(partial(repeats, keys=1), f"{schema}, repeated boolean, first boolean")
-    several = materialize(several.filter("n_words is not null").drop("repeated", "first").distinct(), "paragraph-places")
-    rooted = several.join(components.withColumnRenamed("node", "paragraph"), "paragraph", "left").withColumn("root", F.coalesce("root", "paragraph"))
-    place = F.struct("doc_id", "text_hash", "number")
-    clusters = rooted.groupBy("root").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    member = rooted.join(clusters, "root")
-    by_doc = Window.partitionBy("doc_id", "text_hash")
-    new_run = F.coalesce(F.col("number") - F.lag(F.col("number") + F.col("n_words")).over(by_doc.orderBy("number")) > rules.gap_words, F.lit(True))
-    runs = member.withColumn("new_run", new_run).withColumn("run", F.sum(F.col("new_run").cast("int")).over(by_doc.orderBy("number").rowsBetween(Window.unboundedPreceding, 0)))
-    return (
-        runs.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "text_hash", "run")))
-        .filter(F.col("run_words") >= rules.min_run_words)
-        .select(
-            "doc_id", "text_hash", "number", "start", "stop", "n_words", "run_words",
-            F.col("earliest.doc_id").alias("cluster_id"), "members", (place == F.col("earliest")).alias("kept"),
+    with scratch(docs.sparkSession) as write:
+        components = write(connected_components(write(near_links(texts, rules, write), "paragraph-links"), write), "paragraph-components")
+        found = texts.mapInArrow(partial(places, rules=rules), schema)
+        # a row for every linked paragraph keeps its places from being alone
+        marks = components.select(F.col("node").alias("paragraph"), *[F.lit(None).cast(t).alias(c) for c, t in found.dtypes[1:]])
+        sorted_rows = found.union(marks).repartition("paragraph").sortWithinPartitions("paragraph")
+        several = sorted_rows.mapInArrow(partial(repeats, keys=1), f"{schema}, repeated boolean, first boolean")
+        several = write(several.filter("n_words is not null").drop("repeated", "first").distinct(), "paragraph-places")
+        place = F.struct("doc_id", "text_hash", "number")
+        # places are counted by paragraph and then by cluster before they meet their cluster
+        by_paragraph = several.groupBy("paragraph").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("members"))
+        rooted = by_paragraph.join(components.withColumnRenamed("node", "paragraph"), "paragraph", "left").withColumn("root", F.coalesce("root", "paragraph"))
+        clusters = rooted.groupBy("root").agg(F.min("earliest").alias("earliest"), F.sum("members").alias("members")).filter("members > 1")
+        told = write(rooted.select("paragraph", "root").join(clusters, "root").drop("root"), "paragraph-clusters")
+        member = several.join(told, "paragraph")
+        by_doc = Window.partitionBy("doc_id", "text_hash")
+        new_run = F.coalesce(F.col("number") - F.lag(F.col("number") + F.col("n_words")).over(by_doc.orderBy("number")) > rules.gap_words, F.lit(True))
+        runs = member.withColumn("new_run", new_run).withColumn("run", F.sum(F.col("new_run").cast("int")).over(by_doc.orderBy("number").rowsBetween(Window.unboundedPreceding, 0)))
+        rows = (
+            runs.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "text_hash", "run")))
+            .filter(F.col("run_words") >= rules.min_run_words)
+            .select(
+                "doc_id", "text_hash", "number", "start", "stop", "n_words", "run_words",
+                F.col("earliest.doc_id").alias("cluster_id"), "members", (place == F.col("earliest")).alias("kept"),
+            )
         )
-    )
+        return materialize(rows, "paragraphs")
 
 
 def remove_paragraphs(docs: DataFrame, rules: ParagraphRules = ParagraphRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the bytes of repeated paragraphs that go (paragraphs end between characters)."""
+    """``docs`` without the bytes of repeated paragraphs that go (paragraphs end between characters).
+
+    Cases are those of :func:`repeated_paragraphs`. Every row stays, and all columns, whatever their
+    names; a null text stays null, and copies of a row are cut alike.
+    """
     gone = repeated_paragraphs(docs, rules, id_col, text_col).filter("not kept")
-    by_doc = materialize(gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")), "paragraphs-gone")
+    spans = F.array_sort(F.collect_list(F.struct("start", "stop")))
+    by_doc = gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(spans.alias("_spans"))
     d = docs.alias("d")
     text = F.col(f"d.{text_col}")
     raw = F.encode(text, "UTF-8")
-    same = F.col(f"d.{id_col}").eqNullSafe(by_doc["doc_id"]) & (F.xxhash64(text) == by_doc["text_hash"])
-    ends = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.octet_length(text)))
-    starts = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["stop"]))
+    same = F.col(f"d.{id_col}").eqNullSafe(by_doc["_id"]) & (F.xxhash64(text) == by_doc["_hash"])
+    cuts = by_doc["_spans"]
+    ends = F.concat(F.transform(cuts, lambda s: s["start"]), F.array(F.octet_length(text)))
+    starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda s: s["stop"]))
     left = F.array_join(F.zip_with(starts, ends, lambda a, b: F.decode(F.substring(raw, a + 1, b - a), "UTF-8")), "")
-    return d.join(by_shuffle(by_doc), same, "left").select(*[F.when(F.col("spans").isNull(), text).otherwise(left).alias(c) if c == text_col else F.col(f"d.{c}") for c in docs.columns])
+    return d.join(by_shuffle(by_doc), same, "left").select(*[F.when(cuts.isNull(), text).otherwise(left).alias(c) if c == text_col else F.col(f"d.{c}") for c in docs.columns])
