@@ -87,20 +87,20 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 
 def secrets_sql(rules: OwnershipRules = OwnershipRules()) -> str:
     found = "\n  UNION ALL ".join(
-        f"SELECT r, doc_id, source, '{kind}' AS kind, {i} AS rank, {least} AS least, {group} AS grp, {quoted(p)} AS re, regexp_extract_all(text, {quoted(p)}, 0) AS ms, string_split_regex(text, {quoted(p)}) AS gs FROM d"
+        f"SELECT r, repo, owner, '{kind}' AS kind, {i} AS rank, {least} AS least, {group} AS grp, {quoted(p)} AS re, regexp_extract_all(text, {quoted(p)}, 0) AS ms, string_split_regex(text, {quoted(p)}) AS gs FROM d"
         for i, (kind, p, group, least) in enumerate(KINDS)
     )
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, *_ in KINDS)
     zero = ", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in [*[k for k, *_ in KINDS], "copied"])
     return f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS repo, coalesce(source, '') AS owner, coalesce(text, '') AS text FROM documents),
 m AS ({found}),
-e AS (SELECT r, source, kind, rank, least, grp, re, i, ms[i] AS match, gs[i] AS gap FROM (SELECT *, generate_subscripts(ms, 1) AS i FROM m)),
+e AS (SELECT r, repo, owner, kind, rank, least, grp, re, i, ms[i] AS match, gs[i] AS gap FROM (SELECT *, generate_subscripts(ms, 1) AS i FROM m)),
 s AS (SELECT *, CASE WHEN kind = 'assign' THEN regexp_extract(match, {quoted(KINDS[0][1])}, 2) ELSE match END AS value,
   sum(length(gap) + length(match)) OVER (PARTITION BY r, kind ORDER BY i) AS stop FROM e),
-t AS (SELECT r, source, kind, rank, value, CAST(stop - length(match) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM s WHERE length(value) >= least),
-o AS (SELECT value, count(DISTINCT source) AS owners FROM t GROUP BY value),
-f AS (SELECT t.*, owners > {rules.max_owners} OR owners > {rules.max_repositories} AS copied,
+t AS (SELECT r, repo, owner, kind, rank, value, CAST(stop - length(match) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM s WHERE length(value) >= least),
+o AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repositories FROM t GROUP BY value),
+f AS (SELECT t.*, owners > {rules.max_owners} OR repositories > {rules.max_repositories} AS copied,
   max(stop) FILTER (kind <> 'owned') OVER (PARTITION BY r ORDER BY start, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
   min(start) FILTER (kind <> 'owned') OVER (PARTITION BY r ORDER BY start, rank ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM t JOIN o ON t.value = o.value),
 k AS (SELECT * FROM f WHERE kind <> 'owned' OR (coalesce(before, -1) <= start AND coalesce(after, stop) >= stop AND NOT copied AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')

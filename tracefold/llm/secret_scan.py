@@ -2,8 +2,9 @@
 
 Patterns find base secrets; long mixed tokens are further candidates. The hash of every
 candidate's value is counted over all documents by distinct repository and owner. A value
-that many owners hold is a copied example; one that few hold and that looks live is a
-credential of its owner. Candidates of that sort are added to the base spans, which all stay.
+that many owners or very many repositories hold is a copied example; one that few hold and that
+looks live is a credential of its owner. Candidates of that sort are added to the base spans,
+which all stay. Unless columns are given, a document is a repository and its source the owner.
 Built-in functions only.
 """
 
@@ -30,10 +31,14 @@ KINDS = (*BASE, OWNED)
 
 @dataclass(frozen=True)
 class OwnershipRules:
-    """A value with more owners or repositories is a copied example; live-looking values hold so many distinct characters."""
+    """A value with more owners or repositories is a copied example; live-looking values hold so many distinct characters.
+
+    An owner may use a credential in several repositories; one that stands in very many is a
+    default that ships with something.
+    """
 
     max_owners: int = 1
-    max_repositories: int = 2
+    max_repositories: int = 20
     min_distinct_chars: int = 10
 
 
@@ -62,8 +67,9 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, repo: Column, owner:
     """A slim row per document with all its matches; the text is read once and left behind."""
     text = F.col("text")
     found = F.flatten(F.filter(F.array(*[matches(text, k, p, g) for k, p, g, _ in KINDS]), lambda x: x.isNotNull()))
+    known = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), repo.alias("repo"), owner.alias("owner"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.col(id_col).alias("doc_id"), known(repo).alias("repo"), known(owner).alias("owner"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
     return materialize(
         rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repo", "owner", found.alias("found")), "secrets"
@@ -108,7 +114,7 @@ def find_secrets(
 
     Spans: row, doc_id, kind, rank, start, end, value_hash, repositories, owners, copied, live.
     """
-    repo = F.col("source") if repo is None else repo
+    repo = F.col(id_col) if repo is None else repo
     owner = F.col("source") if owner is None else owner
     slim = candidates(docs, id_col, text_col, repo, owner)
     spans = materialize(located(slim), "secret-spans")
@@ -130,8 +136,9 @@ def scan_documents(docs: DataFrame, rules: OwnershipRules = OwnershipRules(), **
 
     Also n_owned and n_copied (base secrets that many owners hold).
 
-    Cases: a null or empty text has no spans. Null repositories and owners do not count. A
-    row that is repeated is scanned each time, and its values count once per repository and
+    Cases: a null or empty text has no spans. All that have no owner count as one owner, who is
+    unlike any other, and so with repositories: a value that an owner shares with somebody unknown is
+    no longer only theirs. A row that is repeated is scanned each time, and its values count once per repository and
     owner. Very long texts are scanned whole. An empty table gives no rows. Other columns are
     ignored.
     """
