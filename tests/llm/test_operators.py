@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 
 pytest.importorskip("tracefold.llm")
 from pyspark.sql import functions as F  # noqa: E402
@@ -99,6 +100,12 @@ def test_fingerprints_and_components(docs, none):
         least[k] = min(least.get(k, 1 << 60), r.doc_id if r.doc_id is not None else 1 << 60)
     assert all(r.component_id == least[find(r.fp & (1 << 64) - 1)] for r in found)
     assert {r.fp for r in found if r.doc_id in (32, 33, 34)} == {0}
+    text_of = {r[0]: r[1] for r in corpus()}
+    for r in found:  # bit by bit
+        if r.doc_id is not None:
+            w = [x for x in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text_of[r.doc_id] or "")) if x]
+            hashed = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+            assert r.fp & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashed) > len(hashed))
     kept = simhash_dedup.keep_first(docs)
     assert kept.columns == docs.columns and kept.select("doc_id").distinct().count() == len(set(least.values()))
     assert simhash_dedup.near_duplicates(none).count() == 0
@@ -210,6 +217,9 @@ def test_secrets(spark, docs, none):
     rows = [
         (1, f'password = "hunter22" and token: ab, é {key} {"0a1b" * 7}', "a"), (2, f"secret=Tr0ub4dor_x9 {key}", "b"), (3, "tok_9fK2mQ7xL4vB8nR1wZ5c here", "a"),
         (4, "copied_3hJ8kL2mN6pQ9rS4tV all", "a"), (5, "copied_3hJ8kL2mN6pQ9rS4tV all", "b"), (6, None, None), (7, "", "a"), (8, "API-KEY: x api_key='longenough+/=='", "c"),
+        (9, "lone_5gH8jK2lP7qW3eR9tY null", None), (10, "mixed_6hJ9kL3mN8pQ2rS5tV", None), (11, "mixed_6hJ9kL3mN8pQ2rS5tV", "a"),
+        *[(20 + i, "shipped_7vB2nM5xC9zL4kJ8h everywhere", "z") for i in range(21)],
+        *[(50 + i, "mine_3cV6bN1mQ8wE4rT7yU here", "z") for i in range(5)], (50, "mine_3cV6bN1mQ8wE4rT7yU here", "z"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r for r in secret_scan.scan_documents(df).collect()}
@@ -221,6 +231,8 @@ def test_secrets(spark, docs, none):
         base = ",".join(s for _, _, s in sorted(spans))
         assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
     assert got[3].spans == "owned:0:24" and got[4].spans == got[5].spans == "" and got[1].n_copied == 1
+    assert got[9].spans == "owned:0:23" and got[10].spans == got[11].spans == ""  # nobody known is one owner
+    assert all(got[20 + i].spans == "" and got[50 + i % 5].spans == "owned:0:23" for i in range(21))
     assert secret_scan.scan_documents(docs).count() == len(corpus()) and secret_scan.scan_documents(none).count() == 0
 
 
@@ -363,8 +375,23 @@ def test_paragraphs(docs, none):
     got = paragraph_minhash.repeated_paragraphs(docs).collect()
     assert got and all(members[find(places[r.doc_id, r.number])] == r.members > 1 for r in got)
     assert {28, 29, 30} <= {r.doc_id for r in got}  # the passage pasted into three texts
+    # nothing is missing: all places of clusters of several, in runs that are long enough
+    want = set()
+    for d in {d for d, _ in places}:
+        run, upto = [], None
+        for n in [*sorted(n for e, n in places if e == d and members[find(places[d, n])] > 1), None]:
+            if n is None or upto is not None and n - upto > rules.gap_words:
+                want |= {(d, m) for m in run} if sum(len(places[d, m].split(b" ")) for m in run) >= rules.min_run_words else set()
+                run = []
+            if n is not None:
+                run.append(n)
+                upto = n + len(places[d, n].split(b" "))
+    assert len({(r.doc_id, r.number) for r in got} & want) >= 0.99 * len(want) and {(r.doc_id, r.number) for r in got} <= want
     assert all(corpus()[r.doc_id][1].encode()[r.start : r.stop].lower().split() == places[r.doc_id, r.number].split(b" ") for r in got if r.doc_id is not None)
-    left = {r.doc_id: r.text for r in paragraph_minhash.remove_paragraphs(docs).collect()}
+    clash = docs.withColumnsRenamed({"key": "spans", "place": "start", "fp": "text_hash"})
+    cut = paragraph_minhash.remove_paragraphs(clash)
+    left = {r.doc_id: r.text for r in cut.collect()}
+    assert cut.columns == clash.columns and cut.count() == len(corpus())
     assert len(left[29]) < len(corpus()[29][1]) and left[34] == corpus()[34][1] and left[33] is None
     assert paragraph_minhash.repeated_paragraphs(none).count() == 0
 
@@ -455,9 +482,44 @@ def test_leaks(spark, docs, none):
     left = decontaminate.drop_leaking(df, bench)
     assert sorted((r.doc_id, r.text) for r in left.collect() if r.text) == sorted(((3, rows[2][1]), (6, rows[5][1]), (1, rows[9][1])))
     assert left.count() == 5
+    few = spark.createDataFrame([(20, "What is two plus"), (21, "Plus!"), (22, None)], "item_id long, text string")
+    asked = spark.createDataFrame([(1, "so what is two plus two", "x"), (2, "what is two", "x"), (3, "plus", "x"), (None, None, "x")], "doc_id long, text string, shingles string")
+    assert sorted((r.doc_id, r.item_id, r.start, r.width, r.similarity) for r in decontaminate.find_leaks(asked, few).collect()) == [(1, 20, 1, 4, 1.0), (1, 21, 4, 1, 1.0), (3, 21, 0, 1, 1.0)]
+    assert decontaminate.find_leaks(asked, few, decontaminate.LeakRules(least_words=2)).count() == 1
+    assert decontaminate.drop_leaking(asked, few).count() == 2
     assert decontaminate.find_leaks(none, bench).count() == 0 and decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_against_all_windows(spark):
+    """Every window of every text, by exact weighted similarity: nothing else is found, and nearly all that is there."""
+    rng = random.Random(14)
+    items = [(i, prose(rng, rng.randint(12, 40)).split()) for i in range(12)]
+    rows = []
+    for i in range(150):
+        item = list(rng.choice(items)[1])
+        for _ in range(rng.randint(0, 3)):
+            item[rng.randrange(len(item))] = "changed"
+        rows.append((i, prose(rng, rng.randint(0, 30)).split() + item + prose(rng, rng.randint(0, 30)).split()))
+    plain = lambda ws: [w for w in (re.sub(r"[^\w]|_", "", x.lower()) for x in ws) if w]
+    shingles = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = {}
+    for d, words in rows:
+        w = plain(words)
+        for i, item in items:
+            own = plain(item)
+            n = min(len(own), len(w))
+            for s in range(len(w) - n + 1):
+                a, b = shingles(w[s : s + n]), shingles(own)
+                like = sum((a & b).values()) / sum((a | b).values())
+                if like >= 0.8 and like > want.get((d, i), (0, 0))[0]:
+                    want[d, i] = (like, s)
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    found = decontaminate.find_leaks(docs, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in found}
+    assert len(want) > 40 and set(got) <= set(want) and len(got) >= 0.95 * len(want)
+    assert all(k in got for k, v in want.items() if v[0] == 1) and all(want[k] == pytest.approx(v) for k, v in got.items())
+
+
 def test_blocks_guarantee_the_radius(spark):
     """Any two fingerprints within the radius agree in a block up to a quarter of it."""
     rng = random.Random(6)
