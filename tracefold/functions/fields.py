@@ -95,3 +95,75 @@ def moment(tensor: Column) -> tuple[Column, Column]:
     """Scalar moment and magnitude of a 3x3 tensor given as an array of its nine elements."""
     m0 = F.sqrt(F.aggregate(tensor, F.lit(0.0), lambda a, x: a + x * x) / 2)
     return m0, (F.log10(m0) - 9.05) / 1.5
+
+
+def relative_from_velocities(vpv: Column, vph: Column, vsv: Column, vsh: Column, vp0: Column, vs0: Column) -> dict[str, Column]:
+    """alpha and beta (mean velocities relative to a reference), phi and xi (halved relative differences of
+    squares) and kappa (ratio of the means). A mean is the root of the mean square."""
+    vp2, vs2 = (vpv * vpv + vph * vph) / 2, (vsv * vsv + vsh * vsh) / 2
+    return {
+        "alpha": F.sqrt(vp2) / vp0 - 1, "beta": F.sqrt(vs2) / vs0 - 1, "phi": (vph * vph - vpv * vpv) / (2 * vp2),
+        "xi": (vsh * vsh - vsv * vsv) / (2 * vs2), "kappa": F.sqrt(vp2 / vs2),
+    }
+
+
+def velocities_from_relative(alpha: Column, beta: Column, phi: Column, xi: Column, vp0: Column, vs0: Column) -> dict[str, Column]:
+    """The inverse of :func:`relative_from_velocities`."""
+    vp, vs = vp0 * (1 + alpha), vs0 * (1 + beta)
+    return {"vpv": vp * F.sqrt(1 - phi), "vph": vp * F.sqrt(1 + phi), "vsv": vs * F.sqrt(1 - xi), "vsh": vs * F.sqrt(1 + xi)}
+
+
+def velocities_from_ratio(beta: Column, kappa: Column, phi: Column, xi: Column, vs0: Column) -> dict[str, Column]:
+    """As :func:`velocities_from_relative`, with the ratio kappa in place of alpha."""
+    return velocities_from_relative(kappa - 1, beta, phi, xi, vs0 * (1 + beta), vs0)
+
+
+def thomsen(vpv: Column, vph: Column, vsv: Column, vsh: Column, eta: Column | None = None) -> dict[str, Column]:
+    """Weak-anisotropy parameters epsilon, gamma and, with eta, delta."""
+    a, c, el, n = vph * vph, vpv * vpv, vsv * vsv, vsh * vsh
+    out = {"epsilon": (a - c) / (2 * c), "gamma": (n - el) / (2 * el)}
+    if eta is not None:
+        f = eta * (a - 2 * el)
+        out["delta"] = ((f + el) * (f + el) - (c - el) * (c - el)) / (2 * c * (c - el))
+    return out
+
+
+#: Places of the moduli in the upper triangle of a symmetric 6 x 6 matrix, by rows.
+MODULI = {"11": 0, "12": 1, "13": 2, "22": 6, "23": 7, "33": 11, "44": 15, "55": 18, "66": 20}
+
+
+def kernels_of_parameters(moduli: Column, density: Column, model: dict[str, Column], vp0: Column, vs0: Column) -> dict[str, Column]:
+    """Kernels of (alpha, beta, phi, xi, eta, rho) from those of the moduli (array) and the density (per kg/m³).
+
+    With A = rho·vp²·(1 + phi), C = rho·vp²·(1 - phi), L = rho·vs²·(1 - xi), N = rho·vs²·(1 + xi) and F = eta·(A - 2L),
+    c11 = c22 = A, c33 = C, c12 = A - 2N, c13 = c23 = F, c44 = c55 = L and c66 = N: each kernel is the sum over
+    the five of what a parameter does to them.
+    """
+    k = {n: F.get(moduli, F.lit(i)) for n, i in MODULI.items()}
+    plane, tilt = k["13"] + k["23"], model["eta"]
+    d = {  # kernels of the five moduli
+        "A": k["11"] + k["22"] + k["12"] + tilt * plane, "C": k["33"], "L": k["44"] + k["55"] - 2 * tilt * plane, "N": k["66"] - 2 * k["12"],
+    }
+    vp, vs, rho, phi, xi = vp0 * (1 + model["alpha"]), vs0 * (1 + model["beta"]), model["rho"], model["phi"], model["xi"]
+    p, s = vp * vp, vs * vs
+    compression, shear = d["A"] * (1 + phi) + d["C"] * (1 - phi), d["L"] * (1 - xi) + d["N"] * (1 + xi)
+    return {
+        "alpha": 2 * rho * vp0 * vp * compression, "beta": 2 * rho * vs0 * vs * shear, "phi": rho * p * (d["A"] - d["C"]), "xi": rho * s * (d["N"] - d["L"]),
+        "eta": rho * plane * (p * (1 + phi) - 2 * s * (1 - xi)), "rho": 1000 * density + p * compression + s * shear,
+    }
+
+
+def hessian_diagonal(kernels: Column, density: Column) -> Column:
+    """An estimate of a Hessian's diagonal: the sum of squared kernels times the squared density."""
+    return F.aggregate(kernels, F.lit(0.0), lambda a, x: a + x * x) * density * density
+
+
+def depth_mask(depth: Column, none: float, full: float, kind: str = "cosine") -> Column:
+    """0 above, 1 below, and a straight line or half a cosine between."""
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (depth - none) / (full - none)))
+    return share if kind == "linear" else 0.5 - 0.5 * F.cos(F.lit(3.141592653589793) * share)
+
+
+def random_perturb(x: Column, share: float, seed: int) -> Column:
+    """x changed by a uniform random share of at most ``share``; the seed makes it the same for the same partitions."""
+    return x * (1 + share * (2 * F.rand(seed) - 1))

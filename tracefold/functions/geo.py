@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,4 +76,67 @@ def in_ring(lat: Column, lon: Column, lat0: float, lon0: float, least: float, mo
     return F.degrees(great_circle(lat, lon, F.lit(lat0), F.lit(lon0))).between(least, most)
 
 
-DEGREE = math.pi / 180
+@dataclass(frozen=True)
+class Chunk:
+    """A part of the sphere with its centre (degrees) and the angle by which its axes are turned counter-clockwise from east and north."""
+
+    lat: float
+    lon: float
+    rotation: float
+
+    def frame(self) -> np.ndarray:
+        """Rows: unit vectors outward, along xi and along eta."""
+        t = np.arctan((1 - WGS84_F) ** 2 * np.tan(np.radians(self.lat)))
+        p, g = np.radians(self.lon), np.radians(self.rotation)
+        out = np.array([np.cos(t) * np.cos(p), np.cos(t) * np.sin(p), np.sin(t)])
+        east, north = np.array([-np.sin(p), np.cos(p), 0.0]), np.array([-np.sin(t) * np.cos(p), -np.sin(t) * np.sin(p), np.cos(t)])
+        return np.stack([out, np.cos(g) * east + np.sin(g) * north, np.cos(g) * north - np.sin(g) * east])
+
+    def coordinates(self, lat: Column, lon: Column) -> tuple[Column, Column]:
+        """xi and eta (degrees) of a geodetic place at no height."""
+        v = unit_vector(geocentric_latitude(lat), lon)
+        out, xi, eta = (sum(float(a) * x for a, x in zip(row, v)) for row in self.frame())
+        return F.degrees(F.atan2(xi, out)), F.degrees(F.atan2(eta, out))
+
+    def place(self, xi: Column, eta: Column) -> tuple[Column, Column]:
+        """Geodetic latitude and longitude of chunk coordinates."""
+        along = (F.lit(1.0), F.tan(F.radians(xi)), F.tan(F.radians(eta)))
+        x, y, z = (sum(float(a) * c for a, c in zip(column, along)) for column in self.frame().T)
+        return geodetic_latitude(F.degrees(F.atan2(z, F.sqrt(x * x + y * y)))), F.degrees(F.atan2(y, x))
+
+
+def edge_distance(xi: Column, eta: Column, width_xi: float, width_eta: float) -> Column:
+    """How far (degrees) inside a chunk's edges a place is; negative outside."""
+    return F.least(width_xi / 2 - F.abs(xi), width_eta / 2 - F.abs(eta))
+
+
+def geodesic(steps: int = 20):
+    """A function of two places (lat, lon, lat, lon in degrees): distance (m), azimuth and back azimuth on the
+    ellipsoid, by Vincenty's inverse formula over whole batches. Nearly opposite places may not converge: null."""
+
+    @F.pandas_udf("struct<distance: double, azimuth: double, back: double>")
+    def inverse(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.DataFrame:
+        u, w = (np.arctan((1 - WGS84_F) * np.tan(np.radians(x.to_numpy(float)))) for x in (lat1, lat2))
+        gap = np.radians(lon2.to_numpy(float) - lon1.to_numpy(float))
+        lam, moved = gap.copy(), np.inf
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for _ in range(steps):
+                ss = np.hypot(np.cos(w) * np.sin(lam), np.cos(u) * np.sin(w) - np.sin(u) * np.cos(w) * np.cos(lam))
+                cs = np.sin(u) * np.sin(w) + np.cos(u) * np.cos(w) * np.cos(lam)
+                s = np.arctan2(ss, cs)
+                sa = np.where(ss == 0, 0.0, np.cos(u) * np.cos(w) * np.sin(lam) / ss)
+                c2 = 1 - sa * sa
+                cm = np.where(c2 == 0, 0.0, cs - 2 * np.sin(u) * np.sin(w) / c2)
+                c = WGS84_F / 16 * c2 * (4 + WGS84_F * (4 - 3 * c2))
+                new = gap + (1 - c) * WGS84_F * sa * (s + c * ss * (cm + c * cs * (2 * cm * cm - 1)))
+                lam, moved = new, np.abs(new - lam)
+            q = c2 * (1 / (1 - WGS84_F) ** 2 - 1)
+            a, b = 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q))), q / 1024 * (256 + q * (-128 + q * (74 - 47 * q)))
+            bent = b * ss * (cm + b / 4 * (cs * (2 * cm * cm - 1) - b / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
+            distance = np.where(ss == 0, 0.0, WGS84_A * (1 - WGS84_F) * a * (s - bent))
+            there = np.degrees(np.arctan2(np.cos(w) * np.sin(lam), np.cos(u) * np.sin(w) - np.sin(u) * np.cos(w) * np.cos(lam))) % 360
+            back = (np.degrees(np.arctan2(np.cos(u) * np.sin(lam), np.cos(u) * np.sin(w) * np.cos(lam) - np.sin(u) * np.cos(w))) + 180) % 360
+        good = np.asarray(moved) < 1e-9
+        return pd.DataFrame({"distance": np.where(good, distance, np.nan), "azimuth": np.where(good, there, np.nan), "back": np.where(good, back, np.nan)})
+
+    return inverse

@@ -84,31 +84,86 @@ def zero_phase_filter(rate: float, order: int, low: float | None, high: float |
     return filtered
 
 
+def impulse_response(n: int, rate: float, order: int, low: float | None, high: float | None) -> np.ndarray:
+    """What :func:`zero_phase_filter` makes of a single one in ``n`` samples."""
+    return np.fft.irfft(band_response(np.fft.rfftfreq(n, 1 / rate), rate, order, low, high), n)
+
+
+def stacked(*columns: pd.Series):
+    """(rows, a matrix for every column) for each length that all traces of a row share."""
+    sizes = np.array([[-1 if t is None else len(t) for t in c] for c in columns])
+    alike = (sizes == sizes[0]).all(axis=0) & (sizes[0] > 0)
+    for n in np.unique(sizes[0][alike]):
+        at = np.flatnonzero(alike & (sizes[0] == n))
+        yield at, *[np.stack(c.iloc[at].to_numpy()).astype(float) for c in columns]
+
+
+def correlations(a: np.ndarray, b: np.ndarray, fine: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Correlation of rows over their sizes at lags of 1/fine samples (spectral interpolation), and the lags in order."""
+    n = 1 << int(np.ceil(np.log2(2 * a.shape[1])))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        size = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))[:, None]
+        spectrum = np.fft.rfft(a, n) * np.conj(np.fft.rfft(b, n))
+        if fine > 1:
+            spectrum[:, -1] /= 2  # the highest frequency stands for two between the samples
+        full = np.fft.irfft(spectrum, n * fine) * fine / size
+    return np.roll(full, n * fine // 2, axis=1), (np.arange(n * fine) - n * fine // 2) / fine
+
+
 def cc_lag_search(rate: float, max_lag: float, fine: int = 8):
-    """Best lag (seconds) and CC of two traces: full correlation by FFT, refined by zero-padding its spectrum."""
+    """Best lag (seconds) and CC of two traces of one length: full correlation by FFT, refined by zero-padding its
+    spectrum. Of equal ones the first lag. Null for traces of zeros or of different lengths."""
 
     @F.pandas_udf("struct<lag: double, cc: double>")
     def best(observed: pd.Series, synthetic: pd.Series) -> pd.DataFrame:
-        rows = []
-        for a, b in zip(observed, synthetic):
-            a, b = np.asarray(a, float), np.asarray(b, float)
-            size = np.sqrt((a * a).sum() * (b * b).sum())
-            if not size:
-                rows.append((None, None))
-                continue
-            n = 1 << int(np.ceil(np.log2(2 * max(len(a), len(b)))))
-            spectrum = np.fft.rfft(a, n) * np.conj(np.fft.rfft(b, n))
-            full = np.fft.irfft(spectrum, n * fine) * fine / size
-            lags = np.arange(n * fine)
-            lags = np.where(lags >= n * fine // 2, lags - n * fine, lags) / (fine * rate)
-            near = np.flatnonzero(np.abs(lags) <= max_lag)
-            k = near[np.argmax(full[near])]
-            rows.append((float(lags[k]), float(full[k])))
-        return pd.DataFrame(rows, columns=["lag", "cc"])
+        out = np.full((len(observed), 2), np.nan)
+        for at, a, b in stacked(observed, synthetic):
+            cc, lags = correlations(a, b, fine)
+            near = np.flatnonzero(np.abs(lags) <= max_lag * rate)
+            k = near[np.argmax(np.round(np.nan_to_num(cc[:, near], nan=-9.0), 9), axis=1)]
+            top = cc[np.arange(len(at)), k]
+            out[at] = np.stack([np.where(np.isnan(top), np.nan, lags[k] / rate), top], axis=1)
+        return pd.DataFrame(out, columns=["lag", "cc"])
 
     return best
 
 
+def best_lag(most: int):
+    """Best whole lag in samples and its CC; of equal ones the last lag."""
+
+    @F.pandas_udf("struct<lag: int, cc: double>")
+    def best(observed: pd.Series, synthetic: pd.Series) -> pd.DataFrame:
+        lag, top = np.zeros(len(observed), np.int32), np.full(len(observed), np.nan)
+        for at, a, b in stacked(observed, synthetic):
+            cc, lags = correlations(a, b)
+            near = np.flatnonzero(np.abs(lags) <= most)[::-1]
+            k = near[np.argmax(np.nan_to_num(cc[:, near], nan=-9.0), axis=1)]
+            lag[at], top[at] = lags[k], cc[np.arange(len(at)), k]
+        missing = np.isnan(top)
+        return pd.DataFrame({"lag": pd.array(np.where(missing, 0, lag), dtype="Int32").astype(object).where(~missing, None) if missing.any() else lag, "cc": top})
+
+    return best
+
+
+def search_dots():
+    """Dot products of an observation, a synthetic and its change: all that a linear step needs."""
+
+    @F.pandas_udf("struct<oo: double, ou: double, ov: double, uu: double, uv: double, vv: double>")
+    def dots(observed: pd.Series, synthetic: pd.Series, change: pd.Series) -> pd.DataFrame:
+        out = np.full((len(observed), 6), np.nan)
+        for at, o, u, v in stacked(observed, synthetic, change):
+            out[at] = np.stack([(a * b).sum(axis=1) for a, b in ((o, o), (o, u), (o, v), (u, u), (u, v), (v, v))], axis=1)
+        return pd.DataFrame(out, columns=["oo", "ou", "ov", "uu", "uv", "vv"])
+
+    return dots
+
+
+def stepped_cc(d: Column, step: Column) -> Column:
+    """Similarity of the observation to u + step·v, from :func:`search_dots`."""
+    size = F.sqrt(d["oo"]) * F.sqrt(d["uu"] + 2 * step * d["uv"] + step * step * d["vv"])
+    return F.try_divide(d["ou"] + step * d["ov"], size)
+
+
 def derivative(rate: float):
     """Time derivative in the frequency domain."""
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,19 +29,44 @@ def station_statistics(df: DataFrame, station: str, component: str, components:
 
 
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int, by: str) -> DataFrame:
-    """Counts in equal bins over |value| <= high, of everything (a null group) and per group, in one pass."""
+    """Counts in equal bins over low to high, of everything (a null group) and per group, in one pass."""
     binned = df.withColumn("bin", F.least(F.lit(bins - 1), F.floor((value - low) / ((high - low) / bins)).cast("int")))
     return binned.filter(value.between(low, high)).groupingSets([[F.col("bin")], [F.col(by), F.col("bin")]], F.col(by), F.col("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def amplitude_pdf(df: DataFrame, value: Column, volume: Column, bins: int) -> DataFrame:
-    """Share of volume times |value| in equal bins [low, high) from 0 to the largest; the largest itself is in none."""
+def moments(df: DataFrame, value: Column, low: float, high: float, by: str) -> DataFrame:
+    """Count, mean and population deviation over low to high, of everything (a null group) and per group, in one pass."""
+    rows = df.filter(value.between(low, high)).withColumn("_v", value)
+    return rows.groupingSets([[], [F.col(by)]], F.col(by)).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"))
+
+
+def exact_sum(value: Column, digits: int = 10) -> Column:
+    """A sum that no order of rows changes: of decimals with so many digits after the point."""
+    return F.sum(value.cast(f"decimal(28, {digits})")).cast("double")
+
+
+def range_pdf(df: DataFrame, x: Column, low: float, high: float, bins: int, weight: Column) -> DataFrame:
+    """Share of weight in equal bins [low, high) of a fixed range (a depth)."""
+    at = F.floor((x - low) / ((high - low) / bins)).cast("int")
+    sums = df.filter((x >= low) & (x < high)).groupBy(at.alias("bin")).agg(F.sum(weight).alias("weight"))
+    return sums.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy()))  # one row per bin
+
+
+def amplitude_pdf(df: DataFrame, value: Column, volume: Column, bins: int, signed: bool = False) -> DataFrame:
+    """Share of volume times |value| in equal bins [low, high) from 0 to the largest amplitude (``signed``: from
+    minus it); the largest value itself is in none."""
     top = df.agg(F.max(F.abs(value)).alias("_top"))
-    placed = df.crossJoin(F.broadcast(top)).withColumn("bin", F.floor(F.abs(value) / (F.col("_top") / bins)).cast("int"))
+    at = (value + F.col("_top")) / (2 * F.col("_top") / bins) if signed else F.abs(value) / (F.col("_top") / bins)
+    placed = df.crossJoin(F.broadcast(top)).withColumn("bin", F.floor(at).cast("int"))
     sums = placed.groupBy("bin").agg(F.sum(volume * F.abs(value)).alias("weight")).filter(F.col("bin") < bins)
     return sums.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy()))
 
 
+def geometric_edges(top: float, bins: int) -> list[float]:
+    """-1, 0 and edges that grow by a factor up to the largest amplitude."""
+    return [-1.0, *[(top + 1) ** (i / bins) - 1 for i in range(bins + 1)]]
+
+
 def volume_cdf(df: DataFrame, value: Column, volume: Column, edges: list[float]) -> DataFrame:
     """Cumulative share of volume in bins (low, high]; the first edge is -1, so zeros count."""
     at = sum(F.when(F.abs(value) > e, 1).otherwise(0) for e in edges) if edges else F.lit(0)
@@ -46,10 +75,10 @@ def volume_cdf(df: DataFrame, value: Column, volume: Column, edges: list[float])
     return sums.withColumn("cdf", F.sum("volume").over(upto) / F.sum("volume").over(Window.partitionBy()))
 
 
-def cdf_threshold(cdf: DataFrame, edges: list[float], share: float) -> DataFrame:
-    """Upper edge of the first bin whose cumulative share reaches ``share``."""
-    edge = F.element_at(F.array(*[F.lit(float(e)) for e in edges]), F.least(F.col("bin") + 1, F.lit(len(edges))))
-    return cdf.filter(F.col("cdf") >= share).agg(F.min(edge).alias("threshold"))
+def threshold_of(cdf: Column, bin_: Column, edges: list[float], share: float) -> Column:
+    """Upper edge of the first bin whose cumulative share reaches ``share``, beside every bin of :func:`volume_cdf`."""
+    edge = F.element_at(F.array(*[F.lit(float(e)) for e in edges]), F.least(bin_ + 1, F.lit(len(edges))))
+    return F.min(F.when(cdf >= share, edge)).over(Window.partitionBy())  # one row per bin
 
 
 def triangular_profile(df: DataFrame, x: Column, centers: list[float], half: float, volume: Column, value: Column) -> DataFrame:
@@ -95,21 +124,33 @@ def merge_metadata(df: DataFrame, content: list[str], start: str, end: str, open
     return df.groupBy(*content).agg(F.min(start).alias(start), last.alias(end))
 
 
-def covariance(df: DataFrame, columns: list[str], weight: Column) -> DataFrame:
-    """Weighted means and covariances (i, j, mean_i, mean_j, cov) of columns, in one aggregate."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    one = df.agg(
-        F.sum(weight).alias("w"), *[F.sum(weight * F.col(c)).alias(f"s{i}") for i, c in enumerate(columns)],
-        *[F.sum(weight * F.col(columns[i]) * F.col(columns[j])).alias(f"p{i}_{j}") for i, j in pairs],
-    )
-    rows = F.array(*[
-        F.struct(
-            F.lit(i).alias("i"), F.lit(j).alias("j"), (F.col(f"s{i}") / F.col("w")).alias("mean_i"), (F.col(f"s{j}") / F.col("w")).alias("mean_j"),
-            (F.col(f"p{i}_{j}") / F.col("w") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("w") / F.col("w")).alias("cov"),
-        )
-        for i, j in pairs
-    ])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+def covariance(df: DataFrame, vector: str, weight: str) -> DataFrame:
+    """Weighted means and covariances (i, j, mean_i, mean_j, cov; i <= j) of the numbers of a vector.
+
+    Every task adds up its vectors as a matrix product; what is shuffled is one row of sums per task
+    and pair. Vectors of one length; nulls and rows without weight do not count.
+    """
+    rows = df.select(F.col(vector).cast("array<double>").alias("v"), F.col(weight).cast("double").alias("w")).filter("v is not null and w is not null")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                w = batch.column("w").to_numpy(zero_copy_only=False)
+                part = np.concatenate([[w.sum()], w @ x, ((x * w[:, None]).T @ x).ravel()])
+                total = part if total is None else total + part
+        if total is not None:
+            n = round(np.sqrt(len(total) - 0.75) - 0.5)
+            i, j = np.triu_indices(n)
+            mean, product = total[1 : n + 1], total[n + 1 :].reshape(n, n)
+            columns = [i.astype(np.int32), j.astype(np.int32), np.full(len(i), total[0]), mean[i], mean[j], product[i, j]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "j", "w", "si", "sj", "p"])
+
+    parts = rows.mapInArrow(sums, "i int, j int, w double, si double, sj double, p double")
+    found = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("w", "si", "sj", "p")])
+    mean = lambda c: F.col(c) / F.col("w")
+    return found.select("i", "j", mean("si").alias("mean_i"), mean("sj").alias("mean_j"), (mean("p") - mean("si") * mean("sj")).alias("cov"))
 
 
 def node_average(df: DataFrame, node: str, value: Column, volume: Column, out: str) -> DataFrame:
@@ -124,3 +165,12 @@ def min_gap_layout(df: DataFrame, by: list[str], x: Column, gap: float, out: str
     i = F.row_number().over(w)
     moved = F.max(F.col("_x") - F.col("_i") * gap).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_i") * gap
     return df.withColumn("_x", x).withColumn("_i", i).withColumn(out, moved).drop("_x", "_i")
+
+
+def availability(merged: DataFrame, by: list[str], begin: Column, end: Column) -> DataFrame:
+    """Share of [begin, end] that the islands of a group cover, and the number of gaps in it (at its ends too)."""
+    s, e = F.greatest(F.col("start"), begin), F.least(F.col("end"), end)
+    inside = F.when(e > s, e - s)
+    open_ends = F.when(F.min(F.when(e > s, s)) > begin, 1).otherwise(0) + F.when(F.max(F.when(e > s, e)) < end, 1).otherwise(0)
+    n = F.count(inside)
+    return merged.groupBy(*by).agg((F.coalesce(F.sum(inside), F.lit(0)) / (end - begin)).alias("share"), F.when(n == 0, 1).otherwise(n - 1 + open_ends).alias("n_gaps"))

@@ -49,51 +49,86 @@ def priority_patterns(df: DataFrame, text: Column, patterns: list[str], by: list
     return ranked.withColumn("_best", F.min("_rank").over(Window.partitionBy(*by))).filter("_rank = _best").withColumnRenamed("_rank", "pattern_rank").drop("_best")
 
 
-def interpolate_1d(points: DataFrame, x: str, knots: DataFrame, knot_x: str, knot_y: str, out: str, cells: int = 256) -> DataFrame:
+def interpolate_1d(points: DataFrame, x: str, knots: DataFrame, knot_x: str, knot_y: str, out: str) -> DataFrame:
     """Linear interpolation between the knots around each point, clamped outside.
 
-    The knots become intervals (a window over the knots, a model of a few thousand at most), and
-    the points meet them by a range join with the intervals broadcast by size.
+    The knots (a model of a few thousand at most, whose number is checked) become one sorted array,
+    which every row carries; the row looks up its place in it. Nothing is shuffled.
     """
-    w = Window.orderBy(knot_x)
-    spans = knots.select(
-        F.col(knot_x).alias("_x0"), F.col(knot_y).alias("_y0"),
-        F.lead(knot_x).over(w).alias("_x1"), F.lead(knot_y).over(w).alias("_y1"), F.row_number().over(w).alias("_i"),
-    )
-    low = F.when(F.col("_i") == 1, F.lit(float("-inf"))).otherwise(F.col("_x0"))
-    spans = spans.withColumn("_low", low).withColumn("_high", F.coalesce("_x1", F.lit(float("inf"))))
-    share = F.greatest(F.lit(0.0), (F.col(x) - F.col("_x0")) / (F.col("_x1") - F.col("_x0")))
-    value = F.when(F.col("_x1").isNull(), F.col("_y0")).otherwise(F.col("_y0") + share * (F.col("_y1") - F.col("_y0")))
-    inside = (F.col(x) >= F.col("_low")) & (F.col(x) < F.col("_high"))
-    return points.join(spans, inside).select(*points.columns, value.alias(out))
-
+    model = short_list(knots).agg(F.array_sort(F.collect_list(F.struct(F.col(knot_x).cast("double").alias("x"), F.col(knot_y).cast("double").alias("y")))).alias("_k"))
+    at = F.size(F.filter("_k", lambda k: k["x"] <= F.col(x)))
+    low, high = F.get("_k", at - 1), F.get("_k", at)
+    share = (F.col(x) - low["x"]) / (high["x"] - low["x"])
+    value = F.when(at == 0, F.get("_k", F.lit(0))["y"]).when(at == F.size("_k"), low["y"]).otherwise(low["y"] + share * (high["y"] - low["y"]))
+    return points.crossJoin(F.broadcast(model)).select(*points.columns, F.when(F.col(x).isNotNull(), value).alias(out))
 
-def _cells(df: DataFrame, xyz: list[str], size: float) -> list[Column]:
-    return [F.floor(F.col(c) / size).cast("long") for c in xyz]
 
-
-def radius_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, xyz: list[str], radius: float) -> DataFrame:
-    """Pairs (a_id, b_id, distance) within the radius.
+def pairs_within(a: DataFrame, b: DataFrame, xyz: list[str], radius: float) -> DataFrame:
+    """Pairs of rows within the radius: all columns of both as a_<name> and b_<name>, and the distance.
 
     Space is cut into cubes of the radius; b is dealt to its cube and the 26 around it, a to its
     own, and they meet by an equi-join. Spark splits a crowded cube (adaptive skew join).
     """
     steps = F.explode(F.array(*[F.lit(s) for s in (-1, 0, 1)]))
-    left = a.select(F.col(a_id).alias("a_id"), *[F.col(c).cast("double").alias(f"a{i}") for i, c in enumerate(xyz)], *[c.alias(f"c{i}") for i, c in enumerate(_cells(a, xyz, radius))])
-    right = b.select(F.col(b_id).alias("b_id"), *[F.col(c).cast("double").alias(f"b{i}") for i, c in enumerate(xyz)], *[c.alias(f"k{i}") for i, c in enumerate(_cells(b, xyz, radius))])
-    for i in range(len(xyz)):
-        right = right.withColumn("_s", steps).withColumn(f"c{i}", F.col(f"k{i}") + F.col("_s")).drop("_s", f"k{i}")
-    d2 = sum((F.col(f"a{i}") - F.col(f"b{i}")) * (F.col(f"a{i}") - F.col(f"b{i}")) for i in range(len(xyz)))
-    return left.join(right, [f"c{i}" for i in range(len(xyz))]).withColumn("distance", F.sqrt(d2)).filter(F.col("distance") <= radius).select("a_id", "b_id", "distance")
+    cell = lambda p, c: F.floor(F.col(f"{p}_{c}").cast("double") / radius).cast("long")
+    left = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns])
+    right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
+    left = left.withColumns({f"_c{i}": cell("a", c) for i, c in enumerate(xyz)})
+    for i, c in enumerate(xyz):
+        right = right.withColumn("_s", steps).withColumn(f"_c{i}", cell("b", c) + F.col("_s")).drop("_s")
+    gap = [F.col(f"a_{c}").cast("double") - F.col(f"b_{c}").cast("double") for c in xyz]
+    keys = [f"_c{i}" for i in range(len(xyz))]
+    return left.join(right, keys).drop(*keys).withColumn("distance", F.sqrt(sum(g * g for g in gap))).filter(F.col("distance") <= radius)
+
+
+def radius_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, xyz: list[str], radius: float) -> DataFrame:
+    """Pairs (a_id, b_id, distance) within the radius."""
+    met = pairs_within(a.select(F.col(a_id).alias("id"), *xyz), b.select(F.col(b_id).alias("id"), *xyz), xyz, radius)
+    return met.select("a_id", "b_id", "distance")
 
 
 def nearest_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, xyz: list[str], k: int, radius: float) -> DataFrame:
-    """The k nearest of b within the radius for every a; ties go to the lesser id."""
+    """The k nearest of b for every a (a_id, b_id, distance, rank); ties go to the lesser id.
+
+    ``radius`` is where the search begins: what has k neighbours within it is done, and for the others
+    the radius is doubled, until they have k or all of b. A good radius holds a few times k.
+    """
     w = Window.partitionBy("a_id").orderBy("distance", "b_id")
-    return radius_join(a, b, a_id, b_id, xyz, radius).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    extent = a.select(*xyz).unionByName(b.select(*xyz)).agg(*[(F.max(c) - F.min(c)).alias(c) for c in xyz]).first()
+    diagonal = sum((v or 0.0) ** 2 for v in extent) ** 0.5
+    left, found = a, None
+    while True:
+        ranked = radius_join(left, b, a_id, b_id, xyz, radius).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        if radius > diagonal:
+            return ranked if found is None else found.unionByName(ranked)
+        done = ranked.withColumn("_most", F.max("rank").over(Window.partitionBy("a_id"))).filter(F.col("_most") == k).drop("_most")
+        found = done if found is None else found.unionByName(done)
+        left = left.join(done.select(F.col("a_id").alias(a_id)).distinct(), a_id, "left_anti")
+        if left.isEmpty():
+            return found
+        radius *= 2
+
+
+def best_location(found: DataFrame, point: str, status: str, misloc: str, *last: str) -> DataFrame:
+    """Merge candidates of a point: inside (1) beats near (0), then the least misfit, then the least of the
+    ``last`` columns; -1 never counts."""
+    w = Window.partitionBy(point).orderBy(F.col(status).desc(), misloc, *last)
+    return found.filter(F.col(status) != -1).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def best_location(found: DataFrame, point: str, status: str, misloc: str) -> DataFrame:
-    """Merge candidates of a point: inside (1) beats near (0), then the least misfit; -1 never counts."""
-    w = Window.partitionBy(point).orderBy(F.col(status).desc(), misloc)
-    return found.filter(F.col(status) != -1).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+def thin_by_conflicts(pairs: DataFrame, cut) -> DataFrame:
+    """Points to drop (id) until no pair (a, b) is left, always the one in the most pairs (of equal ones the greatest id).
+
+    All points that are ahead of each of their neighbours go in one round: no neighbour could go before
+    them, so the rounds drop what one by one would. ``cut`` writes a table and rereads it.
+    """
+    both = cut(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    dropped = None
+    while not both.isEmpty():
+        degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        rival = both.join(degree.select(F.col("a").alias("b"), F.struct("n", F.col("a").alias("id")).alias("_r")), "b").groupBy("a").agg(F.max("_r").alias("_r"))
+        ahead = cut(degree.join(rival, "a").filter(F.struct(F.col("n").alias("n"), F.col("a").alias("id")) > F.col("_r")).select(F.col("a").alias("id")))
+        dropped = ahead if dropped is None else dropped.union(ahead)
+        left = both.join(ahead.withColumnRenamed("id", "a"), "a", "left_anti").join(ahead.withColumnRenamed("id", "b"), "b", "left_anti")
+        both = cut(left.select("a", "b"))
+    return dropped if dropped is not None else both.select(F.col("a").alias("id"))

@@ -96,8 +96,9 @@ def radius_join(spark, sf_dir):
     return J.radius_join(p, p, "vec_id", "vec_id", ["x", "y", "z"], 0.05).select("a_id", "b_id", F.round("distance", 9).alias("distance"))
 
 
-@query(XYZ + " SELECT a_id, b_id, round(distance, 9) AS distance, CAST(row_number() OVER (PARTITION BY a_id ORDER BY distance, b_id) AS INTEGER) AS rank FROM d WHERE distance <= 0.1 QUALIFY rank <= 3")
+@query(XYZ + " SELECT a_id, b_id, round(distance, 9) AS distance, CAST(row_number() OVER (PARTITION BY a_id ORDER BY distance, b_id) AS INTEGER) AS rank FROM d QUALIFY rank <= 3")
 def knn_join(spark, sf_dir):
+    """Three neighbours for every point, however far they are."""
     p = places(spark, sf_dir)
     return J.nearest_join(p, p, "vec_id", "vec_id", ["x", "y", "z"], 3, 0.1).select("a_id", "b_id", F.round("distance", 9).alias("distance"), "rank")
 
@@ -110,12 +111,12 @@ def min_distance_pairs(spark, sf_dir):
 
 @query(XYZ + """, c AS (SELECT a_id AS point, b_id, CASE WHEN distance < 0.02 THEN 1 WHEN distance < 0.06 THEN 0 ELSE -1 END AS status, distance AS misloc FROM d WHERE distance <= 0.08 AND a_id <> b_id)
 SELECT point, b_id AS element, CAST(status AS INTEGER) AS status, round(misloc, 9) AS misloc FROM c WHERE status <> -1
-QUALIFY row_number() OVER (PARTITION BY point ORDER BY status DESC, misloc) = 1""")
+QUALIFY row_number() OVER (PARTITION BY point ORDER BY status DESC, misloc, b_id) = 1""")
 def nearest_merge(spark, sf_dir):
     p, d = places(spark, sf_dir), F.col("distance")
     found = J.radius_join(p, p, "vec_id", "vec_id", ["x", "y", "z"], 0.08).filter("a_id <> b_id")
     found = found.select(F.col("a_id").alias("point"), F.col("b_id").alias("element"), F.when(d < 0.02, 1).when(d < 0.06, 0).otherwise(-1).alias("status"), d.alias("misloc"))
-    return J.best_location(found, "point", "status", "misloc").withColumn("misloc", F.round("misloc", 9))
+    return J.best_location(found, "point", "status", "misloc", "element").withColumn("misloc", F.round("misloc", 9))
 
 
 @query(XYZ + """ SELECT a_id AS vec_id, round(sum(exp(-distance * distance / (2 * 0.02 * 0.02)) * (label + 1)) / sum(exp(-distance * distance / (2 * 0.02 * 0.02))), 6) AS smooth
@@ -131,14 +132,14 @@ SOURCES = [(0.0, 0.0, 0.0), (0.1, -0.1, 0.05), (-0.2, 0.1, 0.0)]
 @query(XYZ + f""", s(sx, sy, sz) AS (VALUES {', '.join(map(str, SOURCES))})
 SELECT vec_id, round(product(1 - exp(-((x - sx) * (x - sx) + (y - sy) * (y - sy) + (z - sz) * (z - sz)) / (2 * 0.01))), 8) AS mask FROM p, s GROUP BY vec_id""")
 def source_mask_product(spark, sf_dir):
-    centers = spark.createDataFrame(SOURCES, "sx double, sy double, sz double")
-    d2 = sum((F.col(c) - F.col(f"s{c}")) * (F.col(c) - F.col(f"s{c}")) for c in "xyz")
-    return S.product_mask(places(spark, sf_dir), "vec_id", centers, d2, 0.1).select("vec_id", F.round("mask", 8).alias("mask"))
+    centers = S.centers_of(spark.createDataFrame(SOURCES, "sx double, sy double, sz double"), ["sx", "sy", "sz"])
+    return places(spark, sf_dir).select("vec_id", F.round(S.product_mask([F.col(c) for c in "xyz"], centers, 0.1), 8).alias("mask"))
 
 
-@query()
+@query(XYZ + """, f AS (SELECT d.a_id AS vec_id, sum(b.label - a.label) AS flow FROM d JOIN p a ON d.a_id = a.vec_id JOIN p b ON d.b_id = b.vec_id WHERE distance <= 0.05 AND a_id <> b_id GROUP BY 1)
+SELECT p.vec_id, x, y, z, round(label + 1.0 + 0.01 * coalesce(flow, 0), 9) AS u FROM p LEFT JOIN f ON p.vec_id = f.vec_id""")
 def diffusion_step(spark, sf_dir):
     """One explicit step on the graph of near places; the sum of the field is kept."""
     p = places(spark, sf_dir).select("vec_id", "x", "y", "z", (F.col("label") + 1.0).alias("u"))
     links = J.radius_join(p, p, "vec_id", "vec_id", ["x", "y", "z"], 0.05).filter("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.lit(1.0).alias("k"))
-    return S.diffusion_step(p, links, "vec_id", "u", "k", 0.01)
+    return S.diffusion_step(p, links, "vec_id", "u", "k", 0.01).withColumn("u", F.round("u", 9))

@@ -43,6 +43,12 @@ def misfit_histogram_overall_and_by_id(spark, sf_dir):
     return A.histogram(table(spark, sf_dir, "events"), F.col("value"), 0.0, 200.0, 10, "event_type")
 
 
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events WHERE value BETWEEN 0 AND 200 GROUP BY GROUPING SETS ((), (event_type))")
+def misfit_moments_overall_and_by_id(spark, sf_dir):
+    found = A.moments(table(spark, sf_dir, "events"), F.col("value"), 0.0, 200.0, "event_type")
+    return found.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
 @query(f"""
 SELECT event_id, round({TAPER.format(x='value', a=10.0, b=50.0)}, 9) AS two,
   round(CASE WHEN value <= 5 OR value >= 200 THEN 0.0 WHEN value BETWEEN 20 AND 80 THEN 1.0
@@ -71,7 +77,7 @@ c AS (SELECT bin, volume, sum(volume) OVER (ORDER BY bin) / sum(volume) OVER ()
 SELECT bin, volume, round(cdf, 9) AS cdf, (SELECT min({EDGES}[least(bin + 1, {len(EDGES)})]) FROM c WHERE cdf >= 0.9) AS threshold FROM c""")
 def volume_cdf_threshold(spark, sf_dir):
     cdf = A.volume_cdf(table(spark, sf_dir, "lineitem"), F.col("l_extendedprice"), F.col("l_quantity"), EDGES)
-    return cdf.crossJoin(F.broadcast(A.cdf_threshold(cdf, EDGES, 0.9))).select("bin", "volume", F.round("cdf", 9).alias("cdf"), "threshold")
+    return cdf.select("bin", "volume", F.round("cdf", 9).alias("cdf"), A.threshold_of(F.col("cdf"), F.col("bin"), EDGES, 0.9).alias("threshold"))
 
 
 CENTERS = [5.0, 15.0, 25.0, 35.0, 45.0]
@@ -95,16 +101,14 @@ def shared_node_average(spark, sf_dir):
     return found.select("l_orderkey", "l_linenumber", "l_partkey", F.round("node_mean", 4).alias("node_mean"))
 
 
-DIMS = 6
-
-
-@query(f"""
-WITH d AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS x FROM embeddings, (SELECT unnest(range({DIMS})) AS i))
-SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(avg(a.x), 6) AS mean_i, round(avg(b.x), 6) AS mean_j, round(avg(a.x * b.x) - avg(a.x) * avg(b.x), 6) AS cov
+@query("""
+WITH d AS (SELECT vec_id, 1.0 + label % 3 AS w, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)
+SELECT a.i, b.i AS j, round(sum(a.w * a.x) / sum(a.w), 6) AS mean_i, round(sum(a.w * b.x) / sum(a.w), 6) AS mean_j,
+  round(sum(a.w * a.x * b.x) / sum(a.w) - sum(a.w * a.x) / sum(a.w) * sum(a.w * b.x) / sum(a.w), 6) AS cov
 FROM d a JOIN d b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY 1, 2""")
 def covariance_matrix(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select(*[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(DIMS)])
-    found = A.covariance(rows, [f"x{i}" for i in range(DIMS)], F.lit(1.0))
+    """All dimensions of the vectors, weighted."""
+    found = A.covariance(table(spark, sf_dir, "embeddings").select("embedding", (1.0 + F.col("label") % 3).alias("w")), "embedding", "w")
     return found.select("i", "j", *[F.round(c, 6).alias(c) for c in ("mean_i", "mean_j", "cov")])
 
 

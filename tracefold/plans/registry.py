@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import joins, measures, models, search, stations, traces  # noqa: E402,F401  they register their queries
+from . import checks, joins, measures, mesh, models, search, stations, traces, waveforms  # noqa: E402,F401  they register their queries

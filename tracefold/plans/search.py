@@ -17,12 +17,13 @@ q AS (SELECT step, sum(weight * cc) AS wcc_sum, sum(weight) AS weight_sum FROM c
 
 
 def cube(spark, sf_dir):
-    """Per step of a linearised trace u + step·v: weighted sums of its similarity to the reversed trace."""
-    t = pairs(spark, sf_dir).withColumn("step", F.explode(F.array(*[F.lit(s) for s in STEPS])))
-    m = F.zip_with("u", "v", lambda x, y: x + F.col("step") * y)
-    cc = G.zero_lag_cc(F.col("m"), F.reverse("u"))
-    w = F.col("vec_id") % 5 + 1.0
-    return t.withColumn("m", m).groupBy("step").agg(F.sum(w * cc).alias("wcc_sum"), F.sum(w).alias("weight_sum"))
+    """Per step of a linearised trace u + step·v: weighted sums of its similarity to the reversed trace.
+
+    A trace sends on six dot products, whatever the number of steps.
+    """
+    t = pairs(spark, sf_dir).select((F.col("vec_id") % 5 + 1.0).alias("w"), G.search_dots()(F.reverse("u"), "u", "v").alias("d"))
+    steps = t.withColumn("step", F.explode(F.array(*[F.lit(s) for s in STEPS])))
+    return steps.groupBy("step").agg(F.sum(F.col("w") * G.stepped_cc(F.col("d"), F.col("step"))).alias("wcc_sum"), F.sum("w").alias("weight_sum"))
 
 
 @query(CUBE + " SELECT step, round(wcc_sum, 5) AS wcc_sum, weight_sum FROM q")
@@ -44,3 +45,25 @@ def sum_event_cubes(spark, sf_dir):
     w = F.col("l_quantity")
     return rows.groupBy(F.col("p_size").alias("a"), F.col("l_linenumber").cast("int").alias("b")).agg(
         F.count_distinct("l_suppkey").alias("events"), F.round(F.sum(w * F.col("l_discount")), 4).alias("wcc_sum"), F.sum(w).alias("weight_sum"))
+
+
+@query(PAIRS + """, g AS (SELECT unnest(range(20)) * 4 / 19.0 AS s), h AS (SELECT unnest(range(20)) * 4 / 19.0 AS r),
+d AS (SELECT list_inner_product(u, u) AS uu, list_inner_product(u, v) AS uv, list_inner_product(v, v) AS vv, list_inner_product(u, list_reverse(u)) AS ou, list_inner_product(v, list_reverse(u)) AS ov FROM t)
+SELECT round(s, 9) AS vp, round(r, 9) AS vs, round(sum((ou * (1 - r / 8) + s * ov) / (sqrt(uu) * sqrt((1 - r / 8) * (1 - r / 8) * uu + 2 * s * (1 - r / 8) * uv + s * s * vv))), 5) AS wcc_sum, count(*) AS weight_sum FROM d, g, h GROUP BY s, r""")
+def structure_search(spark, sf_dir):
+    """A full grid of two model steps: 400 cells from the same dot products."""
+    t = pairs(spark, sf_dir).select(G.search_dots()(F.reverse("u"), "u", "v").alias("d"))
+    axis = F.array(*[F.lit(i * 4 / 19) for i in range(20)])
+    cells = t.withColumn("vp", F.explode(axis)).withColumn("vs", F.explode(axis))
+    keep = 1 - F.col("vs") / 8  # the second step takes from the synthetic what the first adds
+    cc = G.stepped_cc(F.col("d"), F.col("vp") / keep)
+    found = cells.groupBy("vp", "vs").agg(F.sum(cc).alias("wcc_sum"), F.count(F.lit(1)).alias("weight_sum"))
+    return found.select(F.round("vp", 9).alias("vp"), F.round("vs", 9).alias("vs"), F.round("wcc_sum", 5).alias("wcc_sum"), "weight_sum")
+
+
+@query()
+def refined_search(spark, sf_dir):
+    """Shift and step searched together on a coarse grid refined by splines, in boxes that shrink; then the best."""
+    rows = pairs(spark, sf_dir).select(F.reverse("u").alias("obs"), F.col("u").alias("syn"), F.col("v").alias("change"), (F.col("vec_id") % 5 + 1.0).alias("weight"))
+    best = O.refined_search(lambda a, b: O.shifted_sums(rows, 2.0, a, b), {"dt0": (0.0, 2.0), "dxs": (1.0, 1.0)}, rounds=2)
+    return spark.createDataFrame([tuple(map(float, best))], "dt0 double, dxs double, wcc double")

@@ -46,6 +46,18 @@ def availability_gaps(spark, sf_dir):
     return A.gaps(covered(spark, sf_dir), ["user_id"])
 
 
+SPAN = (1_704_412_800_000_000, 1_705_276_800_000_000)  # from 2024-01-05 to 2024-01-15, microseconds
+
+
+@query(ISLANDS + f""", c AS (SELECT user_id, greatest("start", {SPAN[0]}) AS s, least("end", {SPAN[1]}) AS e FROM m),
+h AS (SELECT user_id, count(*) FILTER (e > s) AS n, coalesce(sum(e - s) FILTER (e > s), 0) AS total, min(s) FILTER (e > s) AS a, max(e) FILTER (e > s) AS b FROM c GROUP BY 1)
+SELECT user_id, round(total / {SPAN[1] - SPAN[0]}.0, 9) AS share, CAST(CASE WHEN n = 0 THEN 1 ELSE n - 1 + CASE WHEN a > {SPAN[0]} THEN 1 ELSE 0 END + CASE WHEN b < {SPAN[1]} THEN 1 ELSE 0 END END AS BIGINT) AS n_gaps FROM h""")
+def availability_share(spark, sf_dir):
+    """How much of a span there are data for, and in how many gaps there are none."""
+    found = A.availability(covered(spark, sf_dir), ["user_id"], F.lit(SPAN[0]), F.lit(SPAN[1]))
+    return found.select("user_id", F.round("share", 9).alias("share"), F.col("n_gaps").cast("long").alias("n_gaps"))
+
+
 @query("""
 WITH r AS (SELECT p_brand, p_retailprice AS r, p_size, CASE WHEN p_retailprice - lag(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) > 5 THEN 1 ELSE 0 END AS fresh, p_partkey FROM part),
 l AS (SELECT *, sum(fresh) OVER (PARTITION BY p_brand ORDER BY r, p_partkey ROWS UNBOUNDED PRECEDING) AS layer FROM r)
@@ -72,13 +84,13 @@ def first_wins_station(spark, sf_dir):
 
 
 @query("""
-WITH n AS (SELECT event_id, user_id, date_trunc('hour', ts) AS t, value, 0 AS age FROM events WHERE event_id % 2 = 0
-  UNION ALL SELECT event_id, user_id, date_trunc('hour', ts), value, 1 FROM events WHERE event_id % 3 = 0)
+WITH n AS (SELECT event_id, user_id, date_trunc('hour', ts) AS t, value, CASE WHEN ts < TIMESTAMP '2024-01-15' OR event_type IN ('click', 'view') THEN 0 ELSE 1 END AS age FROM events)
 SELECT user_id, t, event_id, value, CAST(age AS INTEGER) AS age FROM n QUALIFY row_number() OVER (PARTITION BY user_id, t ORDER BY age, event_id) = 1""")
 def archive_insert_dedupe(spark, sf_dir):
     """Insert new records into an archive: of equal keys (station, hour) the archived, then the first, is kept."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t"), "value")
-    archived, new = e.filter("event_id % 2 = 0").withColumn("age", F.lit(0)), e.filter("event_id % 3 = 0").withColumn("age", F.lit(1))
+    old = (F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")) | F.col("event_type").isin("click", "view")
+    e = table(spark, sf_dir, "events").withColumn("age", F.when(old, 0).otherwise(1)).select("event_id", "user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t"), "value", "age")
+    archived, new = e.filter("age = 0"), e.filter("age = 1")
     return A.first_wins(archived.unionByName(new), ["user_id", "t"], [F.col("age"), F.col("event_id")]).select("user_id", "t", "event_id", "value", "age")
 
 
