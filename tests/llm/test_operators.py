@@ -430,7 +430,7 @@ def test_banded_edit_distance():
             assert line_dedup.edits_within(a, b, k) == (distance(a, b) <= k)
 
 
-@pytest.mark.parametrize("most,bucket", [(1, 8), (2, 6), (2, 200), (3, 20)])
+@pytest.mark.parametrize("most,bucket", [(1, 8), (2, 6), (2, 3000), (3, 20)])
 def test_lines(spark, most, bucket):
     rng, base, rows = random.Random(3), prose(random.Random(4), 24).split(), []
     for i in range(80):

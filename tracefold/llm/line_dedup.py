@@ -37,13 +37,14 @@ REMEMBERED = 1 << 17
 @dataclass(frozen=True)
 class LineRules:
     """An edit is allowed for every ``words_per_edit`` words of the shorter line, ``most_edits`` at most
-    (a larger number multiplies the keys: 6, 15, 30, 54 a line for 1, 2, 3, 4). A shorter line is
-    dropped only where it is equal. ``bucket``: lines under a key that are compared pair by pair.
+    (a larger number multiplies the keys: 4, 12, 26, 49 a line for 1, 2, 3, 4). A shorter line is
+    dropped only where it is equal. ``bucket``: lines under a key that are compared with one another,
+    if they have no more than 64 times as many words.
     """
 
     words_per_edit: int = 10
     most_edits: int = 2
-    bucket: int = 200
+    bucket: int = 3000
 
     def edits(self, length: int) -> int:
         return min(self.most_edits, length // self.words_per_edit)
@@ -132,20 +133,24 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-LAST = 2
+#: What a line is under a key: a line's own segment, a probe, or both; raised by LAST where nothing is left to split.
+OWN, PROBE, BOTH, LAST = 0, 1, 2, 4
+#: Bits of the number of edits; above them stands the number of words of the line.
+EDIT_BITS = 8
 
 
 @lru_cache(4096)
 def first_places(length: int, rules: LineRules) -> tuple[np.ndarray, ...]:
     """Salt, start, width, role, edits and what is left of the indexed line, of all keys of a line."""
     own = rules.edits(length)
-    rows = [(*p, 0, own) for p in index_places(length, own)] if own else []
+    mine = index_places(length, own) if own else []
+    rows = [(*p, BOTH, own) for p in mine]  # an own segment is also the probe for lines of the same length
     for short in range(max(0, length - rules.most_edits), length + 1):
         k = rules.edits(short)
         if k and length - short <= k:
-            rows += [(*p, 1, k) for p in probe_places(length, k, short)]
+            rows += [(*p, PROBE, k) for p in probe_places(length, k, short) if p not in mine]
     short, segment, start, width, role, edits = np.array(rows, np.int64).reshape(-1, 6).T
-    return (short * 64 + segment).astype(np.uint64), start, width, role.astype(np.int32), edits.astype(np.int32), (short - width).astype(np.int32)
+    return (short * 64 + segment).astype(np.uint64), start, width, role.astype(np.int32), (edits | length << EDIT_BITS).astype(np.int32), (short - width).astype(np.int32)
 
 
 def mixed(key: np.ndarray) -> np.ndarray:
@@ -155,7 +160,7 @@ def mixed(key: np.ndarray) -> np.ndarray:
 
 
 def first_keys(batches: Iterator[pa.RecordBatch], rules: LineRules, rest: bool = False) -> Iterator[pa.RecordBatch]:
-    """Rows (key, line_hash, role, edits) of lines: role 0 for their own segments, 1 for probes.
+    """Rows (key, line_hash, role, edits) of lines.
 
     With ``rest`` also the words that the key leaves of the line, and how many it leaves of the
     indexed line. A run of words is hashed as a polynomial of its words' hashes, so that all runs
@@ -167,8 +172,8 @@ def first_keys(batches: Iterator[pa.RecordBatch], rules: LineRules, rest: bool =
     base = 0x9E3779B97F4A7C15
     inverse = np.uint64(pow(base, -1, 1 << 64))
     for whole in batches:
-        for first in range(0, whole.num_rows, 2048):
-            batch = whole.slice(first, 2048)
+        for first in range(0, whole.num_rows, 8192):
+            batch = whole.slice(first, 8192)
             lines, hashes = [], []
             for line, text in zip(batch.column("line_hash").to_pylist(), batch.column("line").to_pylist()):
                 if line in seen:
@@ -204,27 +209,28 @@ def first_keys(batches: Iterator[pa.RecordBatch], rules: LineRules, rest: bool =
 
 
 def split_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (seed, line_hash, role, edits, length, text): the keys of what is left of lines, and what each leaves.
-
-    Roles 0 and 1 are raised by LAST where nothing is left to split.
-    """
+    """Rows (seed, line_hash, role, edits, length, text): the keys of what is left of lines, and what each leaves."""
     from xxhash import xxh64_intdigest
 
     for batch in batches:
-        keys, rows, texts, last = [], [], [], []
+        keys, rows, roles, texts = [], [], [], []
         columns = [batch.column(c).to_pylist() for c in ("seed", "role", "edits", "length", "text")]
         for i, (seed, role, edits, length, text) in enumerate(zip(*columns)):
             words = text.split(" ") if text else []
-            n = len(words)
-            for short, part, at, width in index_places(n, edits) if role == 0 else probe_places(n, edits, length):
+            n, k = len(words), edits & (1 << EDIT_BITS) - 1
+            mine = index_places(n, k) if role != PROBE else []
+            places = [(p, role) for p in mine]
+            if role != OWN:
+                places += [(p, PROBE) for p in probe_places(n, k, length) if p not in mine]
+            for (short, part, at, width), own in places:
                 keys.append(xxh64_intdigest(f"{short}.{part}.{' '.join(words[at:at + width])}", seed & (1 << 64) - 1))
                 rows.append(i)
-                last.append(role if part >= 0 else role + LAST)
+                roles.append(own if part >= 0 else own + LAST)
                 texts.append((short - width, " ".join(words[:at] + words[at + width :])))
         row = pa.array(rows, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.array(keys, np.uint64).view(np.int64)), batch.column("line_hash").take(row), pa.array(last, pa.int32()),
+                pa.array(np.array(keys, np.uint64).view(np.int64)), batch.column("line_hash").take(row), pa.array(roles, pa.int32()),
                 batch.column("edits").take(row), pa.array([n for n, _ in texts], pa.int32()), pa.array([t for _, t in texts], pa.string()),
             ],
             names=["key", "line_hash", "role", "edits", "length", "text"],
@@ -252,22 +258,51 @@ def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep))
 
 
+def later_ones(lines: list[list[str]], rules: LineRules) -> list[int]:
+    """Of lines (as words) in their order, those that have an earlier one within the distance.
+
+    Two lines within k edits have all but k of the longer one's words in common. How many any two have
+    is a product of matrices of what each holds (a word's second occurrence is another word); only
+    pairs that have enough are compared word by word, until one fits.
+    """
+    n, sizes = len(lines), np.array([len(x) for x in lines], np.int64)
+    allowed = np.minimum(rules.most_edits, sizes // rules.words_per_edit)
+    ids: dict[tuple[str, int], int] = {}
+    rows, columns = [], []
+    for i, words in enumerate(lines):
+        times: dict[str, int] = {}
+        for w in words:
+            times[w] = times.get(w, 0) + 1
+            columns.append(ids.setdefault((w, times[w]), len(ids)))
+        rows += [i] * len(words)
+    rows, columns = np.array(rows, np.int64), np.array(columns, np.int64)
+    in_lines = np.bincount(columns, minlength=1)
+    everywhere = int((in_lines == n).sum())
+    telling = (in_lines > 1) & (in_lines < n)
+    place = np.cumsum(telling) - 1
+    keep = telling[columns]
+    held = np.zeros((n, int(telling.sum())), np.float32)
+    held[rows[keep], place[columns[keep]]] = 1
+    found = []
+    for first in range(0, n, 256):
+        last = min(n, first + 256)
+        common = held[first:last] @ held[:last].T + everywhere
+        most = np.minimum(allowed[first:last, None], allowed[None, :last])
+        near = (common + 0.5 >= np.maximum(sizes[first:last, None], sizes[None, :last]) - most) & (np.abs(sizes[first:last, None] - sizes[None, :last]) <= most)
+        near &= np.arange(last)[None] < np.arange(first, last)[:, None]
+        for i in np.flatnonzero(near.any(axis=1)).tolist():
+            if any(edits_within(lines[first + i], lines[j], int(most[i, j])) for j in np.flatnonzero(near[i]).tolist()):
+                found.append(first + i)
+    return found
+
+
 def verify(batches: Iterator[pa.RecordBatch], rules: LineRules) -> Iterator[pa.RecordBatch]:
-    """Rows (key, role, line_hash, doc_id, text_hash, line_no, line) by key: the later line of every pair within the distance."""
-
-    def place(row: tuple) -> tuple:
-        return (1, *row[3:6]) if row[3] is not None else (0, *row[4:6])
-
-    def bucket(rows: list) -> set[int]:
-        told = [(r[1] & 1, r[2], place(r), UNIT.findall(r[6])) for r in rows]
-        index, probes = [t for t in told if not t[0]], [t for t in told if t[0]]
-        done: set[int] = set()
-        for _, probe, at, words in probes:
-            for _, own, there, others in index:
-                later = probe if at > there else own
-                if probe != own and later not in done and edits_within(words, others, rules.edits(min(len(words), len(others)))):
-                    done.add(later)
-        return done
+    """Rows (key, line_hash, doc_id, text_hash, line_no, line) by key: line_hash of the lines with an earlier one within the distance."""
+
+    def bucket(rows: list) -> list[int]:
+        place = lambda r: (() if r[2] is None else (r[2],), *r[3:5])  # noqa: E731  a null id is earliest
+        told = sorted({r[1]: (place(r), r[1], r[5]) for r in rows}.values(), key=lambda t: t[0])
+        return [told[i][1] for i in later_ones([UNIT.findall(t[2]) for t in told], rules)] if len(told) > 1 else []
 
     at, rows = None, []
     for batch in batches:
@@ -278,7 +313,7 @@ def verify(batches: Iterator[pa.RecordBatch], rules: LineRules) -> Iterator[pa.R
                 at, rows = row[0], []
             rows.append(row)
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["line_hash"])
-    yield pa.RecordBatch.from_arrays([pa.array(list(bucket(rows)), pa.int64())], names=["line_hash"])
+    yield pa.RecordBatch.from_arrays([pa.array(bucket(rows), pa.int64())], names=["line_hash"])
 
 
 KEYED = "key long, line_hash long, role int, edits int"
@@ -292,10 +327,11 @@ def with_shared_keys(rows: DataFrame, schema: str) -> DataFrame:
 
 def later_of_last(keyed: DataFrame, firsts: DataFrame) -> DataFrame:
     """Under a key with nothing left to split all lines are within the distance: all but the earliest go."""
-    odd = F.col("role") % 2 == 1
+    probe, own = (F.col("role").isin(LAST + r, LAST + BOTH) for r in (PROBE, OWN))
     rows = keyed.filter(F.col("role") >= LAST).join(firsts, "line_hash").select("key", "role", "line_hash", F.struct(*PLACE).alias("place"))
-    least = rows.groupBy("key").agg(F.min(F.when(odd, F.col("place"))).alias("probe"), F.min(F.when(~odd, F.col("place"))).alias("own"))
-    return rows.join(least, "key").filter(F.col("place") > F.when(odd, F.col("own")).otherwise(F.col("probe"))).select("line_hash")
+    least = rows.groupBy("key").agg(F.min(F.when(probe, F.col("place"))).alias("probe"), F.min(F.when(own, F.col("place"))).alias("own"))
+    later = (probe & (F.col("place") > F.col("own"))) | (own & (F.col("place") > F.col("probe")))
+    return rows.join(least, "key").filter(later).select("line_hash")
 
 
 def near_lines(lines: DataFrame, firsts: DataFrame, rules: LineRules, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
@@ -305,14 +341,16 @@ def near_lines(lines: DataFrame, firsts: DataFrame, rules: LineRules, write: Cal
     texts = write(lines.join(by_shuffle(wanted), "line_hash").groupBy("line_hash", *PLACE).agg(F.first("line").alias("line")), "line-texts")
     rest, found = None, []
     while True:
-        told = keyed.groupBy("key").agg((F.max("role") >= LAST).alias("last"), F.count(F.lit(1)).alias("n"))
-        few = told.filter(~F.col("last") & (F.col("n") <= rules.bucket)).select("key")
-        pairs = keyed.join(few, "key").join(texts, "line_hash").select("key", "role", "line_hash", *PLACE, "line")
+        words = F.sum(F.shiftright("edits", EDIT_BITS))
+        small = (F.count(F.lit(1)) <= rules.bucket) & (words <= 64 * rules.bucket)
+        told = keyed.groupBy("key").agg((F.max("role") >= LAST).alias("last"), small.alias("small"))
+        few = told.filter("small and not last").select("key")
+        pairs = keyed.join(few, "key").join(texts, "line_hash").select("key", "line_hash", *PLACE, "line")
         later = pairs.repartition("key").sortWithinPartitions("key").mapInArrow(partial(verify, rules=rules), "line_hash long")
         if rest is not None:
             later = later.union(later_of_last(keyed, firsts))
         found.append(write(later.distinct(), "later-lines"))
-        many = write(told.filter(~F.col("last") & (F.col("n") > rules.bucket)).select("key"), "hot-keys")
+        many = write(told.filter("not small and not last").select("key"), "hot-keys")
         if many.isEmpty():
             return reduce(DataFrame.union, found).distinct()
         if rest is None:  # what the first keys leave of the lines
