@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Characters of text handled at once in a task, and segments and pieces that a worker remembers.
-CHUNK, CACHED_SEGMENTS, CACHED_PIECES = 1 << 18, 1 << 16, 1 << 19
+CHUNK, CACHED_SEGMENTS, CACHED_PIECES = 1 << 18, 1 << 18, 1 << 21
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
