@@ -237,24 +237,26 @@ def split_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, line_hash, role) in this order, those whose key several lines have; repeats go."""
+def shared_keys(batches: Iterator[pa.RecordBatch], roles: bool = True) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, line_hash, role, …; ``roles`` False: key, line_hash) in this order, those whose key several lines have; repeats go."""
     held: pa.RecordBatch | None = None  # rows of the last key, of one line so far
     shared = None  # the last key, once several lines had it
     for batch in batches:
         if held is not None:
             batch = pa.concat_batches([held, batch])
-        key, line, role = (batch.column(i).to_numpy() for i in range(3))
+        key, line = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(key):
             continue
         starts = np.flatnonzero(np.append(True, np.diff(key) != 0))
         several = np.minimum.reduceat(line, starts) != np.maximum.reduceat(line, starts)
         several |= key[starts] == shared if shared is not None else False
-        keep = np.repeat(several, np.diff(np.append(starts, len(key))))
-        keep[1:] &= (np.diff(key) != 0) | (np.diff(line) != 0) | (np.diff(role) != 0)
+        new = np.append(True, (np.diff(key) != 0) | (np.diff(line) != 0))
+        if roles:
+            new[1:] |= np.diff(batch.column(2).to_numpy()) != 0
+        keep = np.repeat(several, np.diff(np.append(starts, len(key)))) & new
         last = starts[-1]
         shared = key[last] if several[-1] else None
-        held = None if several[-1] else batch.slice(last).take(pa.array(np.flatnonzero(np.append(True, np.diff(role[last:]) != 0))))
+        held = None if several[-1] else batch.slice(last).take(pa.array(np.flatnonzero(new[last:])))
         yield batch.filter(pa.array(keep))
 
 

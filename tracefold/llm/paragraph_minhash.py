@@ -136,7 +136,7 @@ def hashes(texts: list[bytes]) -> pa.Array:
 
 
 def band_keys(batches: Iterator[pa.RecordBatch], rules: ParagraphRules) -> Iterator[pa.RecordBatch]:
-    """Rows (key, paragraph, role 0), a key for every band; paragraphs that a task has just sent are left out."""
+    """Rows (key, paragraph), a key for every band; paragraphs that a task has just sent are left out."""
     seen: set[int] = set()
     for batch in chunked(batches):
         found = Paragraphs(batch.column("text").to_pylist(), rules)
@@ -154,8 +154,7 @@ def band_keys(batches: Iterator[pa.RecordBatch], rules: ParagraphRules) -> Itera
                 key ^= key >> np.uint64(29)
             keys.append(key.view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(keys)), pa.array(np.tile(own, rules.bands)), pa.array(np.zeros(len(own) * rules.bands, np.int32))],
-            names=["key", "paragraph", "role"],
+            [pa.array(np.concatenate(keys)), pa.array(np.tile(own, rules.bands))], names=["key", "paragraph"]
         )
 
 
@@ -221,13 +220,10 @@ def verify(batches: Iterator[pa.RecordBatch], rules: ParagraphRules) -> Iterator
 
 def near_links(texts: DataFrame, rules: ParagraphRules, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Links (a, b) between the hashes of different paragraphs that are similar enough."""
-    kind = "key long, paragraph long, role int"
+    kind = "key long, paragraph long"
     keyed = texts.select("text").mapInArrow(partial(band_keys, rules=rules), kind)
-    shared = write(
-        keyed.repartition("key").sortWithinPartitions("key", "paragraph", "role").mapInArrow(shared_keys, "key long, line_hash long, role int")
-        .select("key", F.col("line_hash").alias("paragraph")),
-        "band-keys",
-    )
+    dealt = keyed.repartition("key").sortWithinPartitions("key", "paragraph")
+    shared = write(dealt.mapInArrow(partial(shared_keys, roles=False), kind), "band-keys")
     wanted = write(shared.select("paragraph").distinct(), "paragraphs-wanted")
     every = texts.select("text").mapInArrow(partial(paragraph_texts, rules=rules), "paragraph long, words binary")
     words = write(every.join(by_shuffle(wanted), "paragraph").groupBy("paragraph").agg(F.first("words").alias("words")), "paragraph-words")
