@@ -45,6 +45,17 @@ def from_ecef_surface(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
     return F.degrees(F.atan2(z, (1 - WGS84_E2) * F.sqrt(x * x + y * y))), F.degrees(F.atan2(y, x))
 
 
+def from_ecef(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    """Geodetic latitude, longitude (degrees) and height (m), by the reduced latitude of the place's direction; near
+    the surface (some hundred km) good to a micrometre and better."""
+    short, h = WGS84_A * (1 - WGS84_F), F.sqrt(x * x + y * y)
+    reduced = F.atan2(z * WGS84_A, h * short)
+    up, out = F.sin(reduced), F.cos(reduced)
+    lat = F.atan2(z + WGS84_E2 / (1 - WGS84_E2) * short * up * up * up, h - WGS84_E2 * WGS84_A * out * out * out)
+    height = h * F.cos(lat) + z * F.sin(lat) - WGS84_A * F.sqrt(1 - WGS84_E2 * F.sin(lat) * F.sin(lat))
+    return F.degrees(lat), F.degrees(F.atan2(y, x)), height
+
+
 def to_enu(dx: Column, dy: Column, dz: Column, lat: Column, lon: Column) -> tuple[Column, Column, Column]:
     """An ECEF difference in the east, north, up frame of a place."""
     a, b = F.radians(lat), F.radians(lon)

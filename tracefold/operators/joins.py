@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import cutter
+
 
 def epoch_join(data: DataFrame, epochs: DataFrame, keys: list[str], at: str, start: str, end: str, how: str = "inner") -> DataFrame:
     """Rows with the epochs of the same keys that hold the time strictly inside; a null end is open."""
@@ -94,6 +96,7 @@ def nearest_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, xyz: list[str
     the radius is doubled, until they have k or all of b. A good radius holds a few times k.
     """
     w = Window.partitionBy("a_id").orderBy("distance", "b_id")
+    cut = cutter(a.sparkSession, "nearest")
     extent = a.select(*xyz).unionByName(b.select(*xyz)).agg(*[(F.max(c) - F.min(c)).alias(c) for c in xyz]).first()
     diagonal = sum((v or 0.0) ** 2 for v in extent) ** 0.5
     left, found = a, None
@@ -101,9 +104,9 @@ def nearest_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, xyz: list[str
         ranked = radius_join(left, b, a_id, b_id, xyz, radius).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
         if radius > diagonal:
             return ranked if found is None else found.unionByName(ranked)
-        done = ranked.withColumn("_most", F.max("rank").over(Window.partitionBy("a_id"))).filter(F.col("_most") == k).drop("_most")
+        done = cut(ranked.withColumn("_most", F.max("rank").over(Window.partitionBy("a_id"))).filter(F.col("_most") == k).drop("_most"))
         found = done if found is None else found.unionByName(done)
-        left = left.join(done.select(F.col("a_id").alias(a_id)).distinct(), a_id, "left_anti")
+        left = cut(left.join(done.select(F.col("a_id").alias(a_id)).distinct(), a_id, "left_anti"))
         if left.isEmpty():
             return found
         radius *= 2

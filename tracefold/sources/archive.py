@@ -35,9 +35,56 @@ def read_archive(spark: SparkSession, path: str, start: str, end: str, like: dic
     for name, glob in (like or {}).items():
         pattern = glob.replace("%", r"\%").replace("_", r"\_").replace("*", "%").replace("?", "_")
         rows = rows.filter(F.col(name).cast("string").like(pattern))
-    seconds = F.col("npts") / F.col("samp_rate")
-    stop = F.timestamp_micros(F.unix_micros(F.col("starttime").cast("timestamp")) + (seconds * 1_000_000).cast("long")).cast("timestamp_ntz")
-    return rows.filter((F.col("starttime") <= t1) & (stop >= t0))
+    return rows.filter((F.col("starttime") <= t1) & (stop_time() >= t0))
+
+
+def read_bulk(records: DataFrame, requests: DataFrame) -> DataFrame:
+    """Records that overlap any of the requests (network, station, location, channel, start, end), each once.
+
+    Requests and records meet by the codes and the days that a request spans.
+    """
+    codes = ["network", "station", "location", "channel"]
+    r = requests.select(*codes, F.col("start").alias("_r0"), F.col("end").alias("_r1"))
+    r = r.withColumn("_day", F.explode(F.sequence(F.date_sub(F.to_date("_r0"), 1), F.to_date("_r1"))))
+    rows = records.withColumn("_stop", stop_time()).withColumn("_day", F.to_date("starttime"))
+    met = rows.join(r, [*codes, "_day"], "left_semi")  # cheap first; the times decide below
+    a, b = met.alias("a"), r.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*codes, "_day")] + [F.col("a.starttime") <= F.col("b._r1"), F.col("a._stop") >= F.col("b._r0")]
+    return a.join(b, same, "left_semi").select(*[F.col(f"a.{c}") for c in records.columns])
+
+
+def stop_time() -> Column:
+    """When a record's last sample ends."""
+    micros = F.unix_micros(F.col("starttime").cast("timestamp")) + (F.col("npts") / F.col("samp_rate") * 1_000_000).cast("long")
+    return F.timestamp_micros(micros).cast("timestamp_ntz")
+
+
+def trim(records: DataFrame, start: str, end: str, samples: str = "samples") -> DataFrame:
+    """Records cut to the samples whose times lie in [start, end]; those without one are left out."""
+    t0, t1 = (F.unix_micros(F.lit(t).cast("timestamp_ntz").cast("timestamp")) for t in (start, end))
+    own, step = F.unix_micros(F.col("starttime").cast("timestamp")), 1_000_000 / F.col("samp_rate")
+    first = F.greatest(F.lit(0), F.ceil((t0 - own) / step)).cast("int")
+    last = F.least(F.col("npts") - 1, F.floor((t1 - own) / step)).cast("int")
+    cut = records.withColumns({"_a": first, "_n": last - first + 1}).filter("_n > 0")
+    begin = F.timestamp_micros(own + (F.col("_a") * step).cast("long")).cast("timestamp_ntz")
+    return cut.withColumns({samples: F.slice(samples, F.col("_a") + 1, F.col("_n")), "starttime": begin, "npts": F.col("_n")}).drop("_a", "_n")
+
+
+def merge_adjacent(records: DataFrame, samples: str = "samples") -> DataFrame:
+    """Records of a channel and rate that follow each other without gap or overlap (within half a sample) become one.
+    Others stay as they are, as do equal overlaps: nothing is interpolated or thrown away."""
+    from pyspark.sql.window import Window
+
+    keys = ["network", "station", "location", "channel", "samp_rate"]
+    w = Window.partitionBy(*keys).orderBy("_s", "npts")
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    rows = records.withColumn("_s", micros(F.col("starttime"))).withColumn("_e", F.col("_s") + F.col("npts") / F.col("samp_rate") * 1_000_000)
+    apart = F.abs(F.col("_s") - F.lag("_e").over(w)) > 500_000 / F.col("samp_rate")
+    rows = rows.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int"))
+    rows = rows.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.sort_array(F.collect_list(F.struct("_s", F.col(samples).alias("v"))))
+    merged = rows.groupBy(*keys, "_run").agg(F.min("starttime").alias("starttime"), F.flatten(F.transform(parts, lambda p: p["v"])).alias(samples))
+    return merged.withColumn("npts", F.size(samples)).drop("_run")
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -51,15 +98,20 @@ def coverage(records: DataFrame, by: list[str], start: Column, end: Column, tole
 
 
 def missing(requests: DataFrame, merged: DataFrame, by: list[str]) -> DataFrame:
-    """Interval difference: the parts of [start, end] of requests that the islands do not cover."""
+    """Interval difference: the times that requests (start, end) ask for and no island covers. Overlapping requests count once."""
     from pyspark.sql.window import Window
 
-    r = requests.select(*by, F.col("start").alias("r0"), F.col("end").alias("r1"))
-    m = merged.select(*by, F.col("start").alias("m0"), F.col("end").alias("m1"))
-    met = r.join(m, by, "left").filter("m0 is null or (m1 > r0 and m0 < r1)")
-    met = met.unionByName(r.join(met.select(*by, "r0", "r1").distinct(), [*by, "r0", "r1"], "left_anti"), allowMissingColumns=True)
-    w = Window.partitionBy(*by, "r0", "r1").orderBy("m0")
-    left = met.withColumn("gap_start", F.coalesce(F.lag("m1").over(w), F.col("r0"))).withColumn("gap_end", F.coalesce("m0", "r1"))
-    last = met.groupBy(*by, "r0", "r1").agg(F.max("m1").alias("gap_start")).filter("gap_start is not null").withColumn("gap_end", F.col("r1"))
-    both = left.select(*by, "gap_start", "gap_end").unionByName(last.select(*by, "gap_start", "gap_end"))
-    return both.filter("gap_end > gap_start")
+    r = requests.select(*by, F.col("start").alias("r0"), F.col("end").alias("r1")).distinct()
+    # requests and islands become marks on one time line of their station: where no island is open, a request's time is missing
+    key = Window.partitionBy(*by).orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    mark = lambda df, a, b, c: df.select(*by, F.col(a).alias("t"), F.lit(1).alias(c)).unionByName(df.select(*by, F.col(b).alias("t"), F.lit(-1).alias(c)))
+    m = merged.select(*by, F.col("start").alias("m0"), F.col("end").alias("m1")).filter("m1 > m0")
+    marks = mark(r.filter("r1 > r0"), "r0", "r1", "asked").unionByName(mark(m, "m0", "m1", "held"), allowMissingColumns=True)
+    sums = marks.groupBy(*by, "t").agg(F.coalesce(F.sum("asked"), F.lit(0)).alias("asked"), F.coalesce(F.sum("held"), F.lit(0)).alias("held"))
+    line = sums.select(*by, "t", F.sum("asked").over(key).alias("asked"), F.sum("held").over(key).alias("held"))
+    spans = line.withColumn("next", F.lead("t").over(Window.partitionBy(*by).orderBy("t"))).filter("asked > 0 and held = 0 and next > t")
+    # neighbouring parts of one gap (another request begins in it) are joined
+    before = Window.partitionBy(*by).orderBy("t")
+    fresh = F.coalesce(F.col("t") != F.lag("next").over(before), F.lit(True)).cast("int")
+    grouped = spans.withColumn("_f", fresh).withColumn("_g", F.sum("_f").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    return grouped.groupBy(*by, "_g").agg(F.min("t").alias("gap_start"), F.max("next").alias("gap_end")).drop("_g")

@@ -62,6 +62,57 @@ def read_source(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("m0", F.sqrt(full / 2)).withColumn("mw", (F.log10("m0") - 9.05) / 1.5)
 
 
+def read_source_ecef(spark: SparkSession, path: str) -> DataFrame:
+    """One row per source file in the Cartesian dialect: place (m) and tensor (N m) in x, y, z as they are, with
+    latitude, longitude, depth (km, not over the ground), the tensor in the r, theta, phi frame and the magnitude.
+
+    Lines are ``name(unit): value``; the header line comes first.
+    """
+    from ..functions.geo import from_ecef
+    from ..functions.sources import rtp_to_xyz
+
+    lines = spark.read.text(path, wholetext=True)
+    number = r"([-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
+    value = lambda name: F.regexp_extract("value", rf"(?im)^\s*{name}\([^)]*\)\s*:\s*{number}", 1).cast("double")
+    names = ("Mxx", "Myy", "Mzz", "Mxy", "Mxz", "Myz")
+    rows = lines.select(
+        F.regexp_extract("value", r"^([^\n]*)", 1).alias("header"), F.regexp_extract("value", r"(?im)^\s*event name\s*:\s*(\S+)", 1).alias("id"),
+        value("tau").alias("tau"), *[value(c).alias(c) for c in "xyz"], *[value(n).alias(n.lower()) for n in names],
+    )
+    lat, lon, height = from_ecef(F.col("x"), F.col("y"), F.col("z"))
+    m = [F.col(n.lower()) for n in names]
+    turned = rtp_to_xyz(m, F.col("x"), F.col("y"), F.col("z"), inverse=True)
+    full = m[0] * m[0] + m[1] * m[1] + m[2] * m[2] + 2 * (m[3] * m[3] + m[4] * m[4] + m[5] * m[5])
+    return rows.select(
+        "*", lat.alias("latitude"), lon.alias("longitude"), F.greatest(F.lit(0.0), -height / 1000).alias("depth"),
+        *[c.alias(n) for c, n in zip(turned, ("mrr", "mtt", "mpp", "mrt", "mrp", "mtp"))],
+    ).withColumn("m0", F.sqrt(full / 2)).withColumn("mw", (F.log10("m0") - 9.05) / 1.5)
+
+
+def read_stations(spark: SparkSession, path: str) -> DataFrame:
+    """Stations separated by white space: station, network, latitude, longitude, elevation, depth; ``#`` starts a comment line."""
+    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("v")).filter((F.col("v") != "") & ~F.col("v").startswith("#"))
+    part = lambda i: F.get(F.split("v", " "), F.lit(i))
+    return lines.select(part(0).alias("station"), part(1).alias("network"), *[part(i + 2).cast("double").alias(c) for i, c in enumerate(("latitude", "longitude", "elevation", "depth"))])
+
+
+def read_statistics(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Statistics tables with a header, of several runs, as one; columns that some lack are null there."""
+    one = [spark.read.csv(p, header=True, inferSchema=True) for p in paths]
+    out = one[0]
+    for more in one[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
+def read_words(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """(value, parts): the lines of a list, without comments and empty ones, and what stands between delimiters."""
+    import re
+
+    lines = spark.read.text(path).select(F.trim("value").alias("value")).filter((F.col("value") != "") & ~F.col("value").startswith("#"))
+    return lines.withColumn("parts", F.filter(F.transform(F.split("value", re.escape(delimiter)), lambda x: F.trim(x)), lambda x: x != ""))
+
+
 def read_points(spark: SparkSession, path: str) -> DataFrame:
     """``|``-separated points: name, country, region, setting, latitude, longitude, elevation."""
     schema = "name string, country string, region string, setting string, latitude double, longitude double, elevation double"
