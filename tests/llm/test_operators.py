@@ -174,6 +174,20 @@ def test_quality_rejects_what_is_unlike_its_language(spark):
     assert not got[99] and all(got[i] for i in range(60))
 
 
+def test_quality_of_long_texts_and_other_word_lists(spark, docs, monkeypatch):
+    """Texts with more windows than a packed place can number, and a list that is longer than the default ones."""
+    want = {(r.doc_id, r.n_words, r.n_repeat_words) for r in quality_rules.judge_quality(docs).collect()}
+    monkeypatch.setattr(quality_rules, "PLACE_BITS", 6)
+    assert {(r.doc_id, r.n_words, r.n_repeat_words) for r in quality_rules.judge_quality(docs).collect()} == want
+    rules = quality_rules.QualityRules(common_words={"en": [f"w{i}" for i in range(30)]})
+    rng = random.Random(2)
+    own = lambda: " ".join(f"w{rng.randrange(60)}" for _ in range(150))
+    df = spark.createDataFrame([(i, own(), "en") for i in range(20)] + [(99, " ".join(f"other{i}" for i in range(150)), "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules.judge_quality(df, rules).collect()}
+    assert len(got[0].word_histogram) == len(got[0].word_reference) == 31 and sum(got[0].word_histogram) == 150
+    assert not got[99].kept and got[99].word_distance > max(got[i].word_distance for i in range(20))
+
+
 def test_codec(docs, none):
     import sentencepiece
 

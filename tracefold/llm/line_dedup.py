@@ -30,10 +30,37 @@ from ._shared import by_shuffle, let, materialize, scratch
 #: Words; in scripts that are written without spaces (Thai, kana, Han) every character is one.
 ALONE = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
 UNIT = re.compile(f"[{ALONE}]|[^\\x20\\x09-\\x0D{ALONE}]+")
-#: Line hashes that a task remembers so as not to send the keys of a frequent line again.
+SPACELESS = re.compile(f"[{ALONE}]")
+#: Line hashes, and word hashes, that a task remembers so as not to send the keys of a frequent line again.
 REMEMBERED = 1 << 17
 
 
+def units(text: str) -> list[bytes]:
+    """The words of a line. Splitting bytes splits at space and the controls from tab to carriage return only."""
+    return [u.encode() for u in UNIT.findall(text)] if SPACELESS.search(text) else text.encode().split()
+
+
+class Powers:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64: what hashes of runs are made of."""
+
+    base = 0x9E3779B97F4A7C15
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def runs(self, values: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """A function of starts and ends: the polynomials of the values between, all from one running sum."""
+        if len(self.up) <= len(values):
+            n = 2 * len(values) + 1
+            self.up = np.cumprod(np.append(np.uint64(1), np.full(n, np.uint64(self.base))), dtype=np.uint64)
+            self.down = np.cumprod(np.append(np.uint64(1), np.full(n, np.uint64(pow(self.base, -1, 1 << 64)))), dtype=np.uint64)
+        sums = np.append(np.uint64(0), np.cumsum(values * self.down[: len(values)], dtype=np.uint64))
+        return lambda start, end: (sums[end] - sums[start]) * self.up[start]
+
+
+WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
 @dataclass(frozen=True)
 class LineRules:
     """An edit is allowed for every ``words_per_edit`` words of the shorter line, ``most_edits`` at most
@@ -166,14 +193,11 @@ def first_keys(batches: Iterator[pa.RecordBatch], rules: LineRules, rest: bool =
     indexed line. A run of words is hashed as a polynomial of its words' hashes, so that all runs
     of a batch come from one running sum.
     """
-    from xxhash import xxh3_64_intdigest
-
     seen: set[int] = set()
-    base = 0x9E3779B97F4A7C15
-    inverse = np.uint64(pow(base, -1, 1 << 64))
+    powers, word_powers = Powers(), Powers()
     for whole in batches:
-        for first in range(0, whole.num_rows, 8192):
-            batch = whole.slice(first, 8192)
+        for first in range(0, whole.num_rows, 4096):
+            batch = whole.slice(first, 4096)
             lines, hashes = [], []
             for line, text in zip(batch.column("line_hash").to_pylist(), batch.column("line").to_pylist()):
                 if line in seen:
@@ -181,26 +205,29 @@ def first_keys(batches: Iterator[pa.RecordBatch], rules: LineRules, rest: bool =
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(line)
-                if len(units := UNIT.findall(text)) >= rules.words_per_edit:
-                    lines.append(units)
-                    hashes.append(line)
-            sizes = np.array([len(x) for x in lines], np.int64)
+                lines.append(b" ".join(units(text)) if SPACELESS.search(text) else text.encode())
+                hashes.append(line)
+            if not lines:
+                continue
+            raw = np.frombuffer(b"\n".join(lines), np.uint8)
+            edges = np.flatnonzero(np.diff(np.concatenate([[True], WHITE[raw], [True]]).astype(np.int8)))
+            starts, ends = edges[::2], edges[1::2]
+            begins = np.cumsum([0, *[len(x) + 1 for x in lines[:-1]]])
+            sizes = np.bincount(np.searchsorted(begins, starts, "right") - 1, minlength=len(lines))
             offsets = np.cumsum(sizes) - sizes
-            words = np.fromiter((xxh3_64_intdigest(w) for x in lines for w in x), np.uint64, int(sizes.sum()))
-            powers = np.cumprod(np.append(np.uint64(1), np.full(len(words), inverse)), dtype=np.uint64)
-            back = np.cumprod(np.append(np.uint64(1), np.full(len(words), np.uint64(base))), dtype=np.uint64)
-            sums = np.append(np.uint64(0), np.cumsum(words * powers[:-1], dtype=np.uint64))
+            words = mixed(powers.runs(raw.astype(np.uint64) + np.uint64(1))(starts, ends))
+            run_of = word_powers.runs(words)
             hashes, out, left = np.array(hashes, np.int64), [], []
-            for n in np.unique(sizes):
+            for n in np.unique(sizes[sizes >= rules.words_per_edit]):
                 at = np.flatnonzero(sizes == n)
                 salt, start, width, role, edits, length = first_places(int(n), rules)
                 begin = offsets[at][:, None] + start
-                run = (sums[begin + width] - sums[begin]) * back[begin]
-                key = mixed(run ^ mixed(np.broadcast_to(salt * np.uint64(base), run.shape)))
+                run = run_of(begin, begin + width)
+                key = mixed(run ^ mixed(np.broadcast_to(salt * np.uint64(Powers.base), run.shape)))
                 out.append((key.ravel().view(np.int64), np.repeat(hashes[at], len(salt)), np.tile(role, len(at)), np.tile(edits, len(at)), np.tile(length, len(at))))
                 if rest:
                     places = list(zip(start.tolist(), (start + width).tolist()))
-                    left += [" ".join(lines[i][:b] + lines[i][e:]) for i in at.tolist() for b, e in places]
+                    left += [b" ".join(w[:b] + w[e:]).decode() for w in (lines[i].split() for i in at.tolist()) for b, e in places]
             kinds = (np.int64, np.int64, np.int32, np.int32, np.int32)
             columns = [pa.array(np.concatenate(c)) for c in zip(*out)] if out else [pa.array(np.zeros(0, t)) for t in kinds]
             names = ["key", "line_hash", "role", "edits", "length", "text"]
@@ -260,7 +287,7 @@ def shared_keys(batches: Iterator[pa.RecordBatch], roles: bool = True) -> Iterat
         yield batch.filter(pa.array(keep))
 
 
-def later_ones(lines: list[list[str]], rules: LineRules) -> list[int]:
+def later_ones(lines: list[list[bytes]], rules: LineRules) -> list[int]:
     """Of lines (as words) in their order, those that have an earlier one within the distance.
 
     Two lines within k edits have all but k of the longer one's words in common. How many any two have
@@ -269,10 +296,10 @@ def later_ones(lines: list[list[str]], rules: LineRules) -> list[int]:
     """
     n, sizes = len(lines), np.array([len(x) for x in lines], np.int64)
     allowed = np.minimum(rules.most_edits, sizes // rules.words_per_edit)
-    ids: dict[tuple[str, int], int] = {}
+    ids: dict[tuple[bytes, int], int] = {}
     rows, columns = [], []
     for i, words in enumerate(lines):
-        times: dict[str, int] = {}
+        times: dict[bytes, int] = {}
         for w in words:
             times[w] = times.get(w, 0) + 1
             columns.append(ids.setdefault((w, times[w]), len(ids)))
@@ -304,7 +331,7 @@ def verify(batches: Iterator[pa.RecordBatch], rules: LineRules) -> Iterator[pa.R
     def bucket(rows: list) -> list[int]:
         place = lambda r: (() if r[2] is None else (r[2],), *r[3:5])  # noqa: E731  a null id is earliest
         told = sorted({r[1]: (place(r), r[1], r[5]) for r in rows}.values(), key=lambda t: t[0])
-        return [told[i][1] for i in later_ones([UNIT.findall(t[2]) for t in told], rules)] if len(told) > 1 else []
+        return [told[i][1] for i in later_ones([units(t[2]) for t in told], rules)] if len(told) > 1 else []
 
     at, rows = None, []
     for batch in batches:

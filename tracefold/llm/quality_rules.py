@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 
 from ._shared import by_shuffle, materialize, words
 
-#: The very common words of four languages.
+#: Very common words of four languages: a choice, which the rules can replace.
 COMMON_WORDS = {
     "en": ["the", "of", "and", "to", "in", "is", "that", "for", "it", "was", "on", "with", "as", "be", "by", "this", "are", "from"],
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "du", "dans", "que", "est", "pour", "par", "sur", "au", "pas"],
     "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht", "ein", "eine"],
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "una", "su", "para", "es"],
 }
-#: Character classes as Java patterns, counted in what white space and a-z leave; the others are "rest".
+#: Character classes as Java patterns, counted in what white space and a-z leave; the others are "rest".
 CHAR_CLASSES = {
     "symbols": r"#*$%&|<>",
     "digits": r"0-9",
@@ -153,13 +153,13 @@ def features(docs: DataFrame, rules: QualityRules, id_col: str, text_col: str, l
     })
 
 
-def references(found: DataFrame) -> DataFrame:
+def references(found: DataFrame, common_words: dict = COMMON_WORDS) -> DataFrame:
     """Both histograms pooled by language over the documents that pass the base rules."""
     def pooled(name: str, size: int) -> Column:
         return F.array(*[F.sum(F.get(F.col(name), F.lit(i))) for i in range(size)])
 
     n_chars = len(CHAR_CLASSES) + 3
-    n_words = max((len(x) for x in COMMON_WORDS.values()), default=0) + 1
+    n_words = max((len(x) for x in common_words.values()), default=0) + 1
     return (
         found.filter(~F.col("base_failed"))
         .groupBy("lang")
@@ -183,7 +183,7 @@ def judge_quality(
     that is null rejects nothing. Repeated rows are judged each. Other columns are ignored.
     """
     found = materialize(features(docs, rules, id_col, text_col, lang_col), "quality")
-    df = found.join(references(found), "lang", "left").withColumns({
+    df = found.join(references(found, rules.common_words), "lang", "left").withColumns({
         "char_distance": F.when(F.col("word_chars") >= rules.guard_chars, js_distance(F.col("char_histogram"), F.col("char_reference"))),
         "word_distance": F.when(F.col("n_words") >= rules.guard_words, js_distance(F.col("word_histogram"), F.col("word_reference"))),
     })
