@@ -444,6 +444,22 @@ def test_banded_edit_distance():
             assert line_dedup.edits_within(a, b, k) == (distance(a, b) <= k)
 
 
+def test_later_lines_of_a_bucket():
+    rng, rules = random.Random(15), line_dedup.LineRules()
+    for n in (2, 16, 17, 90, 600):
+        base = [w.encode() for w in prose(rng, 30).split()]
+        lines = []
+        for _ in range(n):
+            line = list(base)
+            for _ in range(rng.randint(0, 5)):
+                q = rng.randrange(len(line))
+                line[q : q + rng.randint(0, 1)] = rng.choice([[b"xa"], [rng.randbytes(2).hex().encode()], []])
+            lines.append(line)
+        want = [i for i in range(n) if any(distance(lines[i], lines[j]) <= 2 for j in range(i) if abs(len(lines[i]) - len(lines[j])) <= 2)] if n < 100 else None
+        got = line_dedup.later_ones(lines, rules)
+        assert got == want or want is None and 0 < len(got) < n
+
+
 @pytest.mark.parametrize("most,bucket", [(1, 8), (2, 6), (2, 3000), (3, 20)])
 def test_lines(spark, most, bucket):
     rng, base, rows = random.Random(3), prose(random.Random(4), 24).split(), []

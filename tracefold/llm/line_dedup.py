@@ -287,6 +287,10 @@ def shared_keys(batches: Iterator[pa.RecordBatch], roles: bool = True) -> Iterat
         yield batch.filter(pa.array(keep))
 
 
+#: Lines that are compared at once, without matrices.
+FEW = 16
+
+
 def later_ones(lines: list[list[bytes]], rules: LineRules) -> list[int]:
     """Of lines (as words) in their order, those that have an earlier one within the distance.
 
@@ -294,7 +298,11 @@ def later_ones(lines: list[list[bytes]], rules: LineRules) -> list[int]:
     is a product of matrices of what each holds (a word's second occurrence is another word); only
     pairs that have enough are compared word by word, until one fits.
     """
-    n, sizes = len(lines), np.array([len(x) for x in lines], np.int64)
+    n = len(lines)
+    if n <= FEW:
+        fits = lambda a, b: edits_within(a, b, rules.edits(min(len(a), len(b))))
+        return [i for i in range(1, n) if any(fits(lines[i], lines[j]) for j in range(i))]
+    sizes = np.array([len(x) for x in lines], np.int64)
     allowed = np.minimum(rules.most_edits, sizes // rules.words_per_edit)
     ids: dict[tuple[bytes, int], int] = {}
     rows, columns = [], []
