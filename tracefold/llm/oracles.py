@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .filter_audit import AuditRules
 from .line_dedup import ALONE, LineRules
 from .quality_rules import CHAR_CLASSES, COMMON_WORDS, QualityRules
 from .secret_scan import KINDS, OwnershipRules
@@ -111,9 +112,36 @@ x AS (SELECT r, {counts}, count(*) FILTER (kind <> 'owned' AND copied) AS n_copi
 SELECT doc_id, {zero}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN x ON d.r = x.r"""
 
 
+def audit_sql(rules: AuditRules = AuditRules()) -> str:
+    inside = "".join("\\" + c for c in rules.symbols)
+    letters = "(VALUES " + ", ".join(f"('{x}', {1 << i})" for i, x in enumerate("ABCDE")) + ")"
+    names = [f"l{i}" for i in range(1, 6)]
+    distinct = " AND ".join(f"{a}.c <> {b}.c" for i, a in enumerate(names) for b in names[:i])
+    steps = " UNION ALL ".join(
+        f"SELECT o, {i} AS step, {names[i - 1]}_bit AS own, {' + '.join(['0', *[f'{x}_bit' for x in names[: i - 1]]])} AS before FROM o" for i in range(1, 6)
+    )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(w) < {rules.min_words})::INT + 2 * (100 * len(list_distinct(w)) < {rules.min_distinct_percent} * len(w))::INT
+  + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > {rules.max_upper_percent} * length(t))::INT + 8 * regexp_matches(t, '[{inside}]')::INT
+  + 16 * coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+o AS (SELECT {" || ".join(f"{x}.c" for x in names)} AS o, {", ".join(f"{x}.b AS {x}_bit" for x in names)} FROM {", ".join(f"{letters} {x}(c, b)" for x in names)} WHERE {distinct}),
+s AS ({steps}),
+r AS (SELECT part, o, step, own, sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & before = 0 AND mask & own <> 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & before <> 0 AND mask & own <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & before = 0 AND mask & own <> 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & before = 0 AND mask & own <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY part, o, step, own, before)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
+
+
 ORACLE_SQL = {
     "op5_line_dedup": lines_sql(),
     "op6_distribution_divergence": quality_sql(),
     "op8_suffix_dedup": REPEATS,
     "op10_secret_ownership": secrets_sql(),
+    "op13_filter_interaction_audit": audit_sql(),
 }

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, line_dedup, paragraph_minhash, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash_dedup, suffix_dedup
+from . import (
+    decontaminate, filter_audit, html_extract, line_dedup, paragraph_minhash, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash_dedup,
+    suffix_dedup, token_align, toxicity,
+)
 from .oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -74,6 +77,28 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def bpe_vocabulary(path: str | None = None) -> bytes:
+    """The bytes of a byte-level BPE file; by default the public 50k vocabulary."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align_documents(table(spark, sf_dir, "documents"), bpe_vocabulary(), piece_model())
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,5 +112,8 @@ QUERIES = {
         op8_suffix_dedup,
         op9_sentencepiece_codec,
         op10_secret_ownership,
+        op11_token_alignment,
+        op12_toxicity,
+        op13_filter_interaction_audit,
     )
 }
