@@ -29,3 +29,48 @@ def cutter(spark: SparkSession, label: str) -> Callable[[DataFrame], DataFrame]:
         return spark.read.schema(df.schema).parquet(path)
 
     return cut
+
+
+class Tables:
+    """Tables in the shared folder that one operator writes and rereads; they go when it is done with them."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label = spark, label
+        self.paths: dict[int, str] = {}
+        self.kept: list[DataFrame] = []
+
+    def _write(self, df: DataFrame) -> tuple[DataFrame, str]:
+        path = f"{shared_folder(self.spark)}/tracefold-{self.label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """Write a table and reread it: a lost executor then costs only its running tasks."""
+        out, path = self._write(df)
+        self.paths[id(out)] = path
+        self.kept.append(out)  # so that no other table takes its id
+        return out
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """As :meth:`cut`, for the result: it outlives the operator."""
+        return self._write(df)[0]
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a table that nothing reads any more."""
+        if path := self.paths.pop(id(df), None):
+            delete(self.spark, path)
+
+    def close(self) -> None:
+        for path in self.paths.values():
+            delete(self.spark, path)
+        self.paths.clear()
+        self.kept.clear()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def tables(spark: SparkSession, label: str) -> Tables:
+    return Tables(spark, label)
