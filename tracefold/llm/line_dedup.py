@@ -287,16 +287,16 @@ def shared_keys(batches: Iterator[pa.RecordBatch], roles: bool = True) -> Iterat
         yield batch.filter(pa.array(keep))
 
 
-#: Lines that are compared at once, without matrices.
-FEW = 16
+#: Lines that are compared at once, without matrices; and words whose columns are multiplied at once.
+FEW, WORDS = 16, 2048
 
 
 def later_ones(lines: list[list[bytes]], rules: LineRules) -> list[int]:
     """Of lines (as words) in their order, those that have an earlier one within the distance.
 
     Two lines within k edits have all but k of the longer one's words in common. How many any two have
-    is a product of matrices of what each holds (a word's second occurrence is another word); only
-    pairs that have enough are compared word by word, until one fits.
+    is a product of matrices of what each holds (a word's second occurrence is another word), added up over some
+    words at a time, so memory is bounded by the lines alone; only pairs that have enough are compared word by word, until one fits.
     """
     n = len(lines)
     if n <= FEW:
@@ -318,14 +318,22 @@ def later_ones(lines: list[list[bytes]], rules: LineRules) -> list[int]:
     telling = (in_lines > 1) & (in_lines < n)
     place = np.cumsum(telling) - 1
     keep = telling[columns]
-    held = np.zeros((n, int(telling.sum())), np.float32)
-    held[rows[keep], place[columns[keep]]] = 1
+    rows, columns = rows[keep], place[columns[keep]]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
     found = []
+    common = np.full((n, n), everywhere, np.float32)
+    for word in range(0, int(telling.sum()), WORDS):
+        some = slice(*np.searchsorted(columns, (word, word + WORDS)))
+        held = np.zeros((n, WORDS), np.float32)
+        held[rows[some], columns[some] - word] = 1
+        for first in range(0, n, 256):
+            last = min(n, first + 256)
+            common[first:last, :last] += held[first:last] @ held[:last].T
     for first in range(0, n, 256):
         last = min(n, first + 256)
-        common = held[first:last] @ held[:last].T + everywhere
         most = np.minimum(allowed[first:last, None], allowed[None, :last])
-        near = (common + 0.5 >= np.maximum(sizes[first:last, None], sizes[None, :last]) - most) & (np.abs(sizes[first:last, None] - sizes[None, :last]) <= most)
+        near = (common[first:last, :last] + 0.5 >= np.maximum(sizes[first:last, None], sizes[None, :last]) - most) & (np.abs(sizes[first:last, None] - sizes[None, :last]) <= most)
         near &= np.arange(last)[None] < np.arange(first, last)[:, None]
         for i in np.flatnonzero(near.any(axis=1)).tolist():
             if any(edits_within(lines[first + i], lines[j], int(most[i, j])) for j in np.flatnonzero(near[i]).tolist()):
