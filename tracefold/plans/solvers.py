@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import diffusion as D
-from .mesh import N
+from ..operators import locate as L
+from .mesh import N, basis_sql
 from .registry import query, table
 
 #: The lattice of elements: so many side by side; each layer of them is a block.
@@ -41,3 +42,75 @@ def mesh_diffusion_roundtrip(spark, sf_dir):
     smooth = D.smooth_mesh(elements, points, "node", "value", F.lit(0.2), F.lit(0.1), "bessel", n=N, up=(0.0, 0.0, 1.0), tolerance=1e-24)
     back = D.apply_mesh(elements, smooth, "node", "value", F.lit(0.2), F.lit(0.1), n=N, up=(0.0, 0.0, 1.0))
     return back.select("node", (F.round("value", 4) + F.lit(0.0)).alias("value"))
+
+
+#: Where the lattice begins, so that the origin lies inside and no section runs along a face.
+SHIFT = (-4.03, -4.41, -3.57)
+
+
+def around_origin(spark, sf_dir):
+    """The lattice with the origin in its middle."""
+    move = F.flatten(F.array_repeat(F.array(*[F.lit(s) for s in SHIFT]), 27))
+    return lattice(spark, sf_dir).withColumn("anchors", F.zip_with("anchors", move, lambda a, b: a + b))
+
+
+def section_sql(points: str) -> str:
+    """The field at the points (CTE s: point, x, y, z): the lattice is a linear map of its numbers, which is undone."""
+    return f"""
+WITH {points},
+q AS (SELECT point, x, y, z, x - ({SHIFT[0]}) AS p, (y - ({SHIFT[1]})) / 1.1 AS q, (z - ({SHIFT[2]}) - 0.05 * (x - ({SHIFT[0]}))) / 0.9 AS r FROM s),
+o AS (SELECT *, 2 * (p - floor(p)) - 1 AS a, 2 * (q - floor(q)) - 1 AS b, 2 * (r - floor(r)) - 1 AS c FROM q),
+e AS (SELECT {PLACE}, list_transform(embedding, lambda v: v::DOUBLE) AS u FROM embeddings),
+m AS (SELECT o.*, u, {basis_sql("a")} AS la, {basis_sql("b")} AS lb, {basis_sql("c")} AS lc FROM o LEFT JOIN e ON i = floor(p) AND j = floor(q) AND k = floor(r))
+SELECT point, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, CAST(u IS NOT NULL AS INTEGER) * 2 - 1 AS status,
+  round(list_sum(list_transform(range({N**3}), lambda n: u[n + 1] * la[n % {N} + 1] * lb[(n // {N}) % {N} + 1] * lc[n // {N * N} + 1])), 5) AS value FROM m"""
+
+
+def section(spark, sf_dir, points):
+    found = L.interpolate_mesh(points, around_origin(spark, sf_dir), "point", "element", ["x", "y", "z"], "anchors", "u", 1e-6, N)
+    return found.select("point", *[F.round(c, 6).alias(c) for c in "xyz"], "status", F.round("value", 5).alias("value"))
+
+
+def turn_sql(v: str, pole: str, angle: str) -> str:
+    """x, y, z of radius times v turned about the pole (lists of three)."""
+    cross = lambda i: f"({pole}[{(i + 1) % 3 + 1}] * {v}[{(i + 2) % 3 + 1}] - {pole}[{(i + 2) % 3 + 1}] * {v}[{(i + 1) % 3 + 1}])"
+    return ", ".join(f"radius * ({v}[{i + 1}] * cos({angle}) + {cross(i)} * sin({angle}) + {pole}[{i + 1}] * list_inner_product({v}, {pole}) * (1 - cos({angle}))) AS {c}" for i, c in enumerate("xyz"))
+
+
+def unit_sql(lat: float, lon: float) -> str:
+    return f"[cos(radians({lat})) * cos(radians({lon})), cos(radians({lat})) * sin(radians({lon})), sin(radians({lat}))]"
+
+
+def sheet_sql(angles: tuple, radii: tuple) -> str:
+    (a0, a1, n), (r0, r1, m) = angles, radii
+    return f"g AS (SELECT i * {m} + k AS point, {a0} + {a1 - a0} / {n - 1}.0::DOUBLE * i AS angle, {r0} + {r1 - r0} / {m - 1}.0::DOUBLE * k AS radius FROM (SELECT unnest(range({n})) AS i), (SELECT unnest(range({m})) AS k))"
+
+
+ANGLES, RADII = (-170.0, 175.0, 70), (0.4, 4.6, 9)
+
+
+@query(section_sql(f"{sheet_sql(ANGLES, RADII)}, h AS (SELECT *, {unit_sql(20.0, 30.0)} AS up, [-sin(radians(20)) * cos(radians(30)), -sin(radians(20)) * sin(radians(30)), cos(radians(20))] AS n, [-sin(radians(30)), cos(radians(30)), 0.0] AS e FROM g), "
+    "s AS (SELECT point, " + ", ".join(f"radius * (cos(radians(angle)) * up[{i}] + sin(radians(angle)) * (cos(radians(65)) * n[{i}] + sin(radians(65)) * e[{i}])) AS {c}" for i, c in enumerate("xyz", 1)) + " FROM h)"))
+def section_great_circle(spark, sf_dir):
+    """A field along a great circle through the mesh, at many depths; outside the mesh there is none."""
+    return section(spark, sf_dir, L.great_circle_section(spark, 20.0, 30.0, 65.0, ANGLES, RADII))
+
+
+@query(section_sql(f"{sheet_sql(ANGLES, RADII)}, s AS (SELECT point, {turn_sql(unit_sql(10.0, 50.0), unit_sql(55.0, -20.0), 'radians(angle)')} FROM g)"))
+def section_small_circle(spark, sf_dir):
+    """A field along a small circle about a pole."""
+    return section(spark, sf_dir, L.small_circle_section(spark, (55.0, -20.0), (10.0, 50.0), ANGLES, RADII))
+
+
+@query(section_sql(f"{sheet_sql((0.0, 1.0, 40), RADII)}, w AS (SELECT *, acos(list_inner_product({unit_sql(-35.0, 10.0)}, {unit_sql(40.0, 100.0)})) AS w, {unit_sql(-35.0, 10.0)} AS a, {unit_sql(40.0, 100.0)} AS b FROM g), "
+    "s AS (SELECT point, " + ", ".join(f"radius * (sin(w - w * angle) * a[{i}] + sin(w * angle) * b[{i}]) / sin(w) AS {c}" for i, c in enumerate("xyz", 1)) + " FROM w)"))
+def section_vertical(spark, sf_dir):
+    """A field under the line between two places."""
+    return section(spark, sf_dir, L.vertical_section(spark, (-35.0, 10.0), (40.0, 100.0), 40, RADII))
+
+
+@query(section_sql(f"{sheet_sql((-85.0, 85.0, 18), (100.0, 420.0, 33))}, s AS (SELECT point, " + ", ".join(f"3.3 * {t} AS {c}" for t, c in zip(
+    ("cos(radians(angle)) * cos(radians(radius))", "cos(radians(angle)) * sin(radians(radius))", "sin(radians(angle))"), "xyz")) + " FROM g)"))
+def section_sphere(spark, sf_dir):
+    """A field on a sphere: a grid of latitudes and of longitudes that come round past 180."""
+    return section(spark, sf_dir, L.sphere_section(spark, (-85.0, 85.0, 18), (100.0, 420.0, 33), 3.3))
