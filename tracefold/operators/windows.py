@@ -324,3 +324,87 @@ def window_rows(measured_stations: DataFrame) -> DataFrame:
     """A row per measured window, with the station's other columns."""
     own = [c for c in measured_stations.columns if c not in ("windows", "adj_e", "adj_n", "adj_z")]
     return measured_stations.select(*own, F.explode("windows").alias("_w")).select(*own, "_w.*")
+
+
+def source_hessian(df: DataFrame, rules: TableRules = TableRules(), source_terms: bool = False) -> DataFrame:
+    """Second derivatives of each window's CC0 by the parameters of the source, to first order in the traces.
+
+    ``df`` as for :func:`measure_window_table`, with derivatives: an array with, for every parameter, the change of the
+    synthetic (east, north and up in one array of three lengths). ``source_terms`` adds origin time and duration
+    (``tau`` must be given), whose changes follow from the synthetic. Each window gets hessian, an array of k x k numbers by rows. All
+    products of a window's traces come of one matrix product.
+
+    Cases: as for measuring; a window without a finite result, or whose parameters are not all there, gets null.
+    """
+    df = df.withColumns({c: v for c, v in (("derive", F.lit(False)), ("tau", F.lit(None).cast("double"))) if c not in df.columns})
+    inner = [f.name for f in df.schema["windows"].dataType.elementType.fields]
+    others = [c for c in df.columns if c not in (*OBSERVED, *SYNTHETIC, "rate", "windows", "derivatives", "derive", "tau", "noise_end", "pre")]
+    rows = df.select(
+        *others, *[F.col(c).cast("array<double>").alias(c) for c in (*OBSERVED, *SYNTHETIC)], F.flatten("derivatives").cast("array<double>").alias("derivatives"),
+        F.col("rate").cast("double").alias("rate"), "windows", "derive", F.col("tau").cast("double").alias("tau"),
+    )
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema["windows"].dataType.elementType.fields} | {"hessian": "array<double>"}
+    schema = ", ".join([*[f"`{n}` {t}" for n, t in rows.select(*others).dtypes], f"windows array<struct<{','.join(f'`{c}`:{t}' for c, t in kinds.items())}>>"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("windows")
+            of, flat = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+            found = hessian_batch(batch, of, flat, rules, source_terms)
+            ends = np.append(0, np.cumsum(np.asarray(lists.value_lengths().fill_null(0))))
+            fields = [*[flat.field(c) for c in inner], pa.array(found, pa.list_(pa.float64()))]
+            many = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, names=[*inner, "hessian"]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], many], names=[*others, "windows"])
+
+    return rows.mapInArrow(work, schema)
+
+
+def hessian_batch(batch: pa.RecordBatch, of: np.ndarray, flat: pa.StructArray, rules: TableRules, source_terms: bool) -> list:
+    number = lambda c: np.asarray(flat.field(c).cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False), float)
+    column = lambda c: np.asarray(batch.column(c).cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False), float)
+    matrix, known = directions(np.array(flat.field("component").to_pylist(), object), number("azimuth"), number("dip"))
+    span = np.stack([number("begin"), number("end"), number("taper")], axis=1)
+    bands = np.stack([number("order"), number("low"), number("high")], axis=1)
+    rate, tau, derive = column("rate"), column("tau"), np.asarray(batch.column("derive").fill_null(False))
+    sizes = np.asarray(batch.column("derivatives").value_lengths().fill_null(-1))
+    usable = known & np.isfinite(span).all(axis=1) & np.isfinite(bands).all(axis=1) & (bands[:, 1] > 0) & np.isfinite(rate)[of]
+    out: list = [None] * len(of)
+    for rows, traces in blocks(batch, [*OBSERVED, *SYNTHETIC]):
+        n = traces.shape[2]
+        at = np.full(batch.num_rows, -1)
+        at[rows] = np.arange(len(rows))
+        here = np.flatnonzero(usable & (at[of] >= 0) & (sizes[of] >= 0) & (sizes[of] % (3 * n) == 0))
+        groups, which = np.unique(np.column_stack([rate[of[here]], sizes[of[here]], bands[here]]), axis=0, return_inverse=True)
+        for g, (hz, size, order, low, high) in enumerate(groups.tolist()):
+            k = int(size) // (3 * n)
+            band = Band(n, hz, int(order), low, high, rules.pad)
+            mine = here[which == g]
+            few = max(1, rules.block // (12 * band.size * (k + 3)))
+            for start in range(0, len(mine), few):
+                some = mine[start : start + few]
+                stations, place = np.unique(of[some], return_inverse=True)
+                slope = np.where(derive[stations, None], 2j * np.pi * band.freq, 1.0)[:, None, :]
+                w = np.pi * band.freq
+                with np.errstate(invalid="ignore"):
+                    source = np.where(np.isnan(tau[stations])[:, None], 1.0, np.exp(-((w * tau[stations, None]) ** 2)))[:, None, :]
+                changes = batch.column("derivatives").take(pa.array(stations)).flatten().to_numpy(zero_copy_only=False).reshape(len(stations), k, 3, n)
+                syn = traces[at[stations], 3:]
+                made = [band(traces[at[stations], :3]), band(syn, slope * source), *[band(changes[:, i], slope) for i in range(k)]]
+                if source_terms:
+                    by_tau = -2 * w * w * tau[stations, None]
+                    made += [band(syn, slope * source * f) for f in ((-2j * w)[None, None, :], by_tau[:, None, :])]
+                t = np.arange(n) / hz
+                begin, end, share = span[some].T[:, :, None]
+                width = (end - begin) * np.minimum(share, 0.4)
+                window = ramps(t[None, :], [begin, begin + width, end - width, end])[:, None, :]
+                cut = np.stack([(np.einsum("rij,rjt->rit", matrix[some], m[place]) * window).reshape(len(some), -1) for m in made], axis=1)
+                gram = cut @ cut.transpose(0, 2, 1)  # 0: observed, 1: synthetic, then the parameters
+                dd, uu, du, d, u = gram[:, 0, 0], gram[:, 1, 1], gram[:, 0, 1], gram[:, 0, 2:], gram[:, 1, 2:]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    a = (du / uu)[:, None, None]
+                    cross = u[:, :, None] * d[:, None, :]
+                    h = (-a * gram[:, 2:, 2:] + (3 * a * u[:, :, None] * u[:, None, :] - cross - cross.transpose(0, 2, 1)) / uu[:, None, None]) / np.sqrt(dd * uu)[:, None, None]
+                for i, one in zip(some, h):
+                    if np.isfinite(one).all():
+                        out[i] = one.ravel()
+    return out

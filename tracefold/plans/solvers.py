@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import diffusion as D
+from ..functions import geo as G
 from ..operators import locate as L
+from ..operators import relocate as R
+from ..operators import spacing as P
 from .mesh import N, basis_sql
 from .registry import query, table
 
@@ -114,3 +117,90 @@ def section_vertical(spark, sf_dir):
 def section_sphere(spark, sf_dir):
     """A field on a sphere: a grid of latitudes and of longitudes that come round past 180."""
     return section(spark, sf_dir, L.sphere_section(spark, (-85.0, 85.0, 18), (100.0, 420.0, 33), 3.3))
+
+
+RAYS = """
+WITH w AS (SELECT l_suppkey, ((l_suppkey * 37) % 120 - 60)::DOUBLE AS lat, ((l_suppkey * 91) % 360 - 180)::DOUBLE AS lon, (5 + l_suppkey % 300)::DOUBLE AS depth,
+  radians((l_orderkey * 7 + l_linenumber * 50) % 360) AS az, (l_partkey % 140 - 70)::DOUBLE AS takeoff, 300.0 + 10 * l_quantity::DOUBLE AS p, 1 - 4 * l_discount::DOUBLE AS w,
+  (l_tax::DOUBLE * 50 - 2) + sin(l_orderkey) AS shift FROM lineitem),
+t AS (SELECT *, radians(takeoff + CASE WHEN takeoff < 0 THEN 180 ELSE 0 END) AS t, p / (6371.0 - depth) AS s FROM w),
+r AS (SELECT *, -cos(az) * sin(t) * s AS r0, -sin(az) * sin(t) * s AS r1, -cos(t) * s AS r2, 1.0 AS r3 FROM t)"""
+
+
+def elimination(fixed: tuple[int, ...] = ()) -> str:
+    """SELECT list that solves the symmetric system g, d by elimination, column by column."""
+    free = [i for i in range(4) if i not in fixed]
+    out, g = [], {(i, j): f"g{min(i, j)}{max(i, j)}" for i in free for j in free}
+    d = {i: f"d{i}" for i in free}
+    for n, p in enumerate(free):
+        for i in free[n + 1:]:
+            for j in free[n + 1:]:
+                out.append(f"{g[i, j]} - {g[i, p]} * {g[p, j]} / {g[p, p]} AS e{n}{i}{j}")
+            out.append(f"{d[i]} - {g[i, p]} * {d[p]} / {g[p, p]} AS f{n}{i}")
+        for i in free[n + 1:]:
+            d[i] = f"f{n}{i}"
+            for j in free[n + 1:]:
+                g[i, j] = f"e{n}{i}{j}"
+    for i in reversed(free):
+        rest = "".join(f" - {g[i, j]} * m{j}" for j in free if j > i)
+        out.append(f"({d[i]}{rest}) / {g[i, i]} AS m{i}")
+    return ", ".join([*out, *[f"0.0 AS m{i}" for i in fixed]])
+
+
+def relocation_sql(fixed: tuple[int, ...] = ()) -> str:
+    sums = ", ".join([*[f"sum(w * w * r{i} * r{j}) AS g{i}{j}" for i in range(4) for j in range(i, 4)], *[f"sum(w * w * r{i} * shift) AS d{i}" for i in range(4)]])
+    a, e2 = G.WGS84_A, G.WGS84_E2
+    return RAYS + f""", q AS (SELECT l_suppkey, count(*) AS n, min(lat) AS lat, min(lon) AS lon, min(depth) AS depth, {sums} FROM r GROUP BY 1),
+v AS (SELECT *, {elimination(fixed)} FROM q),
+s2 AS (SELECT r.l_suppkey, avg(w * shift) AS data_mean, stddev_pop(w * shift) AS data_std, avg(w * (shift - m0 * r0 - m1 * r1 - m2 * r2 - m3)) AS residual_mean, stddev_pop(w * (shift - m0 * r0 - m1 * r1 - m2 * r2 - m3)) AS residual_std
+  FROM r JOIN v ON r.l_suppkey = v.l_suppkey GROUP BY 1),
+x AS (SELECT *, {a} / sqrt(1 - {e2} * sin(radians(lat)) * sin(radians(lat))) AS nn FROM v),
+y AS (SELECT *, (nn - 1000 * depth) * cos(radians(lat)) * cos(radians(lon)) + 1000 * (-m0 * sin(radians(lat)) * cos(radians(lon)) - m1 * sin(radians(lon)) - m2 * cos(radians(lat)) * cos(radians(lon))) AS x,
+  (nn - 1000 * depth) * cos(radians(lat)) * sin(radians(lon)) + 1000 * (-m0 * sin(radians(lat)) * sin(radians(lon)) + m1 * cos(radians(lon)) - m2 * cos(radians(lat)) * sin(radians(lon))) AS y,
+  (nn * (1 - {e2}) - 1000 * depth) * sin(radians(lat)) + 1000 * (m0 * cos(radians(lat)) - m2 * sin(radians(lat))) AS z FROM x)
+SELECT y.l_suppkey, n, round(m0, 5) AS north, round(m1, 5) AS east, round(m2, 5) + 0.0 AS down, round(m3, 6) AS time, {4 - len(fixed)} AS rank, round(degrees(atan2(y, x)), 5) AS longitude, round(sqrt(x * x + y * y + z * z) / 1000, 5) AS radius,
+  round(data_mean, 6) AS data_mean, round(data_std, 6) AS data_std, round(residual_mean, 6) AS residual_mean, round(residual_std, 6) AS residual_std FROM y JOIN s2 ON y.l_suppkey = s2.l_suppkey"""
+
+
+def relocated(spark, sf_dir, fixed_depth: bool):
+    c, f = F.col, F.lit
+    rays = table(spark, sf_dir, "lineitem")
+    got = R.relocate(
+        rays, ["l_suppkey"], ((c("l_orderkey") * 7 + c("l_linenumber") * 50) % 360).cast("double"), (c("l_partkey") % 140 - 70).cast("double"), 300.0 + 10 * c("l_quantity").cast("double"),
+        c("l_tax").cast("double") * 50 - 2 + F.sin("l_orderkey"), 1 - 4 * c("l_discount").cast("double"),
+        ((c("l_suppkey") * 37) % 120 - 60).cast("double"), ((c("l_suppkey") * 91) % 360 - 180).cast("double"), (5 + c("l_suppkey") % 300).cast("double"), fixed_depth)
+    x, y, z = G.to_ecef(c("latitude"), c("longitude"), -1000 * c("depth"))
+    digits = {"north": 5, "east": 5, "down": 5, "time": 6, "longitude": 5, "radius": 5, "data_mean": 6, "data_std": 6, "residual_mean": 6, "residual_std": 6}
+    return got.withColumn("radius", F.sqrt(x * x + y * y + z * z) / 1000).select("l_suppkey", "n", "rank", *[(F.round(k, d) + f(0.0)).alias(k) for k, d in digits.items()])
+
+
+@query(relocation_sql())
+def relocation(spark, sf_dir):
+    """Sources moved by the time shifts of their windows."""
+    return relocated(spark, sf_dir, False)
+
+
+@query(relocation_sql((2,)))
+def relocation_fixed_depth(spark, sf_dir):
+    """The same where the depth is known."""
+    return relocated(spark, sf_dir, True)
+
+
+SPOT = "cos(radians({k} * 7919 % 1700 / 10.0 - 85)) * cos(radians({k} * 104729 % 3600 / 10.0)) AS x, cos(radians({k} * 7919 % 1700 / 10.0 - 85)) * sin(radians({k} * 104729 % 3600 / 10.0)) AS y, sin(radians({k} * 7919 % 1700 / 10.0 - 85)) AS z"
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT {SPOT.format(k="(s_suppkey * 13 + 5)")} FROM supplier), c AS (SELECT c_custkey AS id, {SPOT.format(k="c_custkey")} FROM customer),
+d AS (SELECT id, c.x, c.y, c.z, min(sqrt((c.x - e.x) ** 2 + (c.y - e.y) ** 2 + (c.z - e.z) ** 2)) AS d FROM c, e GROUP BY ALL),
+r AS (SELECT 0 AS step, id, x, y, z, d FROM d WHERE d >= 0.15 UNION ALL
+  SELECT step + 1, id, x, y, z, now FROM (SELECT *, least(d, sqrt((x - px) ** 2 + (y - py) ** 2 + (z - pz) ** 2)) AS now FROM (
+    SELECT *, row_number() OVER w AS n, first_value(x) OVER w AS px, first_value(y) OVER w AS py, first_value(z) OVER w AS pz FROM r WINDOW w AS (ORDER BY d DESC, id))) WHERE n > 1 AND now >= 0.15)
+SELECT id AS c_custkey, round(d, 7) AS distance FROM r QUALIFY row_number() OVER (PARTITION BY step ORDER BY d DESC, id) = 1""")
+def farthest_first(spark, sf_dir):
+    """Stations added to the existing ones, farthest first, while a least distance is kept."""
+    def spots(name: str, key):
+        lat, lon = F.radians(key * 7919 % 1700 / 10 - 85), F.radians(key * 104729 % 3600 / 10)
+        return table(spark, sf_dir, name).select("*", (F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z"))
+
+    found = P.farthest_first(spots("customer", F.col("c_custkey")), spots("supplier", F.col("s_suppkey") * 13 + 5), "c_custkey", ["x", "y", "z"], 0.15)
+    return found.select("c_custkey", F.round("distance", 7).alias("distance"))

@@ -127,15 +127,19 @@ q AS (SELECT lg.*, cc_shift, cc_max, CASE WHEN noise_amp = 0 THEN 9999.0 ELSE 20
 z AS (SELECT *, rule_weight * ({taper_sql("snr", MEASURE.corners["snr"])}) * ({taper_sql("cc0", MEASURE.corners["cc0"])}) * ({taper_sql("cc_max", MEASURE.corners["cc_max"])}) * ({taper_sql("cc_shift", MEASURE.corners["cc_shift"])}) AS weight FROM q)"""
 
 
-def measured(spark, sf_dir):
-    """Pairs of vectors as stations with windows by rule, measured."""
+def with_windows(spark, sf_dir):
+    """Pairs of vectors as stations with windows by rule."""
     t = three(spark, sf_dir).select("vec_id", F.col("baz").alias("back_azimuth"), *W.OBSERVED, *W.SYNTHETIC).withColumn("distance", F.col("vec_id") % 40 / 10)
     d, k, f = F.col("distance"), F.col("vec_id"), F.lit
     st = t.select("vec_id", f(10.0).alias("depth"), "distance", "back_azimuth", f(True).alias("horizontals"), f(0.0).alias("first"), f(LAST).alias("last"))
     ar = arrivals_of(st, "vec_id", [arrival("P", 1.5 + d / 2, f(True)), arrival("pP", 2.5 + d / 2, k % 3 != 0), arrival("S", 3 + 0.9 * d, k % 4 != 0)])
     windows = O.gather_windows(O.station_windows(st, ar, SHORT, ["vec_id"]), ["vec_id"])
     rows = t.join(windows, "vec_id", "left").withColumns({"rate": f(RATE), "noise_end": 1.5 + d / 2, "windows": F.coalesce("windows", F.array().cast(windows.schema["windows"].dataType))})
-    return O.measure_window_table(rows.drop("back_azimuth", "distance"), MEASURE)
+    return rows.drop("back_azimuth", "distance")
+
+
+def measured(spark, sf_dir):
+    return O.measure_window_table(with_windows(spark, sf_dir), MEASURE)
 
 
 @query(TABLE + """
@@ -162,3 +166,27 @@ def station_adjoint_source(spark, sf_dir):
     zipped = F.arrays_zip("adj_e", "adj_n", "adj_z", F.sequence(F.lit(0), F.lit(N - 1)).alias("i"))
     moment = F.aggregate(zipped, F.lit(0.0), lambda s, x: s + x["adj_e"] * (x["i"] + 1) + x["adj_n"] - x["adj_z"] * x["i"])
     return a.select("vec_id", *[size(f"adj_{c}").alias(f"size_{c}") for c in "enz"], F.round(moment, 5).alias("moment"))
+
+
+#: Changes of the synthetic by four parameters, each a mixture of the traces: e, n, z of (u, v) as columns and what they are times.
+MIXED = [[("vn", 1.0), ("vz", 1.0), ("ve", 1.0)], [("uz", 1.0), ("ue", 1.0), ("un", 1.0)], [("ue", 1.0), ("vn", -2.0), ("uz", 0.5)], [("vz", 0.5), ("un", 1.0), ("vn", 2.0)]]
+CHANGED = ", ".join(f"list_transform({t}, lambda x: x * {f}) AS m{i}{d}" for i, mixed in enumerate(MIXED) for d, (t, f) in zip("enz", mixed))
+GRAM = ", ".join([f"{dots(f'x{i}', f'x{j}')} AS g{i}_{j}" for i in range(4) for j in range(i, 4)] + [f"{dots('ob', f'x{i}')} AS d{i}" for i in range(4)] + [f"{dots('s', f'x{i}')} AS u{i}" for i in range(4)])
+SECOND = ", ".join(f"round((-os / (ss * ss) * g{i}_{j} + (3 * os / (ss * ss) * u{i} * u{j} - u{i} * d{j} - u{j} * d{i}) / (ss * ss)) / (oo * ss), 5) AS h{i}{j}" for i in range(4) for j in range(i, 4))
+
+
+@query(TABLE.replace("FROM c, hh)", f"FROM c, hh), f2 AS (SELECT vec_id AS v2, butter_n AS b2, {CHANGED} FROM fl)") + f""",
+m2 AS (SELECT z.vec_id, z.id, z.w, z.oo, z.ss, z.os, z.cmp, z.ne, z.nn, z.nz, {", ".join(f"z.{a}{d}" for a in ("ob", "s") for d in "enz")}, {", ".join(f"m{i}{d}" for i in range(4) for d in "enz")}
+  FROM z JOIN w ON z.vec_id = w.vec_id AND z.id = w.id JOIN f2 ON v2 = z.vec_id AND b2 = w.butter_n),
+p2 AS (SELECT *, {", ".join(projected(f"m{i}") for i in range(4))} FROM m2),
+x2 AS (SELECT *, {", ".join(f"list_transform(m{i}p{d}, lambda x, i: x * w[i]) AS x{i}{d}" for i in range(4) for d in "enz")} FROM p2),
+y2 AS (SELECT vec_id, id, oo, ss, os, {GRAM} FROM x2)
+SELECT vec_id, id, {SECOND} FROM y2""")
+def source_hessian(spark, sf_dir):
+    """Second derivatives of the similarity of every window by four parameters of the source."""
+    t = with_windows(spark, sf_dir)
+    of = dict(zip(TRACES, (*W.OBSERVED, *W.SYNTHETIC)))
+    one = lambda name, factor: F.transform(of[name], lambda x: x * factor)
+    t = t.withColumn("derivatives", F.array(*[F.concat(*[one(*m) for m in mixed]) for mixed in MIXED]))
+    found = O.window_rows(O.source_hessian(t, MEASURE))
+    return found.select("vec_id", "id", *[F.round(F.get("hessian", F.lit(4 * i + j)), 5).alias(f"h{i}{j}") for i in range(4) for j in range(i, 4)])
