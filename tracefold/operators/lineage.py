@@ -24,13 +24,21 @@ def cutter(spark: SparkSession, label: str) -> Callable[[DataFrame], DataFrame]:
     """A function that writes a table and rereads it: a lost executor then costs only its running tasks."""
 
     def cut(df: DataFrame) -> DataFrame:
-        path = f"{shared_folder(spark)}/tracefold-{label}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        return written(df, label)[0]
 
     return cut
 
 
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """A table in the shared folder, reread, and its path. What nobody deletes before goes with the session."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tracefold-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 class Tables:
     """Tables in the shared folder that one operator writes and rereads; they go when it is done with them."""
 
@@ -39,21 +47,16 @@ class Tables:
         self.paths: dict[int, str] = {}
         self.kept: list[DataFrame] = []
 
-    def _write(self, df: DataFrame) -> tuple[DataFrame, str]:
-        path = f"{shared_folder(self.spark)}/tracefold-{self.label}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), path
-
     def cut(self, df: DataFrame) -> DataFrame:
         """Write a table and reread it: a lost executor then costs only its running tasks."""
-        out, path = self._write(df)
+        out, path = written(df, self.label)
         self.paths[id(out)] = path
         self.kept.append(out)  # so that no other table takes its id
         return out
 
     def keep(self, df: DataFrame) -> DataFrame:
         """As :meth:`cut`, for the result: it outlives the operator."""
-        return self._write(df)[0]
+        return written(df, self.label)[0]
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing reads any more."""
