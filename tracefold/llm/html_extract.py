@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
-Paragraphs pass points for their length and commas to their ancestors, discounted by link
-density; the best container and those of its siblings that score well are kept. Elements that
+Paragraphs pass points for their length and commas to all their ancestors, discounted by link
+density; the best container is kept, and of its siblings and those of its ancestors what scores well or is of the same
+kind. Elements that
 their tag, role or class name as a menu, header, footer, sidebar, notice, advert, form or comment
 neither score nor are kept, but a name alone never empties a page: an element that holds most of
 the points is spared where little would be left without it.
@@ -9,6 +10,7 @@ the points is spared where little would be left without it.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -60,9 +62,8 @@ NAMES = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)\s*(?:=
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 KEPT, WEAK, NAMED, GONE = range(4)
-#: Characters that make a paragraph long, points that a container of some text has, and named containers
-#: around an article, one in the other.
-LONG, SOME, NESTED = 80, 2.5, 8
+#: Characters that make a paragraph long, and points that a container of some text has.
+LONG, SOME = 80, 2.5
 
 
 def naming(attrs: str) -> int:
@@ -86,7 +87,7 @@ class Page:
     """Elements (0 is the root) with what their names say, and the text blocks with the element that holds them."""
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.said = [-1], ["#root"], [KEPT]
+        self.parent, self.tag, self.said, self.kind = [-1], ["#root"], [KEPT], [""]  # kind: the class as written
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self.parse(html)
 
@@ -111,11 +112,12 @@ class Page:
             off -= self.said[element] == GONE
             open_tags[self.tag[element]] -= 1
 
-        def push(tag: str, said: int) -> None:
+        def push(tag: str, said: int, kind: str = "") -> None:
             nonlocal off
             self.parent.append(stack[-1])
             self.tag.append(tag)
             self.said.append(said)
+            self.kind.append(kind)
             stack.append(len(self.tag) - 1)
             off += said == GONE
             open_tags[tag] += 1
@@ -176,7 +178,7 @@ class Page:
                     said = KEPT
                 elif tag in ("form", "fieldset") and said < NAMED:
                     said = NAMED
-                push(tag, said)
+                push(tag, said, next((v.strip("\"'") for n, v in NAMES.findall(attrs) if n.lower() == "class"), "") if attrs else "")
             elif tag == "a":
                 links = 0 if ending else 1
             elif tag == "br":
@@ -220,16 +222,33 @@ class Page:
         # a weak name cuts what has little text or many links; any name cuts, but may not empty the page
         cut = [s == NAMED or s == WEAK and (dense[i] or held[i] < SOME) for i, s in enumerate(self.said)]
         gone = self.under(cut)
-        for _ in range(NESTED):  # spare the outermost cut element that holds most, and look inside it again
-            outer = [] if enough(gone) else [i for i, c in enumerate(cut) if c and n_blocks[i] > 1 and not gone[self.parent[i]]]
-            if not outer:
-                break
-            cut[max(outer, key=held.__getitem__)] = False
+        if not enough(gone):
+            self.spare(cut, held, n_blocks, within)
             gone = self.under(cut)
         if all(gone[e] for e, _, _ in self.blocks) and enough([False] * n):
             gone = [False] * n
         return self.pick([b for b in zip(self.blocks, points) if not gone[b[0][0]]], gone)
 
+    def spare(self, cut: list[bool], held: list[float], n_blocks: list[float], within: list[bool]) -> None:
+        """Cut no longer the outermost cut element that holds most, and so on inside it, until enough text is left."""
+        above = [0] * len(cut)  # the nearest cut element around each, itself included
+        inner: dict[int, list[int]] = {}
+        for i in range(1, len(cut)):
+            around = above[self.parent[i]]
+            above[i] = i if cut[i] else around
+            if cut[i] and n_blocks[i] > 1:
+                inner.setdefault(around, []).append(i)
+        frees = {above[e] for e, text, _ in self.blocks if len(text) >= LONG or within[e]}
+        outer = [(-held[i], i) for i in inner.get(0, [])]
+        heapq.heapify(outer)
+        while outer:
+            _, i = heapq.heappop(outer)
+            cut[i] = False
+            if i in frees:
+                break
+            for j in inner.get(i, []):
+                heapq.heappush(outer, (-held[j], j))
+
     def pick(self, scored_blocks: list, gone: list[bool]) -> str:
         if not scored_blocks:
             return ""
@@ -237,14 +256,13 @@ class Page:
         points, own, chars, linked = ([0.0] * n for _ in range(4))
         for (element, text, in_links), p in scored_blocks:
             at = element if self.tag[element] in CONTAINERS else self.parent[element]
-            for share in (p, p / 2):
-                if at >= 0:
-                    points[at] += share
-                    at = self.parent[at]
+            points[at] += p
             own[element] += p
             chars[element] += len(text)
             linked[element] += in_links
         held, chars, linked = self.up(own), self.up(chars), self.up(linked)
+        for i in range(n - 1, 0, -1):  # half of it goes to the element around, half of that to the next, and so on
+            points[self.parent[i]] += points[i] / 2
         scored = [p * (1 - l / c) if c else 0.0 for p, c, l in zip(points, chars, linked)]
         best = max(range(n), key=scored.__getitem__)  # of equal ones the first on the page
         up = best
@@ -254,14 +272,23 @@ class Page:
                 break
             up = self.parent[up]
         kept = {best}
-        if self.tag[best] not in ("main", "body", "#root"):
-            whole = self.tag[best] == "article"
-            plain = ("h1", "h2", "h3") if whole else ("p", "h1", "h2", "h3", "blockquote", "pre", "ul", "ol")
-            least = max(2.0, held[best] / 5)
-            for i in range(1, n):
-                if self.parent[i] == self.parent[best] and chars[i] and linked[i] < chars[i] / 3 and not gone[i]:
-                    if held[i] >= least or self.tag[i] in plain:
-                        kept.add(i)
+        whole = self.tag[best] == "article"
+        plain = ("h1", "h2", "h3") if whole else ("p", "h1", "h2", "h3", "blockquote", "pre", "ul", "ol")
+        beside: dict[int, list[int]] = {}
+        for i in range(1, n):
+            if chars[i] and linked[i] < chars[i] / 3 and not gone[i]:
+                beside.setdefault(self.parent[i], []).append(i)
+        at, least = best, max(2.0, held[best] / 5)
+        while self.tag[at] not in ("main", "body", "#root"):
+            # siblings of the best container and of what it stands in: by what they hold, or alike in tag and class
+            top = self.tag[self.parent[at]] in ("body", "html", "#root")
+            for i in beside.get(self.parent[at], []):
+                alike = self.tag[i] == self.tag[at] and self.kind[i] == self.kind[at] and (self.tag[i] == "section" or bool(self.kind[i]) or not top)
+                if held[i] >= least or alike or self.tag[i] in (plain if at == best else ("h1",)):
+                    kept.add(i)
+            if whole:
+                break
+            at = self.parent[at]
         inside = self.under([i in kept for i in range(n)])
         return "\n".join(text for (element, text, _), _ in scored_blocks if inside[element])
 
