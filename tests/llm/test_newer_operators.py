@@ -187,3 +187,45 @@ def test_audit(spark):
     assert len(got) == len(expected) == 4 * 600
     assert {(r.part, r.filter_order, r.step): tuple(r)[3:] for r in got} == expected
     assert filter_audit.audit_filters(docs.limit(0), told.limit(0)).count() == 0
+
+
+PARAGRAPH = "<p>" + "Long enough prose, with commas, and words that go on for quite a while so that it counts as a paragraph. " * 2 + "</p>"
+
+
+def nested_page(rng, n):
+    """A page whose article lies in n sections, alike in tag and class and each under some containers; and its headings."""
+    wraps = [rng.choice(["<div class=part>", "<section class=chapter>", "<div>", "<section>"]) for _ in range(rng.randint(1, 4))]
+    close = "".join("</" + w[1:].split()[0].strip(">") + ">" for w in reversed(wraps))
+    parts = [f"{''.join(wraps)}<h2>Part {i}</h2>{PARAGRAPH if i < n - 1 or rng.random() < 0.5 else '<p>Short end.</p>'}{close}" for i in range(n)]
+    around = "<nav><a href=a>Home</a><a href=b>About us</a></nav><div class=sidebar><p>Other things, to read, here.</p></div>"
+    return f"<html><body>{around}<div id=content>{''.join(parts)}</div><footer>All rights, reserved.</footer></body></html>"
+
+
+def test_nested_and_sibling_sections():
+    from tracefold.llm.html_extract import main_text
+
+    rng = random.Random(8)
+    for _ in range(200):
+        n = rng.randint(2, 9)
+        text = main_text(nested_page(rng, n))
+        assert [x for x in text.split("\n") if x.startswith("Part")] == [f"Part {i}" for i in range(n)]
+        assert "Other things" not in text and "rights" not in text and "Home" not in text
+    text = main_text(f"<body><nav><a href=x>Home</a></nav>{f'<section>{PARAGRAPH}</section>' * 5}<section><h2>End</h2><p>Short.</p></section></body>")
+    assert text.count("\n") == 6 and text.endswith("End\nShort.")
+    # wrongly named containers, however many
+    for depth in (1, 9, 3000):
+        assert main_text("<div class=sidebar>" * depth + PARAGRAPH * 3 + "</div>" * depth).count("Long enough") == 6
+
+
+def test_no_secret_is_written(spark, tmp_path):
+    from tracefold.llm import secret_scan
+
+    old = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        docs = spark.createDataFrame([(1, 'password = "hunter2Xq9" AKIA' + "ABCD1234" * 3, "a"), (2, "nothing", "b")], "doc_id long, text string, source string")
+        assert sorted((r.doc_id, r.n_assign, r.n_access) for r in secret_scan.scan_documents(docs).collect()) == [(1, 1, 1), (2, 0, 0)]
+        for row in [r for path in tmp_path.iterdir() for r in spark.read.parquet(str(path)).collect()]:
+            assert "hunter2Xq9" not in str(row) and "ABCD1234" not in str(row)
+    finally:
+        spark.conf.set("spark.checkpoint.dir", old)

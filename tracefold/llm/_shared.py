@@ -33,13 +33,15 @@ def materialize(df: DataFrame, label: str, written: list[str] | None = None) ->
     """Write ``df`` as Parquet to the shared folder and return it reread.
 
     This cuts the lineage: a lost executor costs only the tasks it was running. ``written`` takes
-    the path.
+    the path; a table that nobody discards goes with the session.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracefold-{label}-{uuid.uuid4().hex}"
     if written is not None:
         written.append(path)
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -27,6 +27,8 @@ BASE = (
 )
 OWNED = ("owned", r"[A-Za-z0-9_-]{20,}", 0, 20)
 KINDS = (*BASE, OWNED)
+#: Parts that the documents of a value are dealt to.
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -63,33 +65,39 @@ def looks_live(value: Column, least: int) -> Column:
     )
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str, repo: Column, owner: Column) -> DataFrame:
-    """A slim row per document with all its matches; the text is read once and left behind."""
+def candidates(docs: DataFrame, rules: OwnershipRules, id_col: str, text_col: str, repo: Column, owner: Column) -> DataFrame:
+    """A slim row per document with all its matches; the text is read once and left behind.
+
+    Of a value only its size, its hash and whether it looks live are written, never the value.
+    """
     text = F.col("text")
     found = F.flatten(F.filter(F.array(*[matches(text, k, p, g) for k, p, g, _ in KINDS]), lambda x: x.isNotNull()))
+    told = lambda m: F.struct(
+        *[m[c].alias(c) for c in ("kind", "number", "gap")], F.length(m["match"]).alias("width"), F.length(m["value"]).alias("size"),
+        F.sha2(m["value"], 256).alias("value_hash"), looks_live(m["value"], rules.min_distinct_chars).alias("live"),
+    )
     known = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"), known(repo).alias("repo"), known(owner).alias("owner"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
     return materialize(
-        rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repo", "owner", found.alias("found")), "secrets"
+        rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repo", "owner", F.transform(found, told).alias("found")), "secrets"
     )
 
 
 def located(slim: DataFrame) -> DataFrame:
     """Start and end (code points) of every match that counts."""
     earlier = Window.partitionBy("row", "kind").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    width = F.length("match")
     least = F.element_at(F.create_map(*[F.lit(x) for k, _, _, n in KINDS for x in (k, n)]), F.col("kind"))
     rank = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k[0], i)]), F.col("kind"))
     return (
         slim.filter(F.size("found") > 0)
         .select("row", "doc_id", "repo", "owner", F.explode("found").alias("m"))
         .select("row", "doc_id", "repo", "owner", "m.*")
-        .withColumn("end", F.sum(F.col("gap") + width).over(earlier))
-        .withColumn("start", F.col("end") - width)
-        .filter(F.length("value") >= least)
-        .select("row", "doc_id", "repo", "owner", "kind", rank.alias("rank"), "start", "end", "value", F.sha2("value", 256).alias("value_hash"))
+        .withColumn("end", F.sum(F.col("gap") + F.col("width")).over(earlier))
+        .withColumn("start", F.col("end") - F.col("width"))
+        .filter(F.col("size") >= least)
+        .select("row", "doc_id", "repo", "owner", "kind", rank.alias("rank"), "start", "end", "value_hash", "live")
     )
 
 
@@ -116,19 +124,21 @@ def find_secrets(
     """
     repo = F.col(id_col) if repo is None else repo
     owner = F.col("source") if owner is None else owner
-    slim = candidates(docs, id_col, text_col, repo, owner)
+    slim = candidates(docs, rules, id_col, text_col, repo, owner)
     spans = materialize(located(slim), "secret-spans")
-    held = spans.join(ownership(spans), "value_hash", "left").withColumns({
-        "copied": (F.col("owners") > rules.max_owners) | (F.col("repositories") > rules.max_repositories),
-        "live": looks_live(F.col("value"), rules.min_distinct_chars),
-    })
+    # a value that stands in very many documents is dealt to several tasks, each with its ownership
+    salted = spans.withColumn("salt", F.pmod("row", F.lit(SALTS)))
+    owned = ownership(spans).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    held = salted.join(owned, ["value_hash", "salt"], "left").drop("salt").withColumn(
+        "copied", (F.col("owners") > rules.max_owners) | (F.col("repositories") > rules.max_repositories)
+    )
     base = F.col("kind") != OWNED[0]
     order = Window.partitionBy("row").orderBy("start", "rank")
     before = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     after = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     free = (F.coalesce(before, F.lit(-1)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
     kept = held.withColumn("free", free).filter(base | (F.col("free") & F.col("live") & ~F.coalesce("copied", F.lit(False))))
-    return slim, kept.drop("free", "value")
+    return slim, kept.drop("free")
 
 
 def scan_documents(docs: DataFrame, rules: OwnershipRules = OwnershipRules(), **columns) -> DataFrame:
