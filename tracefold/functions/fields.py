@@ -164,6 +164,10 @@ def depth_mask(depth: Column, none: float, full: float, kind: str = "cosine") ->
     return share if kind == "linear" else 0.5 - 0.5 * F.cos(F.lit(3.141592653589793) * share)
 
 
-def random_perturb(x: Column, share: float, seed: int) -> Column:
-    """x changed by a uniform random share of at most ``share``; the seed makes it the same for the same partitions."""
-    return x * (1 + share * (2 * F.rand(seed) - 1))
+def random_perturb(x: Column, share: float, seed: int, *keys: Column) -> Column:
+    """x changed by a uniform random share of at most ``share``, which follows from the row's keys and the seed,
+    however rows are dealt."""
+    if not keys:
+        raise ValueError("the keys of a row are needed")
+    uniform = F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11) / float(1 << 53)
+    return x * (1 + share * (2 * uniform - 1))

@@ -34,6 +34,29 @@ def cosine_taper(x: Column, corners: list[float]) -> Column:
     )
 
 
+def exponential_taper(x: Column, corners: list[float], stop: float = 0.01, floor: float = 0.0) -> Column:
+    """1 inside, and beyond the pass corners a bell that is ``stop`` at the stop corners (of 1 - ``floor``, which stays).
+
+    Two corners (stop, pass) taper one end, four (stop, pass, pass, stop) both. Null stays null.
+    """
+    if not 0 < stop < 1:
+        raise ValueError("the amplitude at the stop must lie between 0 and 1")
+
+    def bell(full: float, end: float) -> Column:
+        share = (x - full) / (end - full)
+        return floor + (1 - floor) * F.exp(math.log(stop) * share * share)
+
+    if len(corners) == 2:
+        end, full = map(float, corners)
+        if end == full:
+            raise ValueError("the two corners are equal")
+        return F.when(x >= full if end < full else x <= full, 1.0).otherwise(bell(full, end))
+    if len(corners) != 4 or any(a >= b for a, b in zip(corners, corners[1:])):
+        raise ValueError("four corners must strictly increase")
+    a, b, c, d = map(float, corners)
+    return F.when(x.between(b, c), 1.0).when(x < b, bell(b, a)).otherwise(bell(c, d))
+
+
 def window_weight(base: Column, rules: dict[str, tuple[Column, list[float]]]) -> Column:
     """The base weight times one taper per measured quality. The base stays as it was: measuring again gives the same."""
     return reduce(lambda w, r: w * cosine_taper(*r), rules.values(), base)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +47,89 @@ def exact_sum(value: Column, digits: int = 10) -> Column:
     return F.sum(value.cast(f"decimal(28, {digits})")).cast("double")
 
 
+def exact_percentile(df: DataFrame, value: Column, share: float, bins: int = 4096, few: int = 10_000) -> float | None:
+    """The least value whose share of rows, with all lesser ones, is ``share`` at least; null values do not count.
+
+    A histogram of equal bins tells the bin that holds it, and inside that bin another one, until so ``few`` values are
+    left that their order decides. Only the bins' counts reach the driver, and no task holds more than its rows.
+    None without values; ``share`` is over 0 and at most 1.
+    """
+    if not 0 < share <= 1:
+        raise ValueError("the share must lie in (0, 1]")
+    rows = df.select(value.cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    low, high, n = rows.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    rank = math.ceil(share * n - 1e-9)
+    inside = F.lit(True)
+    while n and low < high and n > few:
+        width = (high - low) / bins
+        at = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.col("v") - low) / width))).cast("int")
+        told = rows.filter(inside).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("bin").collect()
+        for r in told:
+            if rank <= r.n:
+                break
+            rank -= r.n
+        low, high, n = r.low, r.high, r.n
+        inside = F.col("v").between(low, high)
+    if not n:
+        return None
+    if low == high:
+        return low
+    return rows.filter(inside).orderBy("v").limit(rank).agg(F.max("v")).first()[0]
+
+
+def filtered_statistics(
+    df: DataFrame, station: str, component: str, components: list[str], measures: dict[str, Column], snr: Column, least_snr: float, phase: Column | None = None,
+    phases: tuple[str, ...] = (), band: Column | None = None, highest: float | None = None,
+) -> DataFrame:
+    """:func:`station_statistics` over windows of a least SNR, of some phases, and whose band (an array of
+    frequencies) ends at ``highest`` or lower. Every station has a row; a component without such windows has count 0 and nulls."""
+    good = snr >= least_snr
+    if phase is not None and phases:
+        good = good & phase.isin(*phases)
+    if band is not None and highest is not None:
+        good = good & (F.array_max(band) <= highest)
+    kept = {name: F.when(good, m) for name, m in measures.items()}
+    own = F.when(good, F.col(component))
+    return station_statistics(df.withColumn("_component", own), station, "_component", components, kept)
+
+
+def layer_means(
+    df: DataFrame, by: list[str], radius: str, center: str, values: dict[str, Column], least_gap: float, discontinuities: list[float] = [], order: list[str] = [],
+) -> DataFrame:
+    """(by, layer, side, radius, n, means) of points whose radii follow each other within ``least_gap``.
+
+    A layer whose mean radius is within ``least_gap`` of a discontinuity is split: points of elements whose ``center`` lies
+    below it are side -1, those above it 1 (one exactly at it is in neither); other layers have side 0.
+    """
+    w = Window.partitionBy(*by).orderBy(radius, *order)
+    fresh = F.when(F.col(radius) - F.lag(radius).over(w) > least_gap, 1).otherwise(0)
+    rows = df.withColumn("_f", fresh).withColumn("layer", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_f")
+    mean = F.avg(radius).over(Window.partitionBy(*by, "layer"))
+    near = F.coalesce(*[F.when(F.abs(F.col("_m") - d) < least_gap, F.lit(float(d))) for d in discontinuities], F.lit(None).cast("double"))
+    rows = rows.withColumn("_m", mean).withColumn("_d", near)
+    side = F.when(F.col("_d").isNull(), 0).when(F.col(center) < F.col("_d"), -1).when(F.col(center) > F.col("_d"), 1)
+    rows = rows.withColumn("side", side).filter("side is not null")
+    return rows.groupBy(*by, "layer", "side").agg(F.avg(radius).alias("radius"), F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(name) for name, c in values.items()])
+
+
+def sum_cubes(cubes: DataFrame, event: str, axes: list[str], value: Column, weight: Column, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(cells: axes, wcc_sum, weight_sum, events; unlike: event, cells): the cubes of all events added up cell by cell.
+
+    All events must have the same cells. What most events have (of equally many the lesser digest) is the rule; events with other cells, or
+    with a cell twice, are unlike and are left out of the sums. With ``strict`` there being any is an error.
+    """
+    cell = F.xxhash64(*axes).cast("decimal(38,0)")
+    own = cubes.groupBy(event).agg(F.count(F.lit(1)).alias("cells"), F.count_distinct(*axes).alias("_distinct"), F.sum(cell).alias("_axes"))
+    shape = own.groupBy("cells", "_axes").agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("_distinct") == F.col("cells")).alias("_once"))
+    rule = shape.filter("_once").agg(F.max_by(F.struct("cells", "_axes"), F.struct("_n", (-F.col("_axes")).alias("first"))).alias("r")).select("r.*")
+    alike = own.filter(F.col("_distinct") == F.col("cells")).join(F.broadcast(rule), ["cells", "_axes"], "left_semi").select(event)
+    unlike = own.join(alike, event, "left_anti").select(event, "cells")
+    if strict and (bad := unlike.orderBy(event).first()):
+        raise ValueError(f"{event} {bad[0]} has other axes ({bad[1]} cells)")
+    sums = cubes.join(alike, event, "left_semi").groupBy(*axes).agg(F.sum(value).alias("wcc_sum"), F.sum(weight).alias("weight_sum"), F.count(F.lit(1)).alias("events"))
+    return sums, unlike
+
+
 def range_pdf(df: DataFrame, x: Column, low: float, high: float, bins: int, weight: Column) -> DataFrame:
     """Share of weight in equal bins [low, high) of a fixed range (a depth)."""
     at = F.floor((x - low) / ((high - low) / bins)).cast("int")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,15 +56,19 @@ def priority_patterns(df: DataFrame, text: Column, patterns: list[str], by: list
 def interpolate_1d(points: DataFrame, x: str, knots: DataFrame, knot_x: str, knot_y: str, out: str) -> DataFrame:
     """Linear interpolation between the knots around each point, clamped outside.
 
-    The knots (a model of a few thousand at most, whose number is checked) become one sorted array,
-    which every row carries; the row looks up its place in it. Nothing is shuffled.
+    The knots (a model of a few thousand at most, whose number is checked) go to the tasks by broadcast and are
+    searched by halves for whole batches. Nothing is shuffled. A null x stays null; without knots all are null.
     """
-    model = short_list(knots).agg(F.array_sort(F.collect_list(F.struct(F.col(knot_x).cast("double").alias("x"), F.col(knot_y).cast("double").alias("y")))).alias("_k"))
-    at = F.size(F.filter("_k", lambda k: k["x"] <= F.col(x)))
-    low, high = F.get("_k", at - 1), F.get("_k", at)
-    share = (F.col(x) - low["x"]) / (high["x"] - low["x"])
-    value = F.when(at == 0, F.get("_k", F.lit(0))["y"]).when(at == F.size("_k"), low["y"]).otherwise(low["y"] + share * (high["y"] - low["y"]))
-    return points.crossJoin(F.broadcast(model)).select(*points.columns, F.when(F.col(x).isNotNull(), value).alias(out))
+    model = sorted((r.x, r.y) for r in short_list(knots.select(F.col(knot_x).cast("double").alias("x"), F.col(knot_y).cast("double").alias("y")).dropna()).collect())
+    sent = points.sparkSession.sparkContext.broadcast(np.array(model, float).reshape(-1, 2))
+
+    @F.pandas_udf("double")
+    def interpolated(at: pd.Series) -> pd.Series:
+        xs, ys = sent.value.T
+        values = at.to_numpy(dtype=float, na_value=np.nan)
+        return pd.Series(np.interp(values, xs, ys) if len(xs) else np.full(len(values), np.nan)).where(~np.isnan(values), None)
+
+    return points.withColumn(out, F.nanvl(interpolated(F.col(x).cast("double")), F.lit(None).cast("double")))
 
 
 def pairs_within(a: DataFrame, b: DataFrame, xyz: list[str], radius: float) -> DataFrame:

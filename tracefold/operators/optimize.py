@@ -33,17 +33,28 @@ def cg_direction(df: DataFrame, volume: Column, new: Column, old: Column, direct
     return df.withColumn(out, p * new - beta * direction)
 
 
-def lbfgs_direction(df: DataFrame, volume: Column, gradient: Column, steps: list[tuple[Column, Column]], out: str = "direction") -> DataFrame:
+def steepest_descent(df: DataFrame, gradients: list[Column], scale: float, mask: Column | None = None) -> DataFrame:
+    """``df`` with dmodel0, …: each gradient times the mask and the scale."""
+    m = F.lit(float(scale)) if mask is None else mask * scale
+    return df.withColumns({f"dmodel{i}": m * g for i, g in enumerate(gradients)})
+
+
+def lbfgs_direction(df: DataFrame, volume: Column, gradient: Column, steps: list[tuple[Column, Column]], out: str = "direction", mask: Column | None = None) -> DataFrame:
     """Two-loop recursion over (model difference, gradient difference), newest first.
 
     The result is a combination of the columns given. Their inner products are taken once, in
-    one aggregate, and the loops run over those few numbers on the driver.
+    one aggregate, and the loops run over those few numbers on the driver. A ``mask`` is applied to the
+    first guess of the Hessian, between the loops, which doubles the columns.
     """
     basis = [gradient, *[c for s, y in steps for c in (s, y)]]
     n = len(basis)
-    got = dots(df, volume, {f"{i}_{j}": (basis[i], basis[j]) for i in range(n) for j in range(i, n)})
+    pairs = {f"{i}_{j}": (basis[i], basis[j]) for i in range(n) for j in range(i, n)}
+    if mask is not None:
+        pairs |= {f"{i}_{n + j}": (basis[i], mask * basis[j]) for i in range(n) for j in range(n)}
+        basis = basis + [mask * b for b in basis]
+    got = dots(df, volume, pairs)
     ip = lambda a, b: sum(x * z * got[f"{min(i, j)}_{max(i, j)}"] for i, x in enumerate(a) for j, z in enumerate(b) if x and z)
-    unit = lambda k: [float(i == k) for i in range(n)]
+    unit = lambda k: [float(i == k) for i in range(len(basis))]
     q, alphas = unit(0), []
     for k in range(len(steps)):
         s, y = unit(1 + 2 * k), unit(2 + 2 * k)
@@ -55,6 +66,8 @@ def lbfgs_direction(df: DataFrame, volume: Column, gradient: Column, steps: list
         s, y = unit(1), unit(2)
         gamma = ip(s, y) / ip(y, y)
         q = [gamma * u for u in q]
+    if mask is not None:
+        q = [0.0] * n + q[:n]
     for rho, a, s, y in reversed(alphas):
         b = rho * ip(y, q)
         q = [u + (a - b) * v for u, v in zip(q, s)]

@@ -141,10 +141,13 @@ def mesh_jacobian(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS x, l_quantity AS v, lag(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) AS before FROM lineitem)
-SELECT l_orderkey, round(0.5 * max(v) / min(CASE WHEN abs(x - before) > 0 THEN abs(x - before) END), 9) AS courant FROM p GROUP BY 1""")
+WITH p AS (SELECT row_number() OVER () AS r, l_orderkey, l_extendedprice::DOUBLE / 1000 AS x, l_quantity::DOUBLE AS y, l_discount::DOUBLE * 100 AS z, l_quantity::DOUBLE AS v FROM lineitem),
+d AS (SELECT a.l_orderkey, min((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d2 FROM p a JOIN p b ON a.l_orderkey = b.l_orderkey AND a.r < b.r GROUP BY 1)
+SELECT p.l_orderkey, round(CASE WHEN min(d2) > 0 THEN 0.5 * max(v) / sqrt(min(d2)) END, 9) AS courant FROM p LEFT JOIN d ON p.l_orderkey = d.l_orderkey GROUP BY 1""")
 def courant_number(spark, sf_dir):
-    found = M.courant_number(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_extendedprice"], F.col("l_quantity"), 0.5, ["l_linenumber", "l_extendedprice"])
+    """Over all pairs of an element's points."""
+    points = table(spark, sf_dir, "lineitem").select("l_orderkey", *[(F.col(c).cast("double") * f).alias(n) for n, c, f in (("x", "l_extendedprice", 0.001), ("y", "l_quantity", 1.0), ("z", "l_discount", 100.0))])
+    found = M.courant_number(points, ["l_orderkey"], ["x", "y", "z"], F.col("y"), 0.5)
     return found.select("l_orderkey", F.round("courant", 9).alias("courant"))
 
 
@@ -208,10 +211,10 @@ def relative_model_roundtrip(spark, sf_dir):
 @query(f"""
 WITH s AS (SELECT quantile_disc(abs(l_extendedprice), 0.1) AS z FROM lineitem) SELECT l_orderkey, l_linenumber, round(1 / greatest(abs(l_extendedprice), z), 12) AS inverse FROM lineitem, s""")
 def percentile_floored_inverse(spark, sf_dir):
-    """The inverse of a diagonal, no smaller than its lowest tenth: the tenth is found by an exact aggregate."""
+    """The inverse of a diagonal, no smaller than its lowest tenth: the tenth is found by histograms that narrow."""
     df = table(spark, sf_dir, "lineitem").select(*KEY, F.abs("l_extendedprice").alias("h"))
-    floor = df.agg(F.expr("percentile_disc(0.1) WITHIN GROUP (ORDER BY h)").alias("z"))
-    return df.crossJoin(F.broadcast(floor)).select(*KEY, F.round(X.floored_inverse(F.col("h"), F.col("z")), 12).alias("inverse"))
+    floor = A.exact_percentile(df, F.col("h"), 0.1)
+    return df.select(*KEY, F.round(X.floored_inverse(F.col("h"), F.lit(floor)), 12).alias("inverse"))
 
 
 CENTERS = [(0.0, 0.0, 0.0), (0.1, -0.1, 0.05), (-0.2, 0.1, 0.0)]
@@ -318,7 +321,7 @@ def greedy_spacing(spark, sf_dir):
 @query()
 def random_perturbation(spark, sf_dir):
     """Uniform changes of at most a tenth, from a seed."""
-    return table(spark, sf_dir, "part").select("p_partkey", X.random_perturb(F.col("p_retailprice"), 0.1, 7).alias("value"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.random_perturb(F.col("p_retailprice"), 0.1, 7, F.col("p_partkey")).alias("value"))
 
 
 @query("""

@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import checks, joins, measures, mesh, models, search, solvers, stations, traces, waveforms, windows  # noqa: E402,F401  they register their queries
+from . import checks, joins, measures, mesh, models, rules, search, solvers, stations, traces, waveforms, windows  # noqa: E402,F401  they register their queries

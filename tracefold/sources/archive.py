@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import first_wins, gaps, islands
+from ..operators.lineage import tables
 
 #: The partition columns of an archive, outermost first.
 PARTITIONS = ("year", "network", "station", "channel", "doy")
@@ -21,10 +22,42 @@ def insert_records(archived: DataFrame | None, new: DataFrame) -> DataFrame:
 
 def write_archive(records: DataFrame, path: str, mode: str = "error") -> None:
     """Write under year, network, station, channel and day of year, sorted by start."""
-    days = records.withColumns({"year": F.year("starttime"), "doy": F.dayofyear("starttime")})
+    days = with_days(records)
     days.repartition(*PARTITIONS).sortWithinPartitions(*PARTITIONS, "starttime").write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
 
 
+def with_days(records: DataFrame) -> DataFrame:
+    return records.withColumns({"year": F.year("starttime"), "doy": F.dayofyear("starttime")})
+
+
+def insert_into_archive(new: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Insert new records into the archive at ``path``: (what was added, what differs).
+
+    Only days of channels that new records fall in are read, and of these only those that gain a record are written
+    again; the files of all others stay. Of records equal in key the archived stays, then the first new. Added: the
+    new records that are now there. Differs: keys for which unlike bytes came (a payload that is neither kept nor equal to the kept),
+    with both hashes. The days are written to the shared folder first, for a table cannot be read and replaced at once.
+    """
+    spark = new.sparkSession
+    scope = tables(spark, "archive")
+    days = scope.cut(with_days(new))
+    at = [F.col(f"a.{c}").cast("string") == F.col(f"d.{c}").cast("string") for c in PARTITIONS]
+    touched = days.select(*PARTITIONS).distinct()
+    old = spark.read.parquet(path)
+    old = old.alias("a").join(touched.alias("d"), at, "left_semi").select(*[F.col(c).cast(days.schema[c].dataType).alias(c) for c in days.columns])
+    ranked = scope.cut(old.withColumn("_age", F.lit(0)).unionByName(days.withColumn("_age", F.lit(1))).withColumn("_hash", F.sha2("payload", 256)))
+    kept = first_wins(ranked, list(KEY), [F.col("_age"), F.col("_hash")])
+    grown = kept.filter("_age = 1").select(*PARTITIONS).distinct()
+    whole = scope.cut(kept.join(grown, list(PARTITIONS), "left_semi"))
+    out = whole.drop("_age", "_hash").repartition(*PARTITIONS).sortWithinPartitions(*PARTITIONS, "starttime")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+    added = scope.keep(whole.filter("_age = 1").select(*new.columns))
+    mine = kept.select(*KEY, F.col("_hash").alias("kept_sha256"))
+    differs = scope.keep(ranked.select(*KEY, F.col("_hash").alias("other_sha256")).join(mine, list(KEY)).filter("other_sha256 <> kept_sha256").distinct())
+    scope.close()
+    return added, differs
+
+
 def read_archive(spark: SparkSession, path: str, start: str, end: str, like: dict[str, str] | None = None, border_days: int = 1) -> DataFrame:
     """Records that overlap [start, end]; years and days (with a border) and names (with * and ?) prune partitions."""
     t0, t1 = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
