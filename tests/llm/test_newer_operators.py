@@ -217,15 +217,13 @@ def test_nested_and_sibling_sections():
         assert main_text("<div class=sidebar>" * depth + PARAGRAPH * 3 + "</div>" * depth).count("Long enough") == 6
 
 
-def test_no_secret_is_written(spark, tmp_path):
-    from tracefold.llm import secret_scan
-
-    old = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        docs = spark.createDataFrame([(1, 'password = "hunter2Xq9" AKIA' + "ABCD1234" * 3, "a"), (2, "nothing", "b")], "doc_id long, text string, source string")
-        assert sorted((r.doc_id, r.n_assign, r.n_access) for r in secret_scan.scan_documents(docs).collect()) == [(1, 1, 1), (2, 0, 0)]
-        for row in [r for path in tmp_path.iterdir() for r in spark.read.parquet(str(path)).collect()]:
-            assert "hunter2Xq9" not in str(row) and "ABCD1234" not in str(row)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", old)
+def test_no_secret_is_written(spark, tmp_path, monkeypatch):
+    from tracefold.llm import _shared, secret_scan
+
+    monkeypatch.setattr(_shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    docs = spark.createDataFrame([(1, 'password = "hunter2Xq9" AKIA' + "ABCD1234" * 3, "a"), (2, "nothing", "b")], "doc_id long, text string, source string")
+    assert sorted((r.doc_id, r.n_assign, r.n_access) for r in secret_scan.scan_documents(docs).collect()) == [(1, 1, 1), (2, 0, 0)]
+    tables = list(tmp_path.iterdir())
+    assert tables
+    for row in [r for path in tables for r in spark.read.parquet(str(path)).collect()]:
+        assert "hunter2Xq9" not in str(row) and "ABCD1234" not in str(row)

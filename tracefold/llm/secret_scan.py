@@ -128,7 +128,7 @@ def find_secrets(
     spans = materialize(located(slim), "secret-spans")
     # a value that stands in very many documents is dealt to several tasks, each with its ownership
     salted = spans.withColumn("salt", F.pmod("row", F.lit(SALTS)))
-    owned = ownership(spans).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    owned = ownership(spans).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     held = salted.join(owned, ["value_hash", "salt"], "left").drop("salt").withColumn(
         "copied", (F.col("owners") > rules.max_owners) | (F.col("repositories") > rules.max_repositories)
     )
