@@ -70,7 +70,7 @@ def piece_model(path: str | None = None) -> bytes:
 
 def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return sentencepiece_codec.encode_documents(docs, piece_model(), outputs=sentencepiece_codec.DIGESTS)
+    return sentencepiece_codec.encode_documents(docs, piece_model(), outputs=(*sentencepiece_codec.DIGESTS, "spans_sha256"))
 
 
 def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:

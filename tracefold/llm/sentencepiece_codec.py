@@ -311,11 +311,19 @@ INTEGERS = T.ArrayType(T.IntegerType(), False)
 #: What can be asked of an encoded text. Digests are taken where the ids are, so that these need not travel.
 OUTPUTS = {
     "ids": INTEGERS, "begins": INTEGERS, "ends": INTEGERS, "decoded": T.StringType(),
-    "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(),
+    "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(), "spans_sha256": T.StringType(),
 }
 DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def spans_digest(begins: np.ndarray, ends: np.ndarray) -> str:
+    """SHA-256 of the source bytes where each piece begins and ends, as little-endian 32-bit pairs."""
+    told = hashlib.sha256()
+    for i in range(0, len(begins), CHUNK):
+        told.update(np.stack([begins[i : i + CHUNK], ends[i : i + CHUNK]], axis=1).astype("<i4").tobytes())
+    return told.hexdigest()
+
+
 def encoded(codec: Codec, texts: list[str], wanted: tuple[str, ...]) -> Iterator[pa.Array]:
     """The outputs asked for, in that order."""
     counts, ids, begins, ends = codec.encode(texts)
@@ -326,6 +334,7 @@ def encoded(codec: Codec, texts: list[str], wanted: tuple[str, ...]) -> Iterator
         "decoded": lambda: pa.array(decoded, pa.string()),
         "n_tokens": lambda: pa.array(counts, pa.int64()),
         "ids_sha256": lambda: pa.array([codec.ids_digest(ids[b - n : b]) for n, b in zip(counts.tolist(), last)], pa.string()),
+        "spans_sha256": lambda: pa.array([spans_digest(begins[b - n : b], ends[b - n : b]) for n, b in zip(counts.tolist(), last)], pa.string()),
         "decoded_sha256": lambda: pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()),
     }
     return (columns[w]() for w in wanted)
@@ -339,7 +348,7 @@ def encode_documents(
     outputs: tuple[str, ...] = ("ids", "begins", "ends", "decoded"),
 ) -> DataFrame:
     """The kept columns with what is asked of ids, begins and ends (bytes of the source text),
-    decoded, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256.
+    decoded, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 and spans_sha256 (see :func:`spans_digest`).
 
     Exactly the library's pieces without begin or end ids; ``decoded`` is the library's
     decoding of the ids. The model (bounded: a vocabulary) goes to the workers by broadcast.
