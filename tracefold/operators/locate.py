@@ -70,8 +70,9 @@ def locate_by_boxes(
     """
     scope = tables(points.sparkSession, "locate")
     order = Window.partitionBy(point).orderBy("ratio", element)
-    left = scope.cut(box_candidates(points, elements, point, element, xyz, anchors, ratio, same).withColumn("rank", F.row_number().over(order)))
-    shapes = elements.select(element, F.col(anchors).cast("array<double>").alias("_anchors"))
+    shapes = scope.cut(elements.select(element, F.col(anchors).cast("array<double>").alias("_anchors"), *([same] if same else [])))  # every round reads them
+    left = scope.cut(box_candidates(points, shapes, point, element, xyz, "_anchors", ratio, same).withColumn("rank", F.row_number().over(order)))
+    shapes = shapes.select(element, "_anchors")
     tried, last = [], 1
     while not left.isEmpty():
         now = left.filter(F.col("rank") <= last).join(shapes, element)

@@ -42,8 +42,8 @@ def mesh_diffusion_roundtrip(spark, sf_dir):
     mesh = lattice(spark, sf_dir)
     elements = mesh.drop("u")
     points = mesh.select(F.explode(F.arrays_zip("nodes", "u")).alias("x")).groupBy(F.col("x.nodes").alias("node")).agg(F.avg("x.u").alias("value"))
-    smooth = D.smooth_mesh(elements, points, "node", "value", F.lit(0.2), F.lit(0.1), "bessel", n=N, up=(0.0, 0.0, 1.0), tolerance=1e-24)
-    back = D.apply_mesh(elements, smooth, "node", "value", F.lit(0.2), F.lit(0.1), n=N, up=(0.0, 0.0, 1.0))
+    smooth = D.smooth_mesh(elements, points, "node", "value", F.lit(0.1), F.lit(0.05), "bessel", n=N, up=(0.0, 0.0, 1.0), tolerance=1e-24)
+    back = D.apply_mesh(elements, smooth, "node", "value", F.lit(0.1), F.lit(0.05), n=N, up=(0.0, 0.0, 1.0))
     return back.select("node", (F.round("value", 4) + F.lit(0.0)).alias("value"))
 
 
@@ -192,9 +192,9 @@ SPOT = "cos(radians({k} * 7919 % 1700 / 10.0 - 85)) * cos(radians({k} * 104729 %
 @query(f"""
 WITH RECURSIVE e AS (SELECT {SPOT.format(k="(s_suppkey * 13 + 5)")} FROM supplier), c AS (SELECT c_custkey AS id, {SPOT.format(k="c_custkey")} FROM customer),
 d AS (SELECT id, c.x, c.y, c.z, min(sqrt((c.x - e.x) ** 2 + (c.y - e.y) ** 2 + (c.z - e.z) ** 2)) AS d FROM c, e GROUP BY ALL),
-r AS (SELECT 0 AS step, id, x, y, z, d FROM d WHERE d >= 0.15 UNION ALL
+r AS (SELECT 0 AS step, id, x, y, z, d FROM d WHERE d >= 0.25 UNION ALL
   SELECT step + 1, id, x, y, z, now FROM (SELECT *, least(d, sqrt((x - px) ** 2 + (y - py) ** 2 + (z - pz) ** 2)) AS now FROM (
-    SELECT *, row_number() OVER w AS n, first_value(x) OVER w AS px, first_value(y) OVER w AS py, first_value(z) OVER w AS pz FROM r WINDOW w AS (ORDER BY d DESC, id))) WHERE n > 1 AND now >= 0.15)
+    SELECT *, row_number() OVER w AS n, first_value(x) OVER w AS px, first_value(y) OVER w AS py, first_value(z) OVER w AS pz FROM r WINDOW w AS (ORDER BY d DESC, id))) WHERE n > 1 AND now >= 0.25)
 SELECT id AS c_custkey, round(d, 7) AS distance FROM r QUALIFY row_number() OVER (PARTITION BY step ORDER BY d DESC, id) = 1""")
 def farthest_first(spark, sf_dir):
     """Stations added to the existing ones, farthest first, while a least distance is kept."""
@@ -202,5 +202,5 @@ def farthest_first(spark, sf_dir):
         lat, lon = F.radians(key * 7919 % 1700 / 10 - 85), F.radians(key * 104729 % 3600 / 10)
         return table(spark, sf_dir, name).select("*", (F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z"))
 
-    found = P.farthest_first(spots("customer", F.col("c_custkey")), spots("supplier", F.col("s_suppkey") * 13 + 5), "c_custkey", ["x", "y", "z"], 0.15)
+    found = P.farthest_first(spots("customer", F.col("c_custkey")), spots("supplier", F.col("s_suppkey") * 13 + 5), "c_custkey", ["x", "y", "z"], 0.25)
     return found.select("c_custkey", F.round("distance", 7).alias("distance"))
