@@ -50,7 +50,7 @@ def dense(rows, kh, kv):
     return mass, stiff
 
 
-@pytest.mark.parametrize("kind,sigma,vertical,steps,implicit", [("gauss", 0.5, 0.2, 2, 0.5), ("bessel", 0.5, None, 1, 1.0)])
+@pytest.mark.parametrize("kind,sigma,vertical,steps,implicit", [("gauss", 0.5, 0.2, 1, 0.5), ("bessel", 0.5, None, 1, 1.0)])
 def test_smooth_mesh(spark, kind, sigma, vertical, steps, implicit):
     rows = mesh()
     elements = spark.createDataFrame(rows, "block long, element long, nodes array<long>, anchors array<double>").repartition(3)

@@ -117,7 +117,7 @@ def one_by_one(points, existing, least):
 
 def test_farthest_first(spark):
     rng = np.random.default_rng(2)
-    places = np.concatenate([rng.normal(size=(60, 3)), rng.normal(size=(60, 3)) * 0.05 + 4, np.repeat(rng.normal(size=(3, 3)), 3, axis=0), [[i, 8.0, 0.0] for i in range(8)]])
+    places = np.concatenate([rng.normal(size=(30, 3)), rng.normal(size=(20, 3)) * 0.05 + 4, np.repeat(rng.normal(size=(3, 3)), 3, axis=0), [[i, 8.0, 0.0] for i in range(8)]])
     points = dict(enumerate(places))
     existing = [np.zeros(3), np.array([1.0, 1.0, 1.0])]
     df = spark.createDataFrame([(i, *map(float, p)) for i, p in points.items()] + [(500, None, 0.0, 0.0)], "id long, x double, y double, z double")
