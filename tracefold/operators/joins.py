@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .lineage import cutter
+from .nearest import nearest_join  # noqa: F401  the spatial joins are found in one place
 
 
 def epoch_join(data: DataFrame, epochs: DataFrame, keys: list[str], at: str, start: str, end: str, how: str = "inner") -> DataFrame:
@@ -95,29 +95,6 @@ def radius_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, xyz: list[str]
     return met.select("a_id", "b_id", "distance")
 
 
-def nearest_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, xyz: list[str], k: int, radius: float) -> DataFrame:
-    """The k nearest of b for every a (a_id, b_id, distance, rank); ties go to the lesser id.
-
-    ``radius`` is where the search begins: what has k neighbours within it is done, and for the others
-    the radius is doubled, until they have k or all of b. A good radius holds a few times k.
-    """
-    w = Window.partitionBy("a_id").orderBy("distance", "b_id")
-    cut = cutter(a.sparkSession, "nearest")
-    extent = a.select(*xyz).unionByName(b.select(*xyz)).agg(*[(F.max(c) - F.min(c)).alias(c) for c in xyz]).first()
-    diagonal = sum((v or 0.0) ** 2 for v in extent) ** 0.5
-    left, found = a, None
-    while True:
-        ranked = radius_join(left, b, a_id, b_id, xyz, radius).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        if radius > diagonal:
-            return ranked if found is None else found.unionByName(ranked)
-        done = cut(ranked.withColumn("_most", F.max("rank").over(Window.partitionBy("a_id"))).filter(F.col("_most") == k).drop("_most"))
-        found = done if found is None else found.unionByName(done)
-        left = cut(left.join(done.select(F.col("a_id").alias(a_id)).distinct(), a_id, "left_anti"))
-        if left.isEmpty():
-            return found
-        radius *= 2
-
-
 def best_location(found: DataFrame, point: str, status: str, misloc: str, *last: str) -> DataFrame:
     """Merge candidates of a point: inside (1) beats near (0), then the least misfit, then the least of the
     ``last`` columns; -1 never counts."""
