@@ -34,6 +34,37 @@ def placed(spark, places):
     return spark.createDataFrame(table).repartition(4)
 
 
+def test_nearest_join_of_crowded_places(spark):
+    """What lies within a radius is no measure of the work: 40000 places in a small cube, 8000 of them at one place."""
+    rng = np.random.default_rng(4)
+    places = np.concatenate([rng.random((32000, 3)) * 0.01, np.full((8000, 3), 0.005), [[9.0, 9, 9]]]).round(4)  # rounded: many ties
+    df = placed(spark, places)
+    with limit(spark, 120):
+        rows = joins.nearest_join(df, df, "id", "id", XYZ, 3, 0.1).filter("a_id % 400 = 0").collect()
+    got = {(r.a_id, r.rank): (r.b_id, r.distance) for r in rows}
+    assert len(got) == len(rows) == 3 * 101
+    for i in range(0, len(places), 400):
+        d = np.sqrt((places[i, 0] - places[:, 0]) ** 2 + (places[i, 1] - places[:, 1]) ** 2 + (places[i, 2] - places[:, 2]) ** 2)
+        for rank, j in enumerate(np.lexsort((np.arange(len(d)), d))[:3], 1):
+            assert got[i, rank] == (j, d[j])
+
+
+def test_nearest_join_of_distant_tables(spark):
+    """Leaves without a place of the other table, names as ids, and places that are none."""
+    rng = np.random.default_rng(5)
+    b = np.concatenate([rng.normal(size=(6000, 3)), rng.normal(size=(3000, 3)) + 50])
+    a = np.concatenate([rng.normal(size=(40, 3)) + 25, rng.normal(size=(40, 3)) * 300])
+    right = placed(spark, b).withColumn("name", F.format_string("n%05d", "id")).select("name", *XYZ)
+    right = right.union(spark.createDataFrame([("null", None, 0.0, 0.0), ("nan", float("nan"), 0.0, 0.0)], right.schema))
+    left = placed(spark, a).union(spark.createDataFrame([(500, None, 0.0, 0.0), (501, float("inf"), 0.0, 0.0)], "id long, x double, y double, z double"))
+    got = {(r.a_id, r.rank): r.b_id for r in joins.nearest_join(left, right, "id", "name", XYZ, 5).collect()}
+    assert len(got) == 5 * len(a)
+    for i, p in enumerate(a):
+        order = np.argsort(np.linalg.norm(b - p, axis=1), kind="stable")[:5]
+        assert [got[i, r] for r in range(1, 6)] == [f"n{j:05d}" for j in order]
+    assert joins.nearest_join(left, right.limit(0), "id", "name", XYZ, 5).count() == 0
+
+
 def test_farthest_first_of_crowded_places(spark):
     """Many candidates and many existing points within reach of one another."""
     rng = np.random.default_rng(7)
