@@ -98,3 +98,16 @@ def test_first_line_of_a_part(spark, tmp_path):
         spark.createDataFrame(rows, "l_partkey long, l_orderkey long, l_linenumber int, l_suppkey long").coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
         got = {r.p_partkey: r.azimuth for r in registry.QUERIES["component_lookup_first"](spark, str(folder)).collect()}
         assert got == {1: 7, 2: 6, 3: -1}
+
+
+def test_lags_of_a_large_batch():
+    """The memory of a batch does not grow with its rows beyond the traces and results themselves."""
+    rng = np.random.default_rng(8)
+    traces = pd.Series(list(rng.normal(size=(10001, 64))))
+    tracemalloc.start()
+    found = signal.cc_lag_search(2.0, 4.0, 8).func(traces[:-1].reset_index(drop=True), traces[1:].reset_index(drop=True))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6
+    few = signal.cc_lag_search(2.0, 4.0, 8).func(traces[9990:10000].reset_index(drop=True), traces[9991:].reset_index(drop=True))
+    assert np.allclose(found[9990:], few)

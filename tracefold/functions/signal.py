@@ -89,13 +89,19 @@ def impulse_response(n: int, rate: float, order: int, low: float | None, high: f
     return np.fft.irfft(band_response(np.fft.rfftfreq(n, 1 / rate), rate, order, low, high), n)
 
 
+#: Samples of a matrix of traces; what is made of them (spectra, fine lags) is some dozen times as large.
+SAMPLES = 1 << 16
+
+
 def stacked(*columns: pd.Series):
-    """(rows, a matrix for every column) for each length that all traces of a row share."""
+    """(rows, a matrix for every column) for each length that all traces of a row share, ``SAMPLES`` at a time."""
     sizes = np.array([[-1 if t is None else len(t) for t in c] for c in columns])
     alike = (sizes == sizes[0]).all(axis=0) & (sizes[0] > 0)
     for n in np.unique(sizes[0][alike]):
-        at = np.flatnonzero(alike & (sizes[0] == n))
-        yield at, *[np.stack(c.iloc[at].to_numpy()).astype(float) for c in columns]
+        rows, few = np.flatnonzero(alike & (sizes[0] == n)), max(1, SAMPLES // int(n))
+        for first in range(0, len(rows), few):
+            at = rows[first : first + few]
+            yield at, *[np.stack(c.iloc[at].to_numpy()).astype(float) for c in columns]
 
 
 def correlations(a: np.ndarray, b: np.ndarray, fine: int = 1) -> tuple[np.ndarray, np.ndarray]:
