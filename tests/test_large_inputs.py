@@ -111,3 +111,30 @@ def test_lags_of_a_large_batch():
     assert most < 100e6
     few = signal.cc_lag_search(2.0, 4.0, 8).func(traces[9990:10000].reset_index(drop=True), traces[9991:].reset_index(drop=True))
     assert np.allclose(found[9990:], few)
+
+
+def one_by_one(places, radius):
+    """The points that go, from the whole matrix of distances."""
+    gaps = places[:, None] - places[None]
+    near = np.sqrt(gaps[..., 0] ** 2 + gaps[..., 1] ** 2 + gaps[..., 2] ** 2) <= radius
+    np.fill_diagonal(near, False)
+    degree, out = near.sum(axis=1), set()
+    while degree.max() > 0:
+        i = max(np.flatnonzero(degree == degree.max()))
+        out.add(int(i))
+        degree[near[i]] -= 1
+        near[i] = near[:, i] = False
+        degree[i] = 0
+    return out
+
+
+def test_thinning_of_crowded_places(spark):
+    """Blocks drop what one by one would; the middle holds copies and far more conflicts than a round for each could drop in time."""
+    rng = np.random.default_rng(9)
+    places = np.concatenate([rng.normal(size=(1500, 3)) * 0.08, rng.normal(size=(500, 3)) * 0.3, np.repeat(rng.normal(size=(20, 3)) * 0.1, 10, axis=0)])
+    df = placed(spark, places).union(spark.createDataFrame([(9999, None, 0.0, 0.0)], "id long, x double, y double, z double"))
+    with limit(spark, 200):
+        rows = spacing.thin_by_distance(df, "id", XYZ, 0.05).collect()
+    assert len(rows) == len({r.id for r in rows})
+    assert {r.id for r in rows} == one_by_one(places, 0.05)
+    assert spacing.thin_by_distance(df.limit(0), "id", XYZ, 0.05).count() == 0

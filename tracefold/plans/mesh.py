@@ -8,10 +8,10 @@ from ..functions import fields as X
 from ..functions import geo as G
 from ..functions import gll
 from ..operators import aggregates as A
-from ..operators import joins as J
 from ..operators import lineage
 from ..operators import mesh as M
 from ..operators import smoothing as S
+from ..operators import spacing as P
 from .joins import XYZ, places
 from .models import KEY
 from .registry import query, table
@@ -313,9 +313,7 @@ def implicit_diffusion(spark, sf_dir):
 @query()
 def greedy_spacing(spark, sf_dir):
     """Points to drop so that no two are nearer than 0.05: always the one in the most conflicts."""
-    p = places(spark, sf_dir)
-    pairs = J.radius_join(p, p, "vec_id", "vec_id", ["x", "y", "z"], 0.05).filter("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    return J.thin_by_conflicts(pairs, lineage.cutter(spark, "spacing"))
+    return P.thin_by_distance(places(spark, sf_dir), "vec_id", ["x", "y", "z"], 0.05)
 
 
 @query()
