@@ -2,8 +2,8 @@
 
 A mesh is dealt in blocks of neighbouring elements. What does not change (geometry, conductivity, local numbers of the
 nodes) is one row a block, which stays in its partition; vectors travel as one small row a block. A
-product with the stiffness is worked out inside blocks; only nodes on faces between blocks are sent, and
-two sums an iteration reach the driver. Vectors are written after every half of an iteration, so a
+product with the stiffness is worked out inside blocks; of it only nodes on faces between blocks are sent, and
+two sums an iteration reach the driver. Vectors are written after every iteration, so a
 lost executor costs little; tables that are no longer read are deleted.
 """
 
@@ -114,7 +114,7 @@ class MeshOperator:
             *blocks.columns, F.col("p.mass").alias("mass"), F.col("p.own").alias("own"), F.transform(F.filter("p", lambda x: x["shared"]), lambda x: x["at"]).alias("edge"))
         n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         #: Stays where it is between iterations; a lost partition is made again from the written table.
-        self.static = self.scope.cut(static).repartition(n_parts, "block").persist(StorageLevel.DISK_ONLY)
+        self.static = static.repartition(n_parts, "block").persist(StorageLevel.DISK_ONLY)
 
     def close(self) -> None:
         self.static.unpersist()
@@ -146,14 +146,18 @@ class MeshOperator:
         joined = self.static.select("block", "places", "metric", "local_mass").join(df, "block")
         return by_row(joined, ", ".join(["block long", f"q {NUMBERS}", "xq double", *[f"{c} {NUMBERS}" for c in kept]]), apply)
 
-    def whole(self, df: DataFrame, q: str) -> DataFrame:
-        """``df`` with q summed over the blocks that share a node, in the order of the blocks. Only such nodes are sent."""
+    def with_sums(self, df: DataFrame, q: str) -> DataFrame:
+        """``df`` with _at and _v: the places of a block's shared nodes, and q there summed in the order of the blocks. Only such nodes are sent."""
         sent = self.static.select("block", "ids", "edge").join(df.select("block", q), "block").select(
             "block", F.explode(F.transform("edge", lambda p: F.struct(F.get("ids", p).alias("node"), p.alias("at"), F.get(F.col(q), p).alias("v")))).alias("x"))
         sums = sent.groupBy("x.node").agg(F.array_sort(F.collect_list(F.struct("block", F.col("x.at").alias("at"), F.col("x.v").alias("v")))).alias("s"))
         back = sums.select(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["v"]).alias("v"), F.explode("s").alias("y")).groupBy(F.col("y.block").alias("block")).agg(
             F.collect_list(F.struct(F.col("y.at").alias("at"), "v")).alias("_p"))
-        patched = df.join(back, "block", "left").withColumns({"_at": F.coalesce(F.col("_p.at"), F.array().cast("array<int>")), "_v": F.coalesce(F.col("_p.v"), F.array().cast(NUMBERS))})
+        return df.join(back, "block", "left").withColumns({"_at": F.coalesce(F.col("_p.at"), F.array().cast("array<int>")), "_v": F.coalesce(F.col("_p.v"), F.array().cast(NUMBERS))}).drop("_p")
+
+    def whole(self, df: DataFrame, q: str) -> DataFrame:
+        """``df`` with q summed over the blocks that share a node."""
+        patched = self.with_sums(df, q)
         kept = [c for c, t in df.dtypes if c not in ("block", q) and t == NUMBERS]
 
         def patch(batch: pa.RecordBatch, i: int) -> dict:
@@ -166,45 +170,48 @@ class MeshOperator:
     def solve(self, vector: DataFrame, by: float, tolerance: float, max_iter: int, explicit: float = 0.0) -> DataFrame:
         """(block, x) with (M + by K) x = (M - explicit K) b for the vector b, until the squared residual (over the
         mass) is ``tolerance`` of the right side's. Conjugate gradients, with the mass as preconditioner."""
-        own = lambda: self.static.select("block", "own", "mass")
-        cut, drop = self.scope.cut, self.scope.drop
+        cut, drop, n = self.scope.cut, self.scope.drop, self.n
+        fixed = self.static.select("block", "own", "mass", "places", "metric", "local_mass")
+        schema = f"block long, x {NUMBERS}, r {NUMBERS}, p {NUMBERS}, s {NUMBERS}, q {NUMBERS}, rr double, uq double, bb double"
 
-        def sums(df: DataFrame, **what: Column) -> dict:
-            row = df.agg(*[F.sum(c).alias(k) for k, c in what.items()]).first()
-            return {k: row[k] or 0.0 for k in what}
+        def sums(df: DataFrame, *what: str) -> list[float]:
+            return [v or 0.0 for v in df.agg(*[F.sum(c) for c in what]).first()]
+
+        def row(batch: pa.RecordBatch, i: int, x, r, p, s, bb: float) -> dict:
+            """A block's vectors, with q: what it adds to (M + by K) u for u = r over the mass, and its parts of r·u and u·q."""
+            mass, places = numbers(batch, "mass", i), numbers(batch, "places", i)
+            u = r / mass
+            q = numbers(batch, "local_mass", i) * u + by * np.bincount(places, stiffness(u[places].reshape(-1, n**3), numbers(batch, "metric", i), n).ravel(), len(u))
+            return {"block": batch.column("block")[i].as_py(), "x": x, "r": r, "p": p, "s": s, "q": q, "rr": float((numbers(batch, "own", i) * r * u).sum()), "uq": float(u @ q), "bb": bb}
 
         def start(batch: pa.RecordBatch, i: int) -> dict:
-            b, q, mass, held = (numbers(batch, c, i) for c in ("b", "q", "mass", "own"))
-            r = b - q
-            return {"block": batch.column("block")[i].as_py(), "x": numbers(batch, "x", i), "r": r, "p": r * 0, "rr": float((held * r * r / mass).sum()), "bb": float((held * b * b / mass).sum())}
+            x, b, mass, held = (numbers(batch, c, i) for c in ("x", "b", "mass", "own"))
+            return row(batch, i, x, b - numbers(batch, "q", i), x * 0, x * 0, float((held * b * b / mass).sum()))
 
         vector = vector.select("block", "x")
         right = self.whole(self.local(vector, "x", -explicit), "q").withColumnRenamed("q", "b")
         first = self.whole(self.local(right.select("block", "x", "b"), "x", by), "q")
-        state = cut(by_row(own().join(first, "block"), f"block long, x {NUMBERS}, r {NUMBERS}, p {NUMBERS}, rr double, bb double", start))
-        got = sums(state, rr=F.col("rr"), bb=F.col("bb"))
-        rr, least, beta = got["rr"], tolerance * got["bb"], 0.0
-
-        def turn(batch: pa.RecordBatch, i: int) -> dict:
-            r, mass = numbers(batch, "r", i), numbers(batch, "mass", i)
-            return {"block": batch.column("block")[i].as_py(), "x": numbers(batch, "x", i), "r": r, "p": r / mass + beta * numbers(batch, "p", i)}
+        state = cut(by_row(fixed.join(first, "block"), schema, start))
+        rr, uq, bb = sums(state, "rr", "uq", "bb")
+        least, alpha, beta = tolerance * bb, 1.0, 0.0
 
         def step(batch: pa.RecordBatch, i: int) -> dict:
-            x, r, p, q, mass, held = (numbers(batch, c, i) for c in ("x", "r", "p", "q", "mass", "own"))
-            r = r - alpha * q
-            return {"block": batch.column("block")[i].as_py(), "x": x + alpha * p, "r": r, "p": p, "rr": float((held * r * r / mass).sum())}
+            x, r, p, s, mass = (numbers(batch, c, i) for c in ("x", "r", "p", "s", "mass"))
+            w = numbers(batch, "q", i).copy()
+            w[numbers(batch, "_at", i)] = numbers(batch, "_v", i)
+            p, s = r / mass + beta * p, w + beta * s
+            return row(batch, i, x + alpha * p, r - alpha * s, p, s, 0.0)
 
+        # both sums of an iteration come of one table (Chronopoulos and Gear), so vectors are written and sent once
         for _ in range(max_iter):
             if rr <= least:
                 break
-            turned = by_row(own().join(state.select("block", "x", "r", "p"), "block"), f"block long, x {NUMBERS}, r {NUMBERS}, p {NUMBERS}", turn)
-            moved = cut(self.local(turned, "p", by))
-            drop(state)
-            alpha = rr / sums(moved, xq=F.col("xq"))["xq"]
-            state = cut(by_row(own().join(self.whole(moved.drop("xq"), "q"), "block"), f"block long, x {NUMBERS}, r {NUMBERS}, p {NUMBERS}, rr double", step))
-            drop(moved)
-            new = sums(state, rr=F.col("rr"))["rr"]
-            rr, beta = new, new / rr
+            alpha = rr / (uq - beta * rr / alpha)
+            old, state = state, cut(by_row(fixed.join(self.with_sums(state.drop("rr", "uq", "bb"), "q"), "block"), schema, step))
+            drop(old)
+            last = rr
+            rr, uq = sums(state, "rr", "uq")
+            beta = rr / last
         return state.select("block", "x")
 
 

@@ -12,8 +12,8 @@ from ..operators import spacing as P
 from .mesh import N, basis_sql
 from .registry import query, table
 
-#: The lattice of elements: so many side by side; each layer of them is a block.
-SIDE = 8
+#: The lattice of elements: so many side by side; so many layers of them are a block.
+SIDE, LAYERS = 8, 16
 WIDTH = SIDE * (N - 1) + 1
 PLACE = "vec_id % {s} AS i, vec_id // {s} % {s} AS j, vec_id // {s2} AS k".format(s=SIDE, s2=SIDE * SIDE)
 
@@ -31,7 +31,7 @@ def lattice(spark, sf_dir):
     each = [(a, b, c) for c in range(N) for b in range(N) for a in range(N)]
     places = [p for c in (0, 0.5, 1) for b in (0, 0.5, 1) for a in (0, 0.5, 1) for p in (i + a, 1.1 * (j + b), 0.9 * (k + c) + 0.05 * (i + a))]
     return t.select(
-        k.alias("block"), "element", F.array(*[node_id(i, j, k, *p) for p in each]).alias("nodes"), F.array(*[p.cast("double") for p in places]).alias("anchors"), "u")
+        F.floor(k / LAYERS).alias("block"), "element", F.array(*[node_id(i, j, k, *p) for p in each]).alias("nodes"), F.array(*[p.cast("double") for p in places]).alias("anchors"), "u")
 
 
 @query(f"""
