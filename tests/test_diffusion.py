@@ -82,3 +82,22 @@ def test_variable_width_and_odd_meshes(spark):
     assert sum(D.step_lengths(5, 0.25)) == pytest.approx(1) and D.step_lengths(5, 0.25)[0] == pytest.approx(D.step_lengths(5, 0.25)[-1] / 4)
     with pytest.raises(ValueError):
         D.smooth_mesh(elements, values, "node", "v", F.lit(0.4), kind="box")
+
+
+def test_partitions_grow_with_the_mesh(spark, monkeypatch):
+    """A partition is a batch as a whole, so it holds few blocks however many there are; the result does not depend on it."""
+    monkeypatch.setattr(D, "PART", 6000, raising=False)
+    copies, rows = 4, [(r[1], *r[1:]) for r in mesh()]  # a block for each element
+    many = [(b + 8 * k, e + 8 * k, [n + 125 * k for n in nodes], anchors) for k in range(copies) for b, e, nodes, anchors in rows]
+    elements = spark.createDataFrame(many, "block long, element long, nodes array<long>, anchors array<double>").repartition(2)
+    u = np.arange(125.0) % 7
+    values = spark.createDataFrame([(i, float(u[i % 125])) for i in range(125 * copies)], "node long, v double")
+    op = D.MeshOperator(elements, F.lit(0.08), n=N)
+    vector = op.vector(values, "node", "v")
+    for df in (op.static, vector, op.local(vector, "x", 1.0)):
+        held = [r[1] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(held) == 8 * copies and max(held) <= 7
+    op.close()
+    mass, stiff = dense(rows, 0.08, 0.08)
+    got = {r.node: r.v for r in D.smooth_mesh(elements, values, "node", "v", F.lit(0.4), kind="bessel", n=N).collect()}
+    assert np.allclose([got.pop(i) for i in range(125 * copies)], np.tile(np.linalg.solve(mass + stiff, mass @ u), copies), atol=1e-4) and not got

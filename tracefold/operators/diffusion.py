@@ -3,7 +3,8 @@
 A mesh is dealt in blocks of neighbouring elements. What does not change (geometry, conductivity, local numbers of the
 nodes) is one row a block, which stays in its partition; vectors travel as one small row a block. A
 product with the stiffness is worked out inside blocks; of it only nodes on faces between blocks are sent, and
-two sums an iteration reach the driver. Vectors are written after every iteration, so a
+two sums an iteration reach the driver. There are as many partitions as keep one of them (a batch of Arrow, a file's
+batch of columns) within a size, however large the mesh. Vectors are written after every iteration, so a
 lost executor costs little; tables that are no longer read are deleted.
 """
 
@@ -22,6 +23,9 @@ from .lineage import tables
 
 NUMBERS = "array<double>"
 
+#: Bytes of a partition, about; elements whose geometry is worked out at once.
+PART, FEW = 32 << 20, 128
+
 
 def element_geometry(anchors: np.ndarray, kh: np.ndarray, kv: np.ndarray, n: int, up: tuple[float, float, float] | None) -> tuple[np.ndarray, np.ndarray]:
     """W J (G K Gᵀ) and W J at the n³ points of elements (rows x 27 x 3 anchors).
@@ -90,31 +94,36 @@ class MeshOperator:
         self.scope = tables(spark, "mesh")
         point = lambda c: c if elements.select(c.alias("c")).schema["c"].dataType.typeName() == "array" else F.array_repeat(c.cast("double"), n**3)
         kv = kh if kv is None else kv
+        #: What is known of a point while a step is worked on is about 13 numbers; a partition is a batch as a whole.
+        self.n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-elements.count() * n**3 * 13 * 8 // PART))
         rows = elements.select(
             F.col("block").cast("long").alias("block"), F.col("element"), F.col("nodes").cast("array<long>").alias("nodes"), F.col("anchors").cast(NUMBERS).alias("anchors"),
             point(kh).cast(NUMBERS).alias("kh"), point(kv).cast(NUMBERS).alias("kv"),
         )
-        gathered = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("element", "nodes", "anchors", "kh", "kv"))).alias("e"))
+        gathered = self.deal(rows).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("element", "nodes", "anchors", "kh", "kv"))).alias("e"))
         flat = gathered.select("block", *[F.flatten(F.col(f"e.{c}")).alias(c) for c in ("nodes", "anchors", "kh", "kv")])
 
         def build(batch: pa.RecordBatch, i: int) -> dict:
             ids, places = np.unique(numbers(batch, "nodes", i), return_inverse=True)
-            metric, volume = element_geometry(*(numbers(batch, c, i).reshape(s) for c, s in (("anchors", (-1, 27, 3)), ("kh", (-1, n**3)), ("kv", (-1, n**3)))), n, up)
+            each = [numbers(batch, c, i).reshape(s) for c, s in (("anchors", (-1, 27, 3)), ("kh", (-1, n**3)), ("kv", (-1, n**3)))]
+            metric, volume = (np.concatenate(x) for x in zip(*(element_geometry(*(e[j : j + FEW] for e in each), n, up) for j in range(0, len(each[0]), FEW))))
             mass = np.bincount(places, volume.ravel(), len(ids))
             return {"block": batch.column("block")[i].as_py(), "ids": ids, "places": places.astype(np.int32), "metric": metric.ravel(), "local_mass": mass}
 
         blocks = self.scope.cut(by_row(flat, f"block long, ids array<long>, places array<int>, metric {NUMBERS}, local_mass {NUMBERS}", build))
         # each node's blocks, the first of which owns it, and its whole mass
         spread = blocks.select("block", F.posexplode(F.arrays_zip("ids", "local_mass")).alias("at", "x")).select("block", "at", F.col("x.ids").alias("node"), F.col("x.local_mass").alias("m"))
-        sharing = spread.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("block", "at", "m"))).alias("s"))
+        sharing = self.deal(spread, "node").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("block", "at", "m"))).alias("s"))
         told = sharing.select("node", F.size("s").alias("n"), F.col("s")[0]["block"].alias("owner"), F.aggregate("s", F.lit(0.0), lambda a, x: a + x["m"]).alias("mass"), F.explode("s").alias("x"))
-        per_block = told.groupBy(F.col("x.block").alias("block")).agg(F.array_sort(F.collect_list(F.struct(
-            F.col("x.at").alias("at"), F.col("mass"), F.when(F.col("owner") == F.col("x.block"), 1.0).otherwise(0.0).alias("own"), (F.col("n") > 1).alias("shared")))).alias("p"))
+        per_block = self.deal(told.select(F.col("x.block").alias("block"), F.struct(
+            F.col("x.at").alias("at"), F.col("mass"), F.when(F.col("owner") == F.col("x.block"), 1.0).otherwise(0.0).alias("own"), (F.col("n") > 1).alias("shared")).alias("p"))).groupBy("block").agg(F.array_sort(F.collect_list("p")).alias("p"))
         static = blocks.join(per_block, "block").select(
             *blocks.columns, F.col("p.mass").alias("mass"), F.col("p.own").alias("own"), F.transform(F.filter("p", lambda x: x["shared"]), lambda x: x["at"]).alias("edge"))
-        n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         #: Stays where it is between iterations; a lost partition is made again from the written table.
-        self.static = static.repartition(n_parts, "block").persist(StorageLevel.DISK_ONLY)
+        self.static = self.deal(static).persist(StorageLevel.DISK_ONLY)
+
+    def deal(self, df: DataFrame, by: str = "block") -> DataFrame:
+        return df.repartition(self.n_parts, by)
 
     def close(self) -> None:
         self.static.unpersist()
@@ -124,7 +133,7 @@ class MeshOperator:
         """(block, x) of a table of nodes; nodes that it lacks are 0."""
         spread = self.static.select("block", F.posexplode("ids").alias("at", "node"))
         met = spread.join(values.select(F.col(node).alias("node"), F.col(value).cast("double").alias("v")), "node", "left")
-        return met.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("v", F.lit(0.0)).alias("v"))))["v"].alias("x"))
+        return self.deal(met.select("block", "at", "v")).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("v", F.lit(0.0)).alias("v"))))["v"].alias("x"))
 
     def nodes(self, vector: DataFrame, x: str, node: str, value: str) -> DataFrame:
         """(node, value) of a vector, each node once."""
@@ -151,8 +160,8 @@ class MeshOperator:
         sent = self.static.select("block", "ids", "edge").join(df.select("block", q), "block").select(
             "block", F.explode(F.transform("edge", lambda p: F.struct(F.get("ids", p).alias("node"), p.alias("at"), F.get(F.col(q), p).alias("v")))).alias("x"))
         sums = sent.groupBy("x.node").agg(F.array_sort(F.collect_list(F.struct("block", F.col("x.at").alias("at"), F.col("x.v").alias("v")))).alias("s"))
-        back = sums.select(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["v"]).alias("v"), F.explode("s").alias("y")).groupBy(F.col("y.block").alias("block")).agg(
-            F.collect_list(F.struct(F.col("y.at").alias("at"), "v")).alias("_p"))
+        told = sums.select(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["v"]).alias("v"), F.explode("s").alias("y")).select(F.col("y.block").alias("block"), F.struct(F.col("y.at").alias("at"), "v").alias("p"))
+        back = self.deal(told).groupBy("block").agg(F.collect_list("p").alias("_p"))  # dealt as blocks are, so that the join keeps their partitions
         return df.join(back, "block", "left").withColumns({"_at": F.coalesce(F.col("_p.at"), F.array().cast("array<int>")), "_v": F.coalesce(F.col("_p.v"), F.array().cast(NUMBERS))}).drop("_p")
 
     def whole(self, df: DataFrame, q: str) -> DataFrame:
