@@ -24,7 +24,7 @@ from .lineage import tables
 NUMBERS = "array<double>"
 
 #: Bytes of a partition, about; elements whose geometry is worked out at once.
-PART, FEW = 32 << 20, 128
+PART, FEW = 16 << 20, 128
 
 
 def element_geometry(anchors: np.ndarray, kh: np.ndarray, kv: np.ndarray, n: int, up: tuple[float, float, float] | None) -> tuple[np.ndarray, np.ndarray]:
